@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 from ..functions import question_words as W
+from ..functions.frames import settle
 from ..functions.sql import every, first, has, matches, quote, strip, when
 from ..functions.text import CI, CS
 
@@ -203,7 +204,8 @@ def read_questions(questions: DataFrame) -> DataFrame:
         f"WHEN {hit} IS NOT NULL THEN named_struct('code', {quote(code)}, 'hit', {hit})"
         for code, hit, _ in _declines()
     )
-    found = cued.selectExpr("*", f"CASE {chain} END AS _d")
+    cued = settle(cued, "phrases", "root_scope", "how_many", "_q", "kinds")
+    found = settle(cued.selectExpr("*", f"CASE {chain} END AS _d"), "_d")
     sentences = " ".join(
         f"WHEN {quote(code)} THEN {sentence}"
         for code, _, sentence in _declines()
@@ -310,6 +312,12 @@ def check_plans(read: DataFrame) -> DataFrame:
         f"({matches(low, CI + W.MOST_CUE)} AND NOT how_many) AS _most",
         f"{_kinds(named_in_quotes)} AS _quoted_kinds",
     )
+    cued = settle(
+        cued,
+        *["plan_error", "ef", "ex", "ag"],
+        *[f"_{name}" for name in cues],
+        *["_most", "_quoted_kinds"],
+    )
     checked = cued.selectExpr(
         *columns,
         "ef AS event_filter",
@@ -318,6 +326,7 @@ def check_plans(read: DataFrame) -> DataFrame:
         "CASE WHEN root_scope THEN 'root' ELSE 'any_user' END AS account_scope",
         f"CASE {_plan_chain()} END AS reason",
     )
+    checked = settle(checked, "reason")
     valid = "reason IS NULL"
     worded = checked.selectExpr("*", f"{when(valid, _words())} AS words")
     wrapped = f"exists(words, w -> contains(lower(w), {quote(C.WRAPPER)}))"

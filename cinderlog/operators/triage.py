@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import settle
 from . import signals as S
 from .findings import (
     MULTI_RULES,
@@ -33,17 +34,34 @@ def triage_texts(texts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     evaluated once per text however many rules use it.
     """
     keys = keys or ["artifact_id"]
-    facts = S.prepare(texts, keys).selectExpr(
+    found = text_signals(texts, keys).selectExpr(
+        *keys, "text", f"{findings_array()} AS findings"
+    )
+    return settle(found, "findings").withColumn(
+        "verdict", F.expr(verdict_of("get(findings, 0).severity"))
+    )
+
+
+def text_signals(texts: DataFrame, keys: list[str]) -> DataFrame:
+    return S.prepare(texts, keys).selectExpr(
         *keys,
         "_text AS text",
         *S.signal_columns(S.scalars(), "s_"),
         *S.signal_columns(S.multis(), "m_"),
     )
-    found = facts.selectExpr(*keys, "text", f"{findings_array()} AS findings")
-    return found.withColumn("verdict", F.expr(verdict_of(FIRST_SEVERITY)))
 
 
-FIRST_SEVERITY = "get(findings, 0).severity"
+def rule_findings(
+    texts: DataFrame, rule_id: str, keys: list[str] | None = None
+) -> DataFrame:
+    """Findings of one rule; Catalyst prunes the signals it does not read."""
+    keys = keys or ["artifact_id"]
+    found = ", ".join(slot_findings(s) for s in SLOTS if s.startswith(rule_id))
+    return (
+        text_signals(texts, keys)
+        .selectExpr(*keys, f"explode(concat({found})) AS f")
+        .select(*keys, "f.*")
+    )
 
 
 def findings_table(triaged: DataFrame, keys: list[str] | None = None) -> DataFrame:

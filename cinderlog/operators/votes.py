@@ -33,7 +33,7 @@ def row_key(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def usable(candidates: DataFrame) -> Column:
+def usable() -> Column:
     """No error, and a result: 0, [] and '' are answers, null and [[]] are not."""
     key = result_key(F.col("result_json"))
     return F.col("err").isNull() & key.isNotNull() & ~key.isin("null", "[[]]")
@@ -50,7 +50,7 @@ def majority(candidates: DataFrame) -> DataFrame:
         "pos",
         "sql",
         "err",
-        F.when(usable(candidates), result_key(F.col("result_json"))).alias("key"),
+        F.when(usable(), result_key(F.col("result_json"))).alias("key"),
     )
     ok = F.col("key").isNotNull()
     per_key = keyed.groupBy("question_id", "key").agg(

@@ -68,9 +68,9 @@ def log_columns(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     return header.dtypes
 
 
-def parse_csv_lines(line: Column, schema: T.StructType) -> Column:
+def parse_csv_lines(line: Column, schema: str) -> Column:
     """CSV lines held in a column, read with the same quoting rules as a file."""
-    return F.from_csv(line, schema.simpleString()[7:-1].replace(":", " "), {"escape": '"'})
+    return F.from_csv(line, schema, {"escape": '"'})
 
 
 def to_csv_line(*columns: str) -> Column:

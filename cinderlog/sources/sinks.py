@@ -16,7 +16,7 @@ def _parts(path: str) -> list[str]:
 
 
 def guard_output(path: str, inputs: list[str]) -> None:
-    """Refuse an output equal to, above or inside an input file or its folder tree."""
+    """Refuse an output path equal to an input file or to a folder above it."""
     out = _parts(path)
     if ".." in out:
         raise ValueError(f"{path}: give an output path without '..'")
