@@ -16,3 +16,19 @@ def settle(df: DataFrame, *computed: str) -> DataFrame:
     kept = [c for c in df.columns if c not in computed]
     settled = df.select(*kept, F.inline(F.array(F.struct(*computed))))
     return settled.select(*df.columns)
+
+
+SPLIT_BYTES = 128 << 20
+
+
+def deal_out(df: DataFrame) -> DataFrame:
+    """Spread a small scan over all cores before costly row-by-row work.
+
+    A scan of fewer files than cores, too small to be split, would run all patterns in a few
+    tasks. Only then are the rows dealt out; a table with enough files or bytes is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if len(df.inputFiles()) >= cores or size >= cores * SPLIT_BYTES:
+        return df
+    return df.repartition(cores)

@@ -34,10 +34,13 @@ def has_any(col: Column, words) -> Column:
 def fold(col: Column) -> Column:
     """One lower-cased copy of a text for all case-insensitive ASCII tests.
 
-    The four characters whose case folding leaves ASCII are mapped first, so a literal test on
-    the copy equals a Unicode case-insensitive match on the text.
+    Four characters outside ASCII fold into it (dotted and dotless i, long s, the Kelvin sign).
+    They are mapped first where they occur, so a literal test on the copy equals a Unicode
+    case-insensitive match on the text.
     """
-    return F.lower(F.translate(col, "\u0130\u0131\u017f\u212a", "iisk"))
+    special = "\u0130\u0131\u017f\u212a"
+    mapped = F.translate(col, special, "iisk")
+    return F.lower(F.when(has_any(col, special), mapped).otherwise(col))
 
 
 def strip(col: Column) -> Column:

@@ -13,6 +13,7 @@ from ..functions.predicates import (
     extracted,
     is_wrapper,
     lines_for,
+    root_lines,
     text_column,
     words_of,
 )
@@ -84,110 +85,147 @@ def answer(logs: DataFrame, plan: Plan, exact: bool = True) -> DataFrame:
 def answer_all(
     logs: DataFrame, plans: list[Plan], keys: list[str] | None = None
 ) -> DataFrame:
-    """Every plan for every artifact in one job: ``keys..., plan_id, v, c``.
-
-    Plain counts fuse into one conditional aggregation. Distinct and top plans emit
-    ``(plan, value)`` for the lines they select, are counted per value with map-side combine and
-    folded once more; the second step sees one row per distinct value, and its count and
-    ``min`` buffers combine before the shuffle too, so neither a hot artifact nor a hot value
-    gathers in one task.
+    """Every plan for every artifact in one pass: ``keys..., plan_id, v, c``.
+
+    Words, root forms and extractions are projected once per line, however many plans use them.
+    Plans over one field form a group with a slot per distinct condition. A line emits, per group
+    that selects it, one row with the field's value and a 0/1 per slot; plain counts are a group
+    without a value. ``(group, value)`` rows are summed with map-side combine over plain numbers,
+    so one row per distinct value is shuffled, not one per line. The second fold takes one row
+    per plan and value and combines before its shuffle too. Neither a hot artifact nor a hot
+    value gathers in one task.
     """
     keys = ["artifact_id"] if keys is None else keys
     plans = list(dict.fromkeys(plans))
-    parts = []
-    counting = [p for p in plans if p.aggregate == "count_rows"]
-    valued = [p for p in plans if p.aggregate != "count_rows"]
-    if counting:
-        parts.append(_count_plans(logs, counting, keys))
-    if valued:
-        parts.append(_value_plans(logs, valued, keys))
-    if not parts:
+    if not plans:
         raise ValueError("no plans")
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def _count_plans(logs: DataFrame, plans: list[Plan], keys: list[str]) -> DataFrame:
-    fused = logs.groupBy(*keys).agg(
-        *[F.count_if(p.lines()).alias(f"n{i}") for i, p in enumerate(plans)]
-    )
-    listed = F.array(
-        *[
-            F.struct(F.lit(p.plan_id).alias("plan_id"), F.col(f"n{i}").alias("c"))
-            for i, p in enumerate(plans)
-        ]
-    )
-    return fused.select(*keys, F.inline(listed)).select(
-        *keys, "plan_id", F.lit(None).cast("string").alias("v"), "c"
+    number = {p: i for i, p in enumerate(plans)}
+    facts, condition = _facts(plans)
+    groups = _groups(plans, condition)
+    width = max(len(g.conditions) for g in groups)
+
+    def emit(n: int, group: _Group) -> str:
+        slots = [f"int({c})" for c in group.conditions]
+        slots += ["0"] * (width - len(slots))
+        listed = ", ".join(f"'s{i}', {c}" for i, c in enumerate(slots))
+        value = f"cast(x_{group.field} AS string)" if group.field else "cast(NULL AS string)"
+        row = f"named_struct('g', {n}, 'v', {value}, {listed})"
+        if not group.field:
+            return row
+        chosen = " OR ".join(f"({c})" for c in group.conditions)
+        return f"IF({chosen}, {row}, NULL)"
+
+    rows = ", ".join(emit(n, g) for n, g in enumerate(groups))
+    emitted = logs.select(*keys, *facts).selectExpr(*keys, f"inline(array({rows}))")
+    emitted = emitted.where("g IS NOT NULL")
+    per_value = emitted.groupBy(*keys, "g", "v").agg(
+        *[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)]
     )
 
+    # Back to one row per plan and value. Every artifact has the group without a value, which
+    # also gives a distinct count over no line its zero.
+    def expand(n: int, group: _Group) -> str:
+        listed = [
+            f"named_struct('plan', {number[p]}, 'v', v, 'n', s{slot})"
+            for p, slot in group.slots
+        ]
+        if group.field:
+            return f"WHEN g = {n} THEN filter(array({', '.join(listed)}), r -> r.n > 0)"
+        listed += [
+            f"named_struct('plan', {number[p]}, 'v', v, 'n', 0L)"
+            for p in plans
+            if n == 0 and p.aggregate == "count_distinct_values"
+        ]
+        if not listed:
+            return f"WHEN g = {n} THEN cast(array() AS array<struct<plan:int,v:string,n:bigint>>)"
+        return f"WHEN g = {n} THEN array({', '.join(listed)})"
 
-def _value_plans(logs: DataFrame, plans: list[Plan], keys: list[str]) -> DataFrame:
-    # Each extraction is projected once; every plan of that field reads the column.
-    fields = list(dict.fromkeys(p.extract_field for p in plans))
-    ready = logs.select(
-        *keys,
-        C.TEXT,
-        *[extracted(f).alias(f"x_{f}") for f in fields],
+    expanded = " ".join(expand(n, g) for n, g in enumerate(groups))
+    parts = per_value.selectExpr(*keys, f"inline(CASE {expanded} END)")
+    # Most frequent first, ties to the smallest value, NULL after every value.
+    folded = parts.groupBy(*keys, "plan").agg(
+        F.sum("n").alias("lines"),
+        F.count("v").alias("values"),
+        F.expr("min(struct(-n AS n, v IS NULL AS z, v))").alias("top"),
     )
-
-    def selected(plan: Plan) -> Column:
-        value = F.col(f"x_{plan.extract_field}")
-        condition = _text_lines(plan)
-        if C.EXTRACTIONS[plan.extract_field].pattern:
-            condition = condition & (value != "")
-        return F.when(
-            condition,
-            F.struct(F.lit(i_of[plan]).alias("plan"), value.alias("v")),
+    described = F.broadcast(
+        logs.sparkSession.createDataFrame(
+            [(i, p.plan_id, p.aggregate) for p, i in number.items()],
+            "plan int, plan_id string, aggregate string",
         )
-
-    i_of = {p: i for i, p in enumerate(plans)}
-    # Every line also emits a mark, so that a distinct count over no line can become 0.
-    mark = F.struct(F.lit(-1).alias("plan"), F.lit(None).cast("string").alias("v"))
-    emitted = ready.select(
-        *keys,
-        F.inline(F.array_compact(F.array(mark, *[selected(p) for p in plans]))),
     )
-    per_value = emitted.groupBy(*keys, "plan", "v").agg(F.count("*").alias("n"))
-    zeros = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("plan"),
-                F.lit(None).cast("string").alias("v"),
-                F.lit(0).cast("long").alias("n"),
-            )
-            for p, i in i_of.items()
-            if p.aggregate == "count_distinct_values"
-        ]
-    ).cast("array<struct<plan:int,v:string,n:bigint>>")
-    per_value = per_value.select(
+    is_top = F.col("aggregate") == C.AGGREGATES[2]
+    return folded.join(described, "plan").select(
         *keys,
-        F.inline(
-            F.when(F.col("plan") < 0, zeros).otherwise(F.array(F.struct("plan", "v", "n")))
-        ),
-    )
-    # Most frequent first, ties to the smallest value, NULL after every value.
-    rank = F.struct((-F.col("n")).alias("n"), F.col("v").isNull().alias("z"), "v")
-    folded = per_value.groupBy(*keys, "plan").agg(
-        F.count("v").alias("n_values"), F.min(rank).alias("top")
-    )
-    ids = F.array(*[F.lit(p.plan_id) for p in plans])
-    is_top = F.array(*[F.lit(p.aggregate == C.AGGREGATES[2]) for p in plans])
-    return folded.select(
-        *keys,
-        F.get(ids, F.col("plan")).alias("plan_id"),
-        F.when(F.get(is_top, F.col("plan")), F.col("top.v")).alias("v"),
-        F.when(F.get(is_top, F.col("plan")), -F.col("top.n"))
-        .otherwise(F.col("n_values"))
+        "plan_id",
+        F.when(is_top, F.col("top.v")).alias("v"),
+        F.when(is_top, -F.col("top.n"))
+        .when(F.col("aggregate") == C.AGGREGATES[1], F.col("values"))
+        .otherwise(F.col("lines"))
         .alias("c"),
     )
 
 
-def _text_lines(plan: Plan) -> Column:
-    """The plan's condition without the empty-extraction guard."""
-    return lines_for(plan.event_filter, plan.aggregate, "none", plan.root, plan.phrases)
+# Conditions per group; further ones open another group.
+SLOTS = 32
+
+
+@dataclass(frozen=True)
+class _Group:
+    """Plans over one field (None: plain counts) and the distinct conditions they share."""
+
+    field: str | None
+    conditions: list[str]
+    slots: list[tuple[Plan, int]]
+
+
+def _groups(plans: list[Plan], condition) -> list[_Group]:
+    groups = [_Group(None, [], [])]
+    current: dict[str | None, _Group] = {None: groups[0]}
+    for p in plans:
+        name = None if p.aggregate == "count_rows" else p.extract_field
+        c = condition(p)
+        group = current.get(name)
+        if group is None or (c not in group.conditions and len(group.conditions) == SLOTS):
+            group = current[name] = _Group(name, [], [])
+            groups.append(group)
+        if c not in group.conditions:
+            group.conditions.append(c)
+        group.slots.append((p, group.conditions.index(c)))
+    return groups
+
+
+def _facts(plans: list[Plan]):
+    """Columns the plans share, and a function giving a plan's condition over them as SQL."""
+    words: dict[str, int] = {}
+    roots: dict[str, int] = {}
+    fields: dict[str, None] = {}
+    for p in plans:
+        root_text = C.FILTERS[p.event_filter].root_text if p.root else None
+        for w in words_of(p.event_filter, p.root, p.phrases):
+            target = roots if w == root_text else words
+            target.setdefault(w, len(target))
+        if p.extract_field != "none":
+            fields[p.extract_field] = None
+
+    columns = [
+        *[text_column().contains(w).alias(f"w{i}") for w, i in words.items()],
+        *[root_lines(t).alias(f"r{i}") for t, i in roots.items()],
+        is_wrapper().alias("wrapped"),
+        *[extracted(f).alias(f"x_{f}") for f in fields],
+    ]
+
+    def condition(p: Plan) -> str:
+        root_text = C.FILTERS[p.event_filter].root_text if p.root else None
+        chosen = words_of(p.event_filter, p.root, p.phrases)
+        parts = [f"r{roots[w]}" if w == root_text else f"w{words[w]}" for w in chosen]
+        if drops_wrappers(chosen, p.aggregate):
+            parts.append("NOT wrapped")
+        if C.EXTRACTIONS[p.extract_field].pattern:
+            parts.append(f"x_{p.extract_field} <> ''")
+        return " AND ".join(parts) or "true"
+
+    return columns, condition
 
 
 def catalog_plans() -> list[Plan]:

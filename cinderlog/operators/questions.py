@@ -15,7 +15,7 @@ from ..functions import catalog as C
 from ..functions import question_words as W
 from ..functions.frames import settle
 from ..functions.sql import every, first, has, matches, quote, strip, when
-from ..functions.text import CI, CS
+from ..functions.text import CI, CS, fold
 
 
 def _in(value: str, words) -> str:
@@ -34,9 +34,10 @@ def _first_not_in(names: str, stop) -> str:
     return f"get(filter({names}, n -> NOT {_in('lower(n)', stop)}), 0)"
 
 
-def _some(col: str, pattern: str, group: int = 0) -> str:
-    """First match, NULL without one."""
-    return f"nullif({first(col, CI + pattern, group)}, '')"
+def _some(pattern: str) -> str:
+    """First match in the question, NULL without one; most questions stop at the plain test."""
+    hit = first("_q", CI + pattern)
+    return when(matches("_low", CS + pattern), hit)
 
 
 def _kinds(hit) -> str:
@@ -53,8 +54,8 @@ def _said(before: str, value: str, after: str) -> str:
 
 # Decline rules in order: code, the SQL that is NULL unless the rule applies, and the sentence.
 def _declines() -> list[tuple[str, str, str]]:
-    negated = matches(
-        f"regexp_replace(_q, {quote(CI + W.EXIST_IDIOM)}, ' ')", CI + W.NEGATION
+    negated = matches("_low", CS + W.NEGATION) + " AND " + matches(
+        f"regexp_replace(_low, {quote(CS + W.EXIST_IDIOM)}, ' ')", CS + W.NEGATION
     )
     account = _first_not_in(
         _groups("_q", CI + W.ACCOUNT, 4), [*dict.fromkeys(W.ACCOUNT_STOP), "root"]
@@ -66,7 +67,9 @@ def _declines() -> list[tuple[str, str, str]]:
     )
     origin = _first_not_in(every("_q", CI + W.FROM, 1), dict.fromkeys(W.FROM_STOP))
     owner = _first_not_in(_groups("_q", CI + W.POSSESSIVE, 2), ["root"])
-    plural = f"{matches('_q', CI + W.MOST_CUE)} AND {matches('_q', CI + W.PLURAL_FIELD)}"
+    plural = (
+        f"{matches('_low', CS + W.MOST_CUE)} AND {matches('_low', CS + W.PLURAL_FIELD)}"
+    )
     # The sentences.
     return [
         (
@@ -78,7 +81,7 @@ def _declines() -> list[tuple[str, str, str]]:
         ),
         (
             "listing",
-            _some("_q", W.LISTING),
+            _some(W.LISTING),
             _said(
                 "'",
                 "_d.hit",
@@ -105,12 +108,12 @@ def _declines() -> list[tuple[str, str, str]]:
         ),
         (
             "time",
-            _some("_q", W.TIME),
+            _some(W.TIME),
             _said("time scoping ('", "_d.hit", "') is not representable"),
         ),
         (
             "aggregate",
-            _some("_q", W.OTHER_AGGREGATE),
+            _some(W.OTHER_AGGREGATE),
             _said(
                 "'",
                 "_d.hit",
@@ -128,17 +131,17 @@ def _declines() -> list[tuple[str, str, str]]:
         ),
         (
             "event",
-            _some("_q", W.OTHER_EVENT),
+            _some(W.OTHER_EVENT),
             _said("'", "_d.hit", "' names an event kind the catalog does not have"),
         ),
         (
             "zone",
-            _some("_q", W.NETWORK_ZONE),
+            _some(W.NETWORK_ZONE),
             _said("the network scope '", "_d.hit", "' is not representable"),
         ),
         (
             "method",
-            _some("_q", W.AUTH_METHOD),
+            _some(W.AUTH_METHOD),
             _said(
                 "the authentication method '",
                 "_d.hit",
@@ -192,19 +195,21 @@ def read_questions(questions: DataFrame) -> DataFrame:
         f"array_distinct(filter(transform({spans}, p -> {strip('p')}), p -> p <> '')) AS phrases",
         f"{without} AS _q",
     )
-    cued = cut.selectExpr(
+    lowered = cut.select("*", fold(F.col("_q")).alias("_low"))
+    cued = lowered.selectExpr(
         *columns,
         "phrases",
         f"{matches('_norm', CI + W.ROOT)} AS root_scope",
         f"{matches('question', CI + W.HOW_MANY)} AS how_many",
         "_q",
-        f"{_kinds(lambda k, cues: has('lower(_q)', cues))} AS kinds",
+        "_low",
+        f"{_kinds(lambda k, cues: has('_low', cues))} AS kinds",
     )
     chain = " ".join(
         f"WHEN {hit} IS NOT NULL THEN named_struct('code', {quote(code)}, 'hit', {hit})"
         for code, hit, _ in _declines()
     )
-    cued = settle(cued, "phrases", "root_scope", "how_many", "_q", "kinds")
+    cued = settle(cued, "phrases", "root_scope", "how_many", "_q", "_low", "kinds")
     found = settle(cued.selectExpr("*", f"CASE {chain} END AS _d"), "_d")
     sentences = " ".join(
         f"WHEN {quote(code)} THEN {sentence}"
@@ -238,31 +243,29 @@ FIELD_CUES = {
 
 def parse_plans(df: DataFrame) -> DataFrame:
     """Add the fields of the ``plan`` JSON and what is wrong with its structure."""
-    keys = quote("plan keys must be exactly ('event_filter', 'extract_field', 'aggregate')")
-    sorted_keys = "array_sort(array_distinct(json_object_keys(plan)))"
+    message = quote("plan keys must be exactly ('event_filter', 'extract_field', 'aggregate')")
+    parsed = df.selectExpr(
+        "*",
+        "array_sort(array_distinct(json_object_keys(plan))) AS _keys",
+        "try_parse_json(plan) AS _json",
+    )
 
     def exact(names) -> str:
         return f"array({', '.join(quote(n) for n in sorted(names))})"
 
-    def is_text(name: str) -> str:
-        kind = f"schema_of_variant(try_variant_get(try_parse_json(plan), '$.{name}', 'variant'))"
-        return f"{kind} = 'STRING'"
+    def kind(name: str) -> str:
+        return f"schema_of_variant(try_variant_get(_json, '$.{name}', 'variant'))"
 
-    texts = " AND ".join(is_text(n) for n in MODEL_KEYS)
-    scope = (
-        "(NOT array_contains(json_object_keys(plan), 'account_scope') OR "
-        + is_text("account_scope")
-        + ")"
-    )
-    fields = [f"get_json_object(plan, '$.{n}') AS {n}" for n in MODEL_KEYS]
-    parsed = df.selectExpr(
-        "*",
-        *fields,
-        f"CASE WHEN json_object_keys(plan) IS NULL THEN 'plan is not an object' "
-        f"WHEN {sorted_keys} NOT IN ({exact(MODEL_KEYS)}, {exact([*MODEL_KEYS, 'account_scope'])}) "
-        f"THEN {keys} WHEN NOT ({texts} AND {scope}) OR ({texts}) IS NULL "
-        "THEN 'plan values must be strings' END AS _shape",
+    scoped = [*MODEL_KEYS, "account_scope"]
+    texts = " AND ".join(f"coalesce({kind(n)}, '') = 'STRING'" for n in MODEL_KEYS)
+    scope = f"coalesce({kind('account_scope')}, 'STRING') = 'STRING'"
+    shape = (
+        "CASE WHEN _keys IS NULL THEN 'plan is not an object' "
+        f"WHEN _keys <> {exact(MODEL_KEYS)} AND _keys <> {exact(scoped)} THEN {message} "
+        f"WHEN NOT ({texts} AND {scope}) THEN 'plan values must be strings' END"
     )
+    fields = [f"try_variant_get(_json, '$.{n}', 'string') AS {n}" for n in MODEL_KEYS]
+    shaped = parsed.selectExpr(*df.columns, *fields, f"{shape} AS _shape")
     known = " AND ".join(
         [
             _in("event_filter", C.FILTERS),
@@ -270,8 +273,9 @@ def parse_plans(df: DataFrame) -> DataFrame:
             _in("aggregate", C.AGGREGATES),
         ]
     )
-    return parsed.selectExpr(
-        *[c for c in parsed.columns if c != "_shape"],
+    return shaped.selectExpr(
+        *df.columns,
+        *MODEL_KEYS,
         f"coalesce(_shape, CASE WHEN NOT ({known}) THEN 'value outside the catalog' END) "
         "AS plan_error",
     )
@@ -299,17 +303,16 @@ def check_plans(read: DataFrame) -> DataFrame:
         "rhost": W.RHOST_CUE,
         "is_distinct": W.DISTINCT_CUE,
     }
-    # Cues are read from the lower-cased question, as the kinds are.
-    low = "lower(unquoted)"
 
     def named_in_quotes(kind: str, words) -> str:
         every_word = [*words, *[w.lower() for w in C.FILTERS[kind].contains]]
         return f"exists(phrases, p -> {has('lower(p)', every_word)})"
 
-    cued = plans.selectExpr(
-        "*",
-        *[f"{matches(low, CI + p)} AS _{name}" for name, p in cues.items()],
-        f"({matches(low, CI + W.MOST_CUE)} AND NOT how_many) AS _most",
+    lowered = plans.select("*", fold(F.col("unquoted")).alias("_low"))
+    cued = lowered.selectExpr(
+        *plans.columns,
+        *[f"{matches('_low', CS + p)} AS _{name}" for name, p in cues.items()],
+        f"({matches('_low', CS + W.MOST_CUE)} AND NOT how_many) AS _most",
         f"{_kinds(named_in_quotes)} AS _quoted_kinds",
     )
     cued = settle(

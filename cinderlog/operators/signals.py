@@ -9,8 +9,9 @@ A prepared piece has three columns: ``_text`` is what a pattern may look at, ``_
 copy, ``_own`` the part that belongs to the piece alone. Text and own part differ only where
 pieces overlap; every signal is either unaffected by seeing a match twice or reads ``_own``.
 
-Cost: literal ``contains`` tests on the folded copy come first and settle most texts; a regex
-runs only behind its literal gate.
+Cost: a text without any indicator is the common case. Twenty cheap *leads* are projected first; a
+signal is computed only where its lead holds. Behind a lead, literal ``contains`` tests on the
+folded copy come before any regex.
 """
 
 from __future__ import annotations
@@ -38,6 +39,110 @@ def _number(*ids: str, col: str = "_text") -> str:
     )
 
 
+# Leads: a literal (or a digit shape) without which some signals cannot hold.
+LEADS = {
+    "digits": matches("_text", "[147][0-9][0-9]"),
+    "script": _low("script"),
+    "powershell": _low("powershell"),
+    "host": _low("script", "powershell", "mshta", "cmd"),
+    "certutil": _low("certutil"),
+    "memory": has("_text", ["PAGE_EXECUTE_READWRITE", "VadS"]),
+    "image": _low("image"),
+    "services": _low("services.exe"),
+    "backslash": _low("\\"),
+    "pool": _low("psxview", "psscan"),
+    "capability": _low("capa", "att&ck", "mbc"),
+}
+
+# A signal that contains its lead's literal: skipping it without the lead is always right.
+IMPLIED = {
+    "host_wscript": "script",
+    "host_cscript": "script",
+    "wscript": "script",
+    "cscript": "script",
+    "script_block": "script",
+    "host_powershell": "powershell",
+    "hidden_powershell": "powershell",
+    "certutil": "certutil",
+    "child_image": "image",
+    "parent_image": "image",
+    "image_path": "image",
+    "services": "services",
+    "run_key": "backslash",
+    "rwx": "memory",
+    "pool_scan": "pool",
+    "capa": "capability",
+    **dict.fromkeys(
+        (
+            "e4648",
+            "e4624",
+            "e7045",
+            "task",
+            "e1102",
+            "e4720",
+            "group_add",
+            "e4104",
+            "e4769",
+            "remote_logon",
+            "n4625",
+            "n4625_text",
+        ),
+        "digits",
+    ),
+}
+
+# A signal that matters only next to its lead: skipped where the piece is the whole text.
+NEEDED = {
+    **dict.fromkeys([f"office_{o}" for o in R.OFFICE_APPS], "host"),
+    "shell_exe": "services",
+    "process_tree": "services",
+    "network_sign": "certutil",
+    "script_or_temp": "script",
+    "encoded_blob": "powershell",
+    "image_path_value": "image",
+    "run_value": "backslash",
+    "is_false": "pool",
+    "pslist": "pool",
+    "capability_bits": "capability",
+    "cradle": "digits script",
+    **dict.fromkeys(
+        (
+            "jit",
+            "prologue",
+            "pe_header",
+            "trampoline",
+            "vad_process",
+            "any_process",
+            "c2_text",
+        ),
+        "memory",
+    ),
+    **dict.fromkeys(
+        (
+            "ntlm",
+            "type2",
+            "type3",
+            "wrong_password",
+            "vendor",
+            "program_files",
+            "system",
+            "task_name",
+            "log_cleared",
+            "admin",
+            "rc4",
+        ),
+        "digits",
+    ),
+}
+
+
+def _guarded(name: str, expr: str, whole: bool, otherwise: str) -> str:
+    lead = IMPLIED.get(name) or (NEEDED.get(name) if whole else None)
+    if not lead:
+        return expr
+    return when(" OR ".join(f"l_{x}" for x in lead.split()), expr, otherwise)
+
+
 def flags() -> dict[str, str]:
     return {
         **{f"office_{o}": _low(o) for o in R.OFFICE_APPS},
@@ -51,7 +156,13 @@ def flags() -> dict[str, str]:
         "certutil": _low("certutil") + " AND " + matches("_text", CI + r"\bcertutil\b"),
         "wscript": _low("wscript") + " AND " + matches("_text", CI + r"\bwscript\b"),
         "cscript": _low("cscript") + " AND " + matches("_text", CI + r"\bcscript\b"),
-        "network_sign": matches("_text", CS + R.NETWORK_SIGN),
+        # The address form ends in port 80 or 443; the other forms hold one of the words.
+        "network_sign": has(
+            "_text",
+            ["ESTABLISHED", "http://", "-urlcache", "ForeignAddr", "80", "443"],
+        )
+        + " AND "
+        + matches("_text", CS + R.NETWORK_SIGN),
         "script_or_temp": _low(".vbs", "temp")
         + " OR "
         + _low(".js")
@@ -157,8 +268,16 @@ def capability_bits() -> dict[str, str]:
     }
 
 
-def scalars() -> dict[str, str]:
-    return {**flags(), **firsts(), **counts(), **capability_bits()}
+def scalars(whole: bool) -> dict[str, str]:
+    """All scalar signals behind their leads; ``whole`` if a piece is a whole text."""
+    empty = {
+        **dict.fromkeys(flags(), "false"),
+        **dict.fromkeys(firsts(), "''"),
+        **dict.fromkeys(counts(), "0L"),
+        **dict.fromkeys(capability_bits(), "0"),
+    }
+    exprs = {**flags(), **firsts(), **counts(), **capability_bits()}
+    return {n: _guarded(n, f"({e})", whole, empty[n]) for n, e in exprs.items()}
 
 
 def multis() -> dict[str, str]:
@@ -174,7 +293,9 @@ def multis() -> dict[str, str]:
         NO_STRINGS,
     )
     staged = when(
-        _low(*R.STAGING_DIRS), every("_text", CI + R.STAGED_FILE), NO_STRINGS
+        f"l_backslash AND {_low(*R.STAGING_DIRS)}",
+        every("_text", CI + R.STAGED_FILE),
+        NO_STRINGS,
     )
     talks = (
         f"array_distinct(transform({sockets}, m -> concat("
@@ -197,14 +318,15 @@ def multis() -> dict[str, str]:
 
 
 def prepare(df: DataFrame, keys: list[str], own: str = "text") -> DataFrame:
-    """Project the folded copy once, next to the text, for the signals to share."""
+    """Project the folded copy and the leads next to the text, for the signals to share."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return df.select(
+    folded = df.select(
         *keys,
         text.alias("_text"),
         F.coalesce(F.col(own), F.lit("")).alias("_own"),
         fold(text).alias("_low"),
     )
+    return folded.selectExpr("*", *signal_columns(LEADS, "l_"))
 
 
 def signal_columns(exprs: dict[str, str], prefix: str) -> list[str]:

@@ -46,7 +46,7 @@ def text_signals(texts: DataFrame, keys: list[str]) -> DataFrame:
     return S.prepare(texts, keys).selectExpr(
         *keys,
         "_text AS text",
-        *S.signal_columns(S.scalars(), "s_"),
+        *S.signal_columns(S.scalars(whole=True), "s_"),
         *S.signal_columns(S.multis(), "m_"),
     )
 
@@ -201,7 +201,7 @@ def piece_signals(cut: DataFrame) -> DataFrame:
     """Merged scalar signals, one row per artifact."""
     keys = ["artifact_id", "piece_no"]
     rows = S.prepare(cut, keys, own="own").selectExpr(
-        *keys, *S.signal_columns(S.scalars(), "s_")
+        *keys, *S.signal_columns(S.scalars(whole=False), "s_")
     )
     return S.merge(rows, ["artifact_id"], "piece_no")
 

@@ -176,10 +176,7 @@ def indicator_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def triage_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = V.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("artifact_id"), "text"
-    )
-    return triage.priority(triage.triage_texts(docs)).drop("next_steps")
+    return triage.priority(triage.triage_texts(V.texts(spark, sf))).drop("next_steps")
 
 
 def big_findings(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,10 +204,7 @@ def excerpt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def excerpt_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = V.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("artifact_id"), "text"
-    )
-    return excerpts(triage.triage_texts(docs), DOCUMENT_BUDGET)
+    return excerpts(triage.triage_texts(V.texts(spark, sf)), DOCUMENT_BUDGET)
 
 
 # ---------------------------------------------------------------- questions

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import deal_out
+
 # The auth-log view. The same text runs on Spark and on the oracle.
 AUTH_LOG_SQL = """
 SELECT event_id AS LineId, user_id AS Pid, 'LabSZ' AS Component,
@@ -80,6 +82,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as artifacts, dealt out for pattern work."""
+    documents = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("artifact_id"), "text"
+    )
+    return deal_out(documents)
+
+
 def auth_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``LineId, Pid, Component, Content, EventId, EventTemplate``."""
     return spark.sql(
@@ -297,7 +307,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = F.get(rows, n.cast("int"))
     spoilt = F.get(bad, (F.col("event_id") % 77).cast("int"))
     return (
-        table(spark, sf_dir, "events")
+        deal_out(table(spark, sf_dir, "events").select("event_id", "user_id"))
         .select("event_id", "user_id", picked.alias("q"), spoilt.alias("bad"))
         .select(
             F.col("event_id").alias("question_id"),
