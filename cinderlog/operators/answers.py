@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
@@ -243,22 +243,34 @@ def catalog_plans() -> list[Plan]:
     return found
 
 
+# Word lists that travel with a line in one row.
+LISTS = 64
+
+
 def answer_phrases(logs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Line counts of phrase questions: ``artifact_id, question_id, words, skip_wrappers, c``.
 
     ``wanted`` carries one row per question with the words its lines must hold. Questions asking
-    for the same words in the same artifact are answered once. Lines meet words on the artifact
-    key; the residual ``forall`` runs inside the join and the partial count right above it, so
-    only counts are shuffled again and AQE can split a hot artifact. A question without a line
-    gets 0.
+    for the same words in the same artifact are answered once. An artifact's distinct word lists
+    are packed, 64 to a row, so a line meets them packed and emits only the lists it satisfies;
+    these are counted before the shuffle. The join key is the artifact, where AQE can split the
+    lines of a hot one. A question without a line gets 0.
     """
     asked = wanted.select("artifact_id", "words", "skip_wrappers").distinct()
-    lines = logs.select("artifact_id", C.TEXT)
-    holds = F.forall("words", lambda w: text_column().contains(w))
-    wrapped = F.col("skip_wrappers") & is_wrapper()
+    order = Window.partitionBy("artifact_id").orderBy("words", "skip_wrappers")
+    packed = (
+        asked.withColumn("pack", F.floor((F.row_number().over(order) - 1) / LISTS))
+        .groupBy("artifact_id", "pack")
+        .agg(F.collect_list(F.struct("words", "skip_wrappers")).alias("lists"))
+    )
+    lines = logs.select("artifact_id", C.TEXT, is_wrapper().alias("wrapped"))
+    satisfied = (
+        f"filter(lists, l -> NOT (l.skip_wrappers AND wrapped) "
+        f"AND forall(l.words, w -> contains({C.TEXT}, w)))"
+    )
     hits = (
-        lines.join(asked, "artifact_id")
-        .where(holds & ~wrapped)
+        lines.join(packed, "artifact_id")
+        .selectExpr("artifact_id", f"inline({satisfied})")
         .groupBy("artifact_id", "words", "skip_wrappers")
         .agg(F.count("*").alias("c"))
     )

@@ -177,24 +177,26 @@ def pieces(
     if not 0 <= overlap <= size:
         raise ValueError("overlap must lie between 0 and size")
     number = F.floor(F.col("line_no") / size).cast("long")
-    ahead = F.pmod(F.col("line_no"), F.lit(size)) < overlap
-    copies = F.when(
-        ahead, F.array(F.struct(number, F.lit(True)), F.struct(number - 1, F.lit(False)))
-    ).otherwise(F.array(F.struct(number, F.lit(True))))
+    ahead = (F.pmod(F.col("line_no"), F.lit(size)) < overlap) & (number > 0)
+    here, before = F.struct(number, F.lit(True)), F.struct(number - 1, F.lit(False))
+    copies = F.when(ahead, F.array(here, before)).otherwise(F.array(here))
     placed = lines.select(
         "artifact_id",
         "line_no",
         F.coalesce("line", F.lit("")).alias("line"),
-        F.explode(copies.cast("array<struct<piece_no:long,own:boolean>>")).alias("p"),
-    ).select("artifact_id", "line_no", "line", "p.piece_no", "p.own")
+        F.inline(copies.cast("array<struct<piece_no:long,own:boolean>>")),
+    )
     grouped = placed.groupBy("artifact_id", "piece_no").agg(
         F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)").alias("text"),
-        F.expr(
-            "listagg(line, '\n') WITHIN GROUP (ORDER BY line_no) FILTER (WHERE own)"
-        ).alias("own"),
+        F.sum(F.when(F.col("own"), F.length("line") + 1)).alias("own_length"),
+    )
+    # The own lines come first. Copies in front of an artifact's first piece have none.
+    return grouped.where("own_length IS NOT NULL").selectExpr(
+        "artifact_id",
+        "piece_no",
+        "text",
+        "substring(text, 1, cast(own_length - 1 AS int)) AS own",
     )
-    # Copies in front of an artifact's first piece belong to no piece.
-    return grouped.where(F.col("own").isNotNull())
 
 
 def piece_signals(cut: DataFrame) -> DataFrame:

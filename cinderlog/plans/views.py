@@ -100,7 +100,7 @@ def auth_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def auth_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The auth log as many artifacts: one log per process id."""
-    return auth_log(spark, sf_dir).withColumn("artifact_id", F.col("Pid"))
+    return deal_out(auth_log(spark, sf_dir)).withColumn("artifact_id", F.col("Pid"))
 
 
 def tool_line() -> "F.Column":
@@ -182,10 +182,11 @@ SELECT a.Pid AS artifact_id, a.LineId,
 
 def mixed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs of several kinds, ``artifact_id`` being one of them."""
-    return spark.sql(
+    mixed = spark.sql(
         MIXED_LOGS_SQL.replace("FROM events", "FROM {events}"),
         events=table(spark, sf_dir, "events"),
     )
+    return deal_out(mixed)
 
 
 # Analyst questions, and the plan that goes with each (filter, field, aggregate).
