@@ -6,6 +6,7 @@ from ..functions import catalog as C
 from .oracle_questions import question_oracles
 from .oracle_triage import lit, triage_oracles
 from .registry import (
+    BIG_BUDGET,
     DOCUMENT_BUDGET,
     EXCERPT_BUDGET,
     PHRASE,
@@ -265,7 +266,7 @@ ORACLE: dict[str, str] = {
     "csv_lines": "SELECT event_type, props, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS id_sum FROM events GROUP BY 1, 2",
     "text_lines": r"SELECT doc_id, len(l) - CASE WHEN l[len(l)] = '' THEN 1 ELSE 0 END AS n_lines, n_text FROM "
     r"(SELECT doc_id, length(text) AS n_text, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]') AS l FROM documents) q",
-    **triage_oracles(EXCERPT_BUDGET, DOCUMENT_BUDGET),
+    **triage_oracles(EXCERPT_BUDGET, DOCUMENT_BUDGET, BIG_BUDGET),
     **question_oracles(MIXED, SCAN),
     **_vote_oracles(),
     **_SELECTS,

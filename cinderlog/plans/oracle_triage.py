@@ -317,7 +317,9 @@ FROM chosen JOIN room USING (artifact_id)"""
     )
 
 
-def triage_oracles(excerpt_budget: int, document_budget: int) -> dict[str, str]:
+def triage_oracles(
+    excerpt_budget: int, document_budget: int, big_budget: int
+) -> dict[str, str]:
     small, big, docs = (
         triage_ctes(TOOL_OUTPUT_SQL),
         triage_ctes(BIG_TOOL_SQL),
@@ -341,4 +343,5 @@ def triage_oracles(excerpt_budget: int, document_budget: int) -> dict[str, str]:
         },
         "excerpt": excerpt_sql(TOOL_OUTPUT_SQL, excerpt_budget),
         "excerpt_documents": excerpt_sql(DOCUMENTS, document_budget),
+        "big_excerpt": excerpt_sql(BIG_TOOL_SQL, big_budget),
     }

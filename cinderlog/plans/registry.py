@@ -14,7 +14,7 @@ from ..functions.text import lines_of
 from ..operators import answers as A
 from ..operators import family, questions, triage, votes
 from ..operators.answers import Plan
-from ..operators.excerpt import excerpts
+from ..operators.excerpt import excerpts, piece_excerpts
 from ..operators.profile import profile
 from ..sources.logs import parse_csv_lines, to_csv_line
 from . import views as V
@@ -28,6 +28,7 @@ SPECIAL = "%%% "
 
 EXCERPT_BUDGET = 500
 DOCUMENT_BUDGET = 1200
+BIG_BUDGET = 3000
 
 # The plans behind the single-plan queries.
 PLANS = {
@@ -203,6 +204,11 @@ def excerpt(spark: SparkSession, sf: str) -> DataFrame:
     return excerpts(triaged(spark, sf), EXCERPT_BUDGET)
 
 
+def big_excerpt(spark: SparkSession, sf: str) -> DataFrame:
+    lines = V.big_tool_lines(spark, sf)
+    return piece_excerpts(lines, triage.piece_findings(lines), BIG_BUDGET)
+
+
 def excerpt_documents(spark: SparkSession, sf: str) -> DataFrame:
     return excerpts(triage.triage_texts(V.texts(spark, sf)), DOCUMENT_BUDGET)
 
@@ -398,6 +404,7 @@ QUERIES: dict[str, Query] = {
     **{f"rule_{rule_id}": _rule_query(rule_id) for rule_id in R.REPORTS},
     "excerpt": excerpt,
     "excerpt_documents": excerpt_documents,
+    "big_excerpt": big_excerpt,
     "question_audit": question_audit,
     "decline_report": decline_report,
     "plan_check": plan_check,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinderlog.operators import triage as T
-from cinderlog.operators.excerpt import excerpts
+from cinderlog.operators.excerpt import excerpts, piece_excerpts
 
 MEMORY = (
     "Volatility 3 Framework 2.7.0\n"
@@ -80,3 +80,28 @@ def test_bounds(spark):
         assert "more finding lines omitted" in got[1] and "omitted to fit" in got[1]
     assert "lsass.exe\t0x1f0a0000" in got[0]
     assert "RWX executable memory inside lsass.exe" in got[0]
+
+
+@pytest.mark.parametrize("budget", [300, 900, 3000])
+def test_large_artifacts_equal_whole_texts(spark, budget):
+    rng = random.Random(budget)
+    pool = [*MEMORY.splitlines(), "C:\\Temp\\a.exe", "", "quiet", "9.9.9.9 443 ESTABLISHED 7 mshta.exe"]
+    texts = ["quiet", MEMORY]
+    for n in (30, 200, 900):
+        lines = []
+        for i in range(n):
+            kind = rng.random()
+            if kind < 0.3:
+                lines.append(rng.choice(pool))
+            elif kind < 0.5:
+                lines.append(f"C:\\Users\\u\\Downloads\\drop{i}.exe")
+            else:
+                lines.append("z" * rng.randint(0, 60))
+        texts.append("\n".join([*lines, "end"]))
+    triaged = texts_of(spark, texts)
+    want = {r.artifact_id: tuple(r) for r in excerpts(triaged, budget).collect()}
+    rows = [(i, n, line) for i, t in enumerate(texts) for n, line in enumerate(t.splitlines())]
+    lines = spark.createDataFrame(rows, "artifact_id long, line_no long, line string").repartition(4)
+    found = T.piece_findings(lines, 64, 32)
+    got = {r.artifact_id: tuple(r) for r in piece_excerpts(lines, found, budget).collect()}
+    assert got == want
