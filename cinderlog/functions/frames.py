@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +34,21 @@ def deal_out(df: DataFrame) -> DataFrame:
     if len(df.inputFiles()) >= cores or size >= cores * SPLIT_BYTES:
         return df
     return df.repartition(cores)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute a costly table once, in the folder all executors share.
+
+    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session without one gets a
+    folder of its own.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="cinderlog-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

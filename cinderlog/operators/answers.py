@@ -17,6 +17,7 @@ from ..functions.predicates import (
     text_column,
     words_of,
 )
+from ..functions.sql import quote
 
 
 @dataclass(frozen=True)
@@ -243,43 +244,80 @@ def catalog_plans() -> list[Plan]:
     return found
 
 
-# Word lists that travel with a line in one row.
-LISTS = 64
+# Asked plans that travel with a line in one row.
+PACK = 64
+ASKED = [
+    "words",
+    "skip_wrappers",
+    "account_scope",
+    "extract_field",
+    "aggregate",
+]
 
 
-def answer_phrases(logs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Line counts of phrase questions: ``artifact_id, question_id, words, skip_wrappers, c``.
+def answer_questions(logs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Answers to checked questions: ``artifact_id, question_id, v, c``.
 
-    ``wanted`` carries one row per question with the words its lines must hold. Questions asking
-    for the same words in the same artifact are answered once. An artifact's distinct word lists
-    are packed, 64 to a row, so a line meets them packed and emits only the lists it satisfies;
-    these are counted before the shuffle. The join key is the artifact, where AQE can split the
-    lines of a hot one. A question without a line gets 0.
+    ``wanted`` has ``artifact_id, question_id`` and the columns ``words, skip_wrappers,
+    account_scope, extract_field, aggregate`` that ``questions.check_plans`` gives a valid plan.
+    Questions asking the same of the same artifact are answered once. An artifact's distinct asked
+    plans are packed, 64 to a row, so a line meets them packed and emits only the plans that
+    select it; these are counted per value before the shuffle. The join key is the artifact,
+    where AQE can split the lines of a hot one. ``wanted`` is read twice; see ``frames.cut`` if it
+    is costly to compute. Counts without a line are 0; a top value without
+    a line is NULL in both columns.
     """
-    asked = wanted.select("artifact_id", "words", "skip_wrappers").distinct()
-    order = Window.partitionBy("artifact_id").orderBy("words", "skip_wrappers")
+    asked = wanted.select("artifact_id", *ASKED).distinct()
+    order = Window.partitionBy("artifact_id").orderBy(*ASKED)
     packed = (
-        asked.withColumn("pack", F.floor((F.row_number().over(order) - 1) / LISTS))
+        asked.withColumn("pack", F.floor((F.row_number().over(order) - 1) / PACK))
         .groupBy("artifact_id", "pack")
-        .agg(F.collect_list(F.struct("words", "skip_wrappers")).alias("lists"))
+        .agg(F.collect_list(F.struct(*ASKED)).alias("plans"))
+    )
+    roots = [f.root_text for f in C.FILTERS.values() if f.root_text]
+    fields = [n for n in C.EXTRACTIONS if n != "none"]
+    lines = logs.select(
+        "artifact_id",
+        C.TEXT,
+        is_wrapper().alias("wrapped"),
+        *[root_lines(t).alias(f"r{i}") for i, t in enumerate(roots)],
+        *[extracted(f).cast("string").alias(f"x_{f}") for f in fields],
+    )
+    rooted = " ".join(
+        f"WHEN p.account_scope = 'root' AND w = {quote(t)} THEN r{i}"
+        for i, t in enumerate(roots)
     )
-    lines = logs.select("artifact_id", C.TEXT, is_wrapper().alias("wrapped"))
-    satisfied = (
-        f"filter(lists, l -> NOT (l.skip_wrappers AND wrapped) "
-        f"AND forall(l.words, w -> contains({C.TEXT}, w)))"
+    found = f"forall(p.words, w -> CASE {rooted} ELSE contains({C.TEXT}, w) END)"
+    value = " ".join(f"WHEN '{f}' THEN x_{f}" for f in fields)
+    guarded = ", ".join(f"'{f}'" for f in fields if C.EXTRACTIONS[f].pattern)
+    value = f"CASE p.extract_field {value} END"
+    chosen = (
+        f"transform(filter(plans, p -> NOT (p.skip_wrappers AND wrapped) AND {found} "
+        f"AND (p.extract_field NOT IN ({guarded}) OR {value} <> '')), "
+        f"p -> struct({', '.join('p.' + a for a in ASKED)}, {value} AS v))"
     )
-    hits = (
+    per_value = (
         lines.join(packed, "artifact_id")
-        .selectExpr("artifact_id", f"inline({satisfied})")
-        .groupBy("artifact_id", "words", "skip_wrappers")
-        .agg(F.count("*").alias("c"))
+        .selectExpr("artifact_id", f"inline({chosen})")
+        .groupBy("artifact_id", *ASKED, "v")
+        .agg(F.count("*").alias("k"))
     )
-    return wanted.join(hits, ["artifact_id", "words", "skip_wrappers"], "left").select(
+    # Most frequent first, ties to the smallest value, NULL after every value.
+    folded = per_value.groupBy("artifact_id", *ASKED).agg(
+        F.sum("k").alias("lines"),
+        F.count("v").alias("values"),
+        F.expr("min(struct(-k AS k, v IS NULL AS z, v))").alias("top"),
+    )
+    is_top = F.col("aggregate") == C.AGGREGATES[2]
+    zero = F.lit(0).cast("long")
+    return wanted.join(folded, ["artifact_id", *ASKED], "left").select(
         "artifact_id",
         "question_id",
-        "words",
-        "skip_wrappers",
-        F.coalesce("c", F.lit(0)).cast("long").alias("c"),
+        F.when(is_top, F.col("top.v")).alias("v"),
+        F.when(is_top, -F.col("top.k"))
+        .when(F.col("aggregate") == C.AGGREGATES[1], F.coalesce("values", zero))
+        .otherwise(F.coalesce("lines", zero))
+        .alias("c"),
     )
 
 
@@ -314,7 +352,7 @@ __all__ = [
     "Plan",
     "answer",
     "answer_all",
-    "answer_phrases",
+    "answer_questions",
     "catalog_plans",
     "explain",
 ]

@@ -9,7 +9,7 @@ A prepared piece has three columns: ``_text`` is what a pattern may look at, ``_
 copy, ``_own`` the part that belongs to the piece alone. Text and own part differ only where
 pieces overlap; every signal is either unaffected by seeing a match twice or reads ``_own``.
 
-Cost: a text without any indicator is the common case. Twenty cheap *leads* are projected first; a
+Cost: a text without any indicator is the common case. A few cheap *leads* are projected first; a
 signal is computed only where its lead holds. Behind a lead, literal ``contains`` tests on the
 folded copy come before any regex.
 """

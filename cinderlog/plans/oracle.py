@@ -267,7 +267,7 @@ ORACLE: dict[str, str] = {
     "text_lines": r"SELECT doc_id, len(l) - CASE WHEN l[len(l)] = '' THEN 1 ELSE 0 END AS n_lines, n_text FROM "
     r"(SELECT doc_id, length(text) AS n_text, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]') AS l FROM documents) q",
     **triage_oracles(EXCERPT_BUDGET, DOCUMENT_BUDGET, BIG_BUDGET),
-    **question_oracles(MIXED, SCAN),
+    **question_oracles(MIXED, SCAN, VALUES),
     **_vote_oracles(),
     **_SELECTS,
 }

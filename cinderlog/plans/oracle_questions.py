@@ -205,7 +205,8 @@ done AS (SELECT *, CASE WHEN reason IS NOT NULL THEN NULL WHEN ag = 'count_rows'
 """
 
 
-def question_oracles(mixed: str, scan: str) -> dict[str, str]:
+def question_oracles(mixed: str, scan: str, values: dict[str, str]) -> dict[str, str]:
+    extract = " ".join(f"WHEN '{x}' THEN {sql}" for x, sql in values.items())
     valid = "reason IS NULL"
     return {
         "question_audit": f"{READ} SELECT question_id, array_to_string(phrases, '|') AS phrases, root_scope, how_many, "
@@ -228,4 +229,18 @@ def question_oracles(mixed: str, scan: str) -> dict[str, str]:
         "AND NOT (skip_wrappers AND contains(Content, 'message repeated')) GROUP BY 1, 2, 3) "
         "SELECT artifact_id, question_id, coalesce(c, 0) AS c FROM done LEFT JOIN counted USING (artifact_id, words, skip_wrappers) "
         "WHERE reason IS NULL AND ag = 'count_rows' AND NOT root_scope",
+        "question_answers": f"{CHECK}, logs AS (SELECT artifact_id, Content, EventId FROM {mixed}), "
+        "wanted AS (SELECT * FROM done WHERE reason IS NULL), "
+        f"lines AS (SELECT question_id, w.ag, CASE ex {extract} END AS v, ex FROM wanted w JOIN logs USING (artifact_id) "
+        "WHERE (words = '' OR len(list_filter(string_split(words, '|'), lambda t: NOT CASE WHEN root_scope AND t = 'session opened for user root' "
+        "THEN regexp_matches(Content, 'session opened for user root(\\s|$)') ELSE contains(Content, t) END)) = 0) "
+        "AND NOT (skip_wrappers AND contains(Content, 'message repeated'))), "
+        "kept AS (SELECT * FROM lines WHERE ex IN ('none', 'event_id') OR v <> ''), "
+        "top AS (SELECT question_id, v, c FROM (SELECT question_id, v, count(*) AS c, row_number() OVER "
+        "(PARTITION BY question_id ORDER BY count(*) DESC, v NULLS LAST) AS r FROM kept "
+        "WHERE ag = 'most_frequent_value_and_count' GROUP BY 1, 2) q WHERE r = 1), "
+        "counts AS (SELECT question_id, count(*) AS n, count(DISTINCT v) AS d FROM kept GROUP BY 1) "
+        "SELECT artifact_id, question_id, top.v AS v, CASE ag WHEN 'count_rows' THEN coalesce(counts.n, 0) "
+        "WHEN 'count_distinct_values' THEN coalesce(counts.d, 0) ELSE top.c END AS c FROM wanted LEFT JOIN counts USING (question_id) "
+        "LEFT JOIN top USING (question_id)",
     }

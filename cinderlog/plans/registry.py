@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 from ..functions import rules as R
+from ..functions.frames import cut
 from ..functions.predicates import extracted, like
 from ..functions.text import lines_of
 from ..operators import answers as A
@@ -257,15 +258,20 @@ def plan_restrict(spark: SparkSession, sf: str) -> DataFrame:
     return family.restrict_plans(plans, family.scan(V.mixed_logs(spark, sf)))
 
 
+def question_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """From questions and plans to answers, for every artifact."""
+    valid = checked_plans(spark, sf).where("reason IS NULL")
+    wanted = cut(valid.select("artifact_id", "question_id", *A.ASKED))
+    return A.answer_questions(V.mixed_logs(spark, sf), wanted)
+
+
 def phrase_answers(spark: SparkSession, sf: str) -> DataFrame:
     """Line counts of the valid plain-count plans, by the literal words of each."""
     valid = checked_plans(spark, sf).where(
         "reason IS NULL AND aggregate = 'count_rows' AND account_scope = 'any_user'"
     )
-    wanted = valid.select("artifact_id", "question_id", "words", "skip_wrappers")
-    return A.answer_phrases(V.mixed_logs(spark, sf), wanted).select(
-        "artifact_id", "question_id", "c"
-    )
+    wanted = cut(valid.select("artifact_id", "question_id", *A.ASKED))
+    return A.answer_questions(V.mixed_logs(spark, sf), wanted).drop("v")
 
 
 # ---------------------------------------------------------------- votes
@@ -410,6 +416,7 @@ QUERIES: dict[str, Query] = {
     "plan_check": plan_check,
     "plan_restrict": plan_restrict,
     "phrase_answers": phrase_answers,
+    "question_answers": question_answers,
     "vote_majority": vote_majority,
     "vote_unanimous": vote_unanimous,
     "cross_check": cross_check,

@@ -156,21 +156,50 @@ def test_batch_opens_more_groups_than_slots(log_of):
     assert len(got) == 140 and all(r.c == 1 for r in got)
 
 
-def test_phrase_questions_with_hot_artifact(spark, log_of):
+def test_questions_are_answered_together(spark, log_of):
     log = log_of(SAMPLE).withColumn("artifact_id", F.lit(1).cast("long"))
+    failed, count = ["Failed password"], "count_rows"
+    rows = [
+        (1, 1, failed, True, "any_user", "none", count),
+        (1, 2, failed, True, "any_user", "none", count),
+        (1, 3, [*failed, "invalid user"], True, "any_user", "none", count),
+        (1, 4, [], False, "any_user", "none", count),
+        (1, 5, ["nothing"], True, "any_user", "none", count),
+        (2, 6, failed, True, "any_user", "none", count),
+        (1, 7, failed, False, "any_user", "source_ip", DISTINCT),
+        (1, 8, ["Invalid user "], True, "any_user", "invalid_username", TOP),
+        (1, 9, ["nothing"], True, "any_user", "event_id", TOP),
+        (1, 10, ["nothing"], False, "any_user", "event_id", DISTINCT),
+        (1, 11, ["session opened for user root"], True, "root", "none", count),
+    ]
+    # More distinct lists than fit one pack.
+    rows += [(1, 100 + i, [f"u{i} "], True, "any_user", "none", count) for i in range(150)]
     wanted = spark.createDataFrame(
-        [
-            (1, 1, ["Failed password"], True),
-            (1, 2, ["Failed password"], True),
-            (1, 3, ["Failed password", "invalid user"], True),
-            (1, 4, [], False),
-            (1, 5, ["nothing"], True),
-            (2, 6, ["Failed password"], True),
-        ],
-        "artifact_id long, question_id long, words array<string>, skip_wrappers boolean",
+        rows,
+        "artifact_id long, question_id long, words array<string>, skip_wrappers boolean, "
+        "account_scope string, extract_field string, aggregate string",
     )
-    got = {r.question_id: r.c for r in A.answer_phrases(log, wanted).collect()}
-    assert got == {1: 13, 2: 13, 3: 4, 4: len(SAMPLE), 5: 0, 6: 0}
+    log = log.unionByName(
+        log_of(["session opened for user rootkit", "session opened for user root"]).withColumn(
+            "artifact_id", F.lit(1).cast("long")
+        )
+    )
+    got = {r.question_id: (r.v, r.c) for r in A.answer_questions(log, wanted).collect()}
+    assert len(got) == len(rows)
+    assert {i: got[i] for i in range(1, 12)} == {
+        1: (None, 13),
+        2: (None, 13),
+        3: (None, 4),
+        4: (None, len(SAMPLE) + 2),
+        5: (None, 0),
+        6: (None, 0),
+        7: (None, 5),
+        8: ("admin", 2),
+        9: (None, None),
+        10: (None, 0),
+        11: (None, 1),
+    }
+    assert got[100] == (None, 1) and got[149] == (None, 0)
 
 
 def test_sentences():
