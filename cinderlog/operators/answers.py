@@ -71,16 +71,28 @@ def answer(logs: DataFrame, plan: Plan, exact: bool = True) -> DataFrame:
 
     A count has no value. ``exact=False`` lets a distinct count be approximate.
     """
-    rows = logs.where(plan.lines())
     nothing = F.lit(None).cast("string").alias("v")
     if plan.aggregate == "count_rows":
-        return rows.agg(F.count("*").alias("c")).select(nothing, "c")
+        return logs.where(plan.lines()).agg(F.count("*").alias("c")).select(nothing, "c")
+    # The value is a column of the aggregation only: a filter on it would be moved below and run
+    # the extraction a second time. A value without a match is NULL instead.
+    rows = logs.where(
+        lines_for(plan.event_filter, plan.aggregate, "none", plan.root, plan.phrases)
+    )
     value = extracted(plan.extract_field)
+    matched = bool(C.EXTRACTIONS[plan.extract_field].pattern)
+    if matched:
+        value = F.nullif(value, F.lit(""))
     if plan.aggregate == "count_distinct_values":
         n = F.count_distinct(value) if exact else F.approx_count_distinct(value)
         return rows.agg(n.alias("c")).select(nothing, "c")
     counted = rows.groupBy(value.alias("v")).agg(F.count("*").alias("c"))
-    return counted.orderBy(F.desc("c"), F.asc_nulls_last("v")).limit(1)
+    order = [F.desc("c"), F.asc_nulls_last("v")]
+    if not matched:
+        return counted.orderBy(*order).limit(1)
+    # Lines without a match are one NULL group, ranked after all others and then dropped.
+    top = counted.orderBy(F.col("v").isNull(), *order).limit(1)
+    return top.where(F.col("v").isNotNull())
 
 
 def answer_all(

@@ -162,6 +162,8 @@ def piece_excerpts(
       priority order are the only ones that can be chosen. That limit is applied inside each task
       before the shuffle (window group limit) and leaves some ten thousand short lines at most;
     * of the findings, only as many as fit the block by their shortest form.
+
+    ``found`` is read three times; see ``frames.cut``.
     """
     lines = lines.select(
         "artifact_id", "line_no", F.coalesce("line", F.lit("")).alias("line")

@@ -176,7 +176,7 @@ def pieces(
     """
     if not 0 <= overlap <= size:
         raise ValueError("overlap must lie between 0 and size")
-    number = F.floor(F.col("line_no") / size).cast("long")
+    number = F.expr(f"line_no DIV {int(size)}")
     ahead = (F.pmod(F.col("line_no"), F.lit(size)) < overlap) & (number > 0)
     here, before = F.struct(number, F.lit(True)), F.struct(number - 1, F.lit(False))
     copies = F.when(ahead, F.array(here, before)).otherwise(F.array(here))

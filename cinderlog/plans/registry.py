@@ -207,7 +207,7 @@ def excerpt(spark: SparkSession, sf: str) -> DataFrame:
 
 def big_excerpt(spark: SparkSession, sf: str) -> DataFrame:
     lines = V.big_tool_lines(spark, sf)
-    return piece_excerpts(lines, triage.piece_findings(lines), BIG_BUDGET)
+    return piece_excerpts(lines, cut(triage.piece_findings(lines)), BIG_BUDGET)
 
 
 def excerpt_documents(spark: SparkSession, sf: str) -> DataFrame:

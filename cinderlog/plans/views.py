@@ -129,9 +129,7 @@ def big_tool_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``artifact_id, line_no, line``: long artifacts, given as numbered lines."""
     events = table(spark, sf_dir, "events")
     return events.select(
-        F.floor(F.col("event_id") / BIG_ARTIFACT_LINES)
-        .cast("long")
-        .alias("artifact_id"),
+        F.expr(f"event_id DIV {BIG_ARTIFACT_LINES}").alias("artifact_id"),
         (F.col("event_id") % BIG_ARTIFACT_LINES).alias("line_no"),
         tool_line().alias("line"),
     )
