@@ -251,11 +251,16 @@ def codec(path: str) -> Codec:
 
 
 def encode(
-    df: DataFrame, path: str, text: str = "text", results: tuple[str, ...] = tuple(RESULTS)
+    df: DataFrame,
+    path: str,
+    text: str = "text",
+    results: tuple[str, ...] = tuple(RESULTS),
+    keep_text: bool = True,
 ) -> DataFrame:
     """df with the wanted RESULTS. Whole texts, no shuffle; the other columns ride along."""
     at = df.columns.index(text)
-    names = [*df.columns, *results]
+    kept = [i for i, c in enumerate(df.columns) if keep_text or c != text]
+    names = [*(df.columns[i] for i in kept), *results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -274,7 +279,9 @@ def encode(
                 }
                 texts = [own.decode(i) for i in ids]
                 new = [pa.array(made[r](), RESULTS[r][1]) for r in results]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part[i] for i in kept), *new], names=names
+                )
 
-    kept = [f"`{c}` {t}" for c, t in df.dtypes]
-    return df.mapInArrow(run, ", ".join([*kept, *(f"{r} {RESULTS[r][0]}" for r in results)]))
+    fields = ["`{}` {}".format(*df.dtypes[i]) for i in kept]
+    return df.mapInArrow(run, ", ".join([*fields, *(f"{r} {RESULTS[r][0]}" for r in results)]))
