@@ -6,13 +6,14 @@ import pytest
 import __spark_entry__ as entry
 from cinderlog.functions import catalog as C
 from cinderlog.functions import rules as R
+from cinderlog.plans import oracle, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = registry.QUERIES, oracle.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +31,11 @@ def test_every_query_has_an_oracle():
     assert {f"flt_{f}" for f in C.FILTERS} <= set(QUERIES)
 
 
+def test_everything_is_registered():
+    assert QUERIES.items() <= entry.queries().items()
+    assert ORACLE.items() <= entry.oracle_sql().items()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 250
 
