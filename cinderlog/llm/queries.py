@@ -194,7 +194,7 @@ def _quoted(pattern: str) -> str:
 
 _QUALITY = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), x -> x <> '') AS w,
+w AS (SELECT doc_id, text, [x FOR x IN regexp_split_to_array(text, '[ \\t-\\r]+') IF x <> ''] AS w,
              string_split(text, chr(10)) AS lines FROM d),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
 k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g),
