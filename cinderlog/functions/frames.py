@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,37 +16,3 @@ def settle(df: DataFrame, *computed: str) -> DataFrame:
     kept = [c for c in df.columns if c not in computed]
     settled = df.select(*kept, F.inline(F.array(F.struct(*computed))))
     return settled.select(*df.columns)
-
-
-SPLIT_BYTES = 128 << 20
-
-
-def deal_out(df: DataFrame) -> DataFrame:
-    """Spread a small scan over all cores before costly row-by-row work.
-
-    A scan of fewer files than cores, too small to be split, would run all patterns in a few
-    tasks. Only then are the rows dealt out; a table with enough files or bytes is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if len(df.inputFiles()) >= cores or size >= cores * SPLIT_BYTES:
-        return df
-    return df.repartition(cores)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute a costly table once, in the folder all executors share.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session without one gets a
-    folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="cinderlog-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()

@@ -118,21 +118,25 @@ KIND_CUES = {
 
 # Words that are no account name, no origin, no literal.
 ACCOUNT_STOP = (
-    "the a an this that these those its it which what how count counts number source "
-    "destination ip ips address addresses host hosts user users username usernames account "
-    "accounts far well much many most least all any each every one per of in on at to and or "
-    "default descending ascending order frequency name names type types event events line "
-    "lines time date template templates eventid sshd pam failed successful invalid accepted "
-    "distinct unique different total same single remote local example instance reference "
-    "comparison sure now me us you them him her attempt attempts login logins session "
-    "sessions failure failures request requests connection connections authentication "
-    "password passwords message messages log logs entry entries"
-).split()
+    "the", "a", "an", "this", "that", "these", "those", "its", "it", "which", "what", "how",
+    "count", "counts", "number", "source", "destination", "ip", "ips", "address", "addresses",
+    "host", "hosts", "user", "users", "username", "usernames", "account", "accounts", "far",
+    "well", "much", "many", "most", "least", "all", "any", "each", "every", "one", "per", "of",
+    "in", "on", "at", "to", "and", "or", "default", "descending", "ascending", "order",
+    "frequency", "name", "names", "type", "types", "event", "events", "line", "lines", "time",
+    "date", "template", "templates", "eventid", "sshd", "pam", "failed", "successful", "invalid",
+    "accepted", "distinct", "unique", "different", "total", "same", "single", "remote", "local",
+    "example", "instance", "reference", "comparison", "sure", "now", "me", "us", "you", "them",
+    "him", "her", "attempt", "attempts", "login", "logins", "session", "sessions", "failure",
+    "failures", "request", "requests", "connection", "connections", "authentication", "password",
+    "passwords", "message", "messages", "log", "logs", "entry", "entries",
+)
 FROM_STOP = (
-    "the this that these those a an outside inside external internal anywhere elsewhere where "
-    "known unknown any all each every log logs file files data home work users user accounts "
-    "account which what here there it them us me you different distinct same other another "
-    "multiple several many few one two three various remote local root invalid failed accepted "
-    "sshd pam"
-).split()
+    "the", "this", "that", "these", "those", "a", "an", "outside", "inside", "external",
+    "internal", "anywhere", "elsewhere", "where", "known", "unknown", "any", "all", "each",
+    "every", "log", "logs", "file", "files", "data", "home", "work", "users", "user", "accounts",
+    "account", "which", "what", "here", "there", "it", "them", "us", "me", "you", "different",
+    "distinct", "same", "other", "another", "multiple", "several", "many", "few", "one", "two",
+    "three", "various", "remote", "local", "root", "invalid", "failed", "accepted", "sshd", "pam",
+)
 ABBREVIATIONS = ("e.g", "i.e", "etc", "vs", "cf", "a.m", "p.m", "sshd.auth", "pam_unix.sshd")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
@@ -256,7 +256,7 @@ def catalog_plans() -> list[Plan]:
     return found
 
 
-# Asked plans that travel with a line in one row.
+# Asked plans that travel with a line in one row, on average.
 PACK = 64
 ASKED = [
     "words",
@@ -268,21 +268,30 @@ ASKED = [
 
 
 def answer_questions(logs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Answers to checked questions: ``artifact_id, question_id, v, c``.
+    """Answers to checked questions: ``artifact_id, question_id, v, c, reason``.
+
+    ``wanted`` has ``artifact_id, question_id``, the columns ``words, skip_wrappers,
+    account_scope, extract_field, aggregate`` that ``questions.check_plans`` gives a valid plan, and
+    the ``reason`` that ``family.restrict_plans`` gives where the artifact cannot answer. Such a
+    question keeps its reason and gets no number.
 
-    ``wanted`` has ``artifact_id, question_id`` and the columns ``words, skip_wrappers,
-    account_scope, extract_field, aggregate`` that ``questions.check_plans`` gives a valid plan.
     Questions asking the same of the same artifact are answered once. An artifact's distinct asked
-    plans are packed, 64 to a row, so a line meets them packed and emits only the plans that
-    select it; these are counted per value before the shuffle. The join key is the artifact,
-    where AQE can split the lines of a hot one. ``wanted`` is read twice; see ``frames.cut`` if it
-    is costly to compute. Counts without a line are 0; a top value without
-    a line is NULL in both columns.
+    plans are packed, about 64 to a row, so a line meets them packed and emits only the plans that
+    select it; these are counted per value before the shuffle. Packs are dealt by a digest, so no
+    window runs over an artifact's plans. The join key is the artifact, where AQE can split the
+    lines of a hot one. Both uses of ``wanted`` read the same columns of one exchange, which Spark
+    reuses. Counts without a line are 0; a top value without a line is NULL in both columns.
     """
-    asked = wanted.select("artifact_id", *ASKED).distinct()
-    order = Window.partitionBy("artifact_id").orderBy(*ASKED)
+    wanted = wanted.repartition("artifact_id")
+    asked = (
+        wanted.where("reason IS NULL")
+        .groupBy("artifact_id", *ASKED)
+        .agg(F.count("question_id").alias("n_asked"))
+    )
+    packs = asked.groupBy("artifact_id").agg(F.ceil(F.count("*") / PACK).alias("n_packs"))
     packed = (
-        asked.withColumn("pack", F.floor((F.row_number().over(order) - 1) / PACK))
+        asked.join(packs, "artifact_id")
+        .withColumn("pack", F.pmod(F.xxhash64(*ASKED), F.col("n_packs")))
         .groupBy("artifact_id", "pack")
         .agg(F.collect_list(F.struct(*ASKED)).alias("plans"))
     )
@@ -322,41 +331,16 @@ def answer_questions(logs: DataFrame, wanted: DataFrame) -> DataFrame:
     )
     is_top = F.col("aggregate") == C.AGGREGATES[2]
     zero = F.lit(0).cast("long")
+    answered = F.col("reason").isNull()
     return wanted.join(folded, ["artifact_id", *ASKED], "left").select(
         "artifact_id",
         "question_id",
-        F.when(is_top, F.col("top.v")).alias("v"),
-        F.when(is_top, -F.col("top.k"))
-        .when(F.col("aggregate") == C.AGGREGATES[1], F.coalesce("values", zero))
-        .otherwise(F.coalesce("lines", zero))
+        F.when(answered & is_top, F.col("top.v")).alias("v"),
+        F.when(answered & is_top, -F.col("top.k"))
+        .when(answered & (F.col("aggregate") == C.AGGREGATES[1]), F.coalesce("values", zero))
+        .when(answered, F.coalesce("lines", zero))
         .alias("c"),
-    )
-
-
-def explain(plan: Plan) -> str:
-    """What the plan computes, as a sentence."""
-    entry = C.FILTERS[plan.event_filter]
-    words = words_of(plan.event_filter, plan.root, plan.phrases)
-    quoted = [p for p in plan.phrases if p in words and p not in entry.contains]
-    listed = " and ".join(f"'{p}'" for p in quoted)
-    what = entry.label + (" for the root user" if plan.root else "")
-    if plan.event_filter == "quoted_phrase":
-        what = f"lines containing {listed}"
-    elif quoted:
-        what += f" that also contain {listed}"
-    skipped = (
-        " (syslog 'message repeated' summary lines are excluded)"
-        if drops_wrappers(words, plan.aggregate)
-        else ""
-    )
-    noun = C.EXTRACTIONS[plan.extract_field].noun
-    if plan.aggregate == "count_rows":
-        return f"Counts {what}{skipped}."
-    if plan.aggregate == "count_distinct_values":
-        return f"Counts how many different {noun}s appear across {what}."
-    return (
-        f"Finds the {noun} that appears most often across {what}, and in how many "
-        f"lines{skipped} (one value; if several tie, the alphabetically first is shown)."
+        "reason",
     )
 
 
@@ -366,5 +350,4 @@ __all__ = [
     "answer_all",
     "answer_questions",
     "catalog_plans",
-    "explain",
 ]

@@ -163,7 +163,7 @@ def piece_excerpts(
       before the shuffle (window group limit) and leaves some ten thousand short lines at most;
     * of the findings, only as many as fit the block by their shortest form.
 
-    ``found`` is read three times; see ``frames.cut``.
+    ``found`` is read three times; Spark reuses the exchanges below it.
     """
     lines = lines.select(
         "artifact_id", "line_no", F.coalesce("line", F.lit("")).alias("line")

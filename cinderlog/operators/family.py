@@ -24,6 +24,9 @@ def has_header(df: DataFrame) -> bool:
 def scan(logs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per artifact: family, the filters whose words occur, IPv6, marker and filter counts.
 
+    Where logs have a column ``has_header``, as `read_logs` gives, it tells for each artifact whether
+    its header fits; else the columns of the DataFrame tell for all.
+
     Nine marker tests, seven vocabulary tests and the IPv6 test are conditional counts of one
     aggregation. All buffers are plain numbers, so hash aggregation combines on the map side and
     a log of any size costs one row per task and artifact.
@@ -33,14 +36,18 @@ def scan(logs: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.count_if(contains_all(C.FILTERS[name].contains)).alias(f"n_{name}")
         for name in C.VOCABULARY
     ]
+    fits = F.lit(has_header(logs))
+    if "has_header" in logs.columns:
+        fits = fits & F.col("has_header")
     counted = logs.groupBy(*keys).agg(
         F.count("*").alias("n_lines"),
+        F.bool_and(fits).alias("header_fits"),
         F.count_if(has_any(text_column(), C.MARKERS)).alias("n_marked"),
         F.count_if(looks_ipv6()).alias("n_ipv6"),
         *vocabulary,
     )
     any_word = F.greatest(*[F.col(f"n_{name}") for name in C.VOCABULARY]) > 0
-    known = F.lit(has_header(logs)) & (F.col("n_marked") > 0) & any_word
+    known = F.col("header_fits") & (F.col("n_marked") > 0) & any_word
     family = F.when(known, F.lit(C.FAMILY))
     return counted.select(
         *keys,

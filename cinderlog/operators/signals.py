@@ -6,8 +6,9 @@ one piece; a large artifact is many pieces whose signals ``merge`` combines with
 aggregation, so no artifact ever has to fit into one row.
 
 A prepared piece has three columns: ``_text`` is what a pattern may look at, ``_low`` its folded
-copy, ``_own`` the part that belongs to the piece alone. Text and own part differ only where
-pieces overlap; every signal is either unaffected by seeing a match twice or reads ``_own``.
+copy, ``_own`` the part in front that belongs to the piece alone. Text and own part differ only
+where pieces overlap. A flag or a set is unaffected by seeing a match twice, counts read ``_own``,
+and a first match must start in it.
 
 Cost: a text without any indicator is the common case. A few cheap *leads* are projected first; a
 signal is computed only where its lead holds. Behind a lead, literal ``contains`` tests on the
@@ -230,10 +231,16 @@ def flags() -> dict[str, str]:
     }
 
 
-def firsts() -> dict[str, str]:
-    """First match of a pattern, '' when absent."""
+def firsts(whole: bool = True) -> dict[str, str]:
+    """First match of a pattern, '' when absent.
+
+    A piece has only the match that starts in its own part; further on, the text may end inside
+    one, and the piece that owns its start sees all of it.
+    """
 
     def gated(gate: str, pattern: str, group: int) -> str:
+        if not whole:
+            gate += f" AND regexp_instr(_text, {quote(pattern)}) BETWEEN 1 AND length(_own)"
         return when(gate, first("_text", pattern, group), "''")
 
     exe = " AND " + _low(".exe")
@@ -276,7 +283,7 @@ def scalars(whole: bool) -> dict[str, str]:
         **dict.fromkeys(counts(), "0L"),
         **dict.fromkeys(capability_bits(), "0"),
     }
-    exprs = {**flags(), **firsts(), **counts(), **capability_bits()}
+    exprs = {**flags(), **firsts(whole), **counts(), **capability_bits()}
     return {n: _guarded(n, f"({e})", whole, empty[n]) for n, e in exprs.items()}
 
 

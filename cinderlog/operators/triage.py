@@ -158,45 +158,77 @@ def block_text(findings: Column) -> Column:
 
 # ---------------------------------------------------------------- large artifacts
 PIECE_LINES = 512
-PIECE_OVERLAP = 64
+#: Lines with text on them that a piece sees behind its own.
+PIECE_AHEAD = 64
+#: Stands for the blank lines of whole pieces: more than any pattern with a bounded gap crosses.
+BLANK_RUN = "\n" * 64
 
 
 def pieces(
-    lines: DataFrame, size: int = PIECE_LINES, overlap: int = PIECE_OVERLAP
+    lines: DataFrame, size: int = PIECE_LINES, ahead: int = PIECE_AHEAD
 ) -> DataFrame:
     """``artifact_id, line_no, line`` -> ``artifact_id, piece_no, own, text``.
 
     ``line_no`` counts an artifact's lines without gaps. A piece owns ``size`` lines and also
-    sees the ``overlap`` lines after them, so a match that runs over a line end is found by the
-    piece it starts in. Groups are bounded by ``size + overlap`` lines, whatever the artifact
-    holds, and the only data copied is the overlap.
-
-    No pattern joins more than 24 lines with text on them (the longest is a prologue with 40
-    characters between its halves); longer runs need blank lines in between.
+    sees the ``ahead`` lines *with text* that follow, however many blank lines lie between, so a
+    match that runs over line ends is seen whole by the piece it starts in: no pattern joins more
+    than 24 lines with text on them (the longest is a prologue with 40 characters between its
+    halves), only blanks have no bound. Blank pieces start no match and are left out.
+
+    Which pieces see the head of which others follows from the number of lines with text in each,
+    a table with a row of three numbers per piece. Texts go through one shuffle, heads through
+    another; a group is bounded by ``size`` lines and ``ahead`` heads.
     """
-    if not 0 <= overlap <= size:
-        raise ValueError("overlap must lie between 0 and size")
-    number = F.expr(f"line_no DIV {int(size)}")
-    ahead = (F.pmod(F.col("line_no"), F.lit(size)) < overlap) & (number > 0)
-    here, before = F.struct(number, F.lit(True)), F.struct(number - 1, F.lit(False))
-    copies = F.when(ahead, F.array(here, before)).otherwise(F.array(here))
+    if size < 1 or ahead < 1:
+        raise ValueError("size and ahead must be positive")
+    line = F.coalesce("line", F.lit(""))
     placed = lines.select(
         "artifact_id",
         "line_no",
-        F.coalesce("line", F.lit("")).alias("line"),
-        F.inline(copies.cast("array<struct<piece_no:long,own:boolean>>")),
+        line.alias("line"),
+        F.expr(f"line_no DIV {int(size)}").alias("piece_no"),
+        line.rlike(r"\S").alias("full"),
     )
-    grouped = placed.groupBy("artifact_id", "piece_no").agg(
-        F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)").alias("text"),
-        F.sum(F.when(F.col("own"), F.length("line") + 1)).alias("own_length"),
+    keys = ["artifact_id", "piece_no"]
+    grouped = (
+        placed.groupBy(*keys)
+        .agg(
+            F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)").alias("own"),
+            F.bool_or("full").alias("full"),
+        )
+        .where("full")
+        .drop("full")
     )
-    # The own lines come first. Copies in front of an artifact's first piece have none.
-    return grouped.where("own_length IS NOT NULL").selectExpr(
-        "artifact_id",
-        "piece_no",
-        "text",
-        "substring(text, 1, cast(own_length - 1 AS int)) AS own",
+
+    # A piece's head goes to those before it that have not seen enough lines with text yet.
+    filled = placed.where("full").groupBy(*keys).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("artifact_id").orderBy("piece_no").rowsBetween(-ahead, -1)
+    seen = F.collect_list(F.struct("piece_no", "n")).over(before)
+    near = filled.select(*keys, "n", seen.alias("earlier")).selectExpr(
+        *keys,
+        "n",
+        f"filter(earlier, (p, i) -> aggregate(slice(earlier, i + 2, {ahead}), 0L, "
+        f"(total, q) -> total + q.n) < {ahead}).piece_no AS readers",
+        "get(earlier, size(earlier) - 1).piece_no AS last_no",
+    )
+    first = F.regexp_extract("own", rf"^(?:\s*\S[^\n]*\n?){{1,{int(ahead)}}}", 0)
+    head = F.when(F.col("n") < ahead, F.col("own")).otherwise(
+        F.regexp_replace(first, r"\n\z", "")
+    )
+    gap = F.when(F.col("last_no") < F.col("piece_no") - 1, F.lit(BLANK_RUN)).otherwise(F.lit(""))
+    heads = (
+        grouped.join(near, keys)
+        .select(
+            "artifact_id",
+            F.col("piece_no").alias("from_no"),
+            F.concat(gap, head).alias("head"),
+            F.explode("readers").alias("piece_no"),
+        )
+        .groupBy(*keys)
+        .agg(F.expr("listagg(head, '\n') WITHIN GROUP (ORDER BY from_no)").alias("rest"))
     )
+    text = F.concat_ws("\n", "own", "rest")
+    return grouped.join(heads, keys, "left").select(*keys, text.alias("text"), "own")
 
 
 def piece_signals(cut: DataFrame) -> DataFrame:
@@ -209,7 +241,7 @@ def piece_signals(cut: DataFrame) -> DataFrame:
 
 
 def piece_findings(
-    lines: DataFrame, size: int = PIECE_LINES, overlap: int = PIECE_OVERLAP
+    lines: DataFrame, size: int = PIECE_LINES, ahead: int = PIECE_AHEAD
 ) -> DataFrame:
     """Findings of large artifacts, one row each.
 
@@ -217,7 +249,7 @@ def piece_findings(
     Both branches read the same pieces; each computes only its own signals, and Spark reuses
     the exchange underneath.
     """
-    cut = pieces(lines, size, overlap)
+    cut = pieces(lines, size, ahead)
     found = ", ".join(
         f"named_struct('slot', '{s}', 'found', {slot_findings(s)})"
         for s in SLOTS
@@ -267,13 +299,13 @@ REPORT_ORDER = ("severity_rank", "slot", "piece_no", "match_no")
 
 
 def piece_verdicts(
-    lines: DataFrame, size: int = PIECE_LINES, overlap: int = PIECE_OVERLAP
+    lines: DataFrame, size: int = PIECE_LINES, ahead: int = PIECE_AHEAD
 ) -> DataFrame:
     """Verdict, finding count and priority finding of large artifacts.
 
     Artifacts without findings come from the line table itself and stay ``undetermined``.
     """
-    found = piece_findings(lines, size, overlap)
+    found = piece_findings(lines, size, ahead)
     top = F.min(
         F.struct(*REPORT_ORDER, "severity", "rule_id", "indicator", "evidence")
     )

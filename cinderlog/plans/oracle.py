@@ -12,6 +12,7 @@ from .registry import (
     PHRASE,
     REFINED,
     SPECIAL,
+    UNDERSCORE,
 )
 from .views import AUTH_LOG_SQL, CANDIDATES_ORACLE, MIXED_LOGS_SQL
 
@@ -165,14 +166,14 @@ _KEY = (
 _USABLE = f"(err IS NULL AND {_KEY} NOT IN ('null', '[[]]'))"
 
 
-def _majority(where: str = "") -> str:
+def _majority(c: str = "c") -> str:
     return f"""
 SELECT question_id, result, sql, coalesce(votes, 0) || '/' || n AS votes, result IS NOT NULL AS ok,
  CASE WHEN result IS NULL THEN coalesce(first_err, 'empty/zero result') END AS error FROM
- (SELECT question_id, count(*) AS n, min_by(err, pos) FILTER (WHERE err IS NOT NULL) AS first_err FROM c{where} GROUP BY 1) q
+ (SELECT question_id, count(*) AS n, min_by(err, pos) FILTER (WHERE err IS NOT NULL) AS first_err FROM {c} GROUP BY 1) q
  LEFT JOIN (SELECT question_id, key AS result, votes, sql FROM (SELECT question_id, {_KEY} AS key, count(*) AS votes,
   min_by(sql, pos) AS sql, row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, min(pos)) AS r
-  FROM c{where + " AND " if where else " WHERE "}{_USABLE} GROUP BY 1, 2) g WHERE r = 1) w USING (question_id)
+  FROM {c} WHERE {_USABLE} GROUP BY 1, 2) g WHERE r = 1) w USING (question_id)
 """
 
 
@@ -186,7 +187,7 @@ WITH v AS (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 + event_id // 8 END A
 SELECT question_id, CASE WHEN bad = 0 AND n >= 2 AND plans = 1 THEN plan END AS plan, n AS n_votes,
  CASE WHEN bad > 0 THEN 'invalid plan: bad vote' WHEN n < 2 THEN 'fewer than 2 votes' WHEN plans > 1 THEN 'router votes disagreed' END AS reason
 FROM (SELECT question_id, count(*) AS n, count(DISTINCT plan) AS plans, min(plan) AS plan, count(reason) AS bad FROM v GROUP BY 1) q""",
-        "cross_check": f"""{c}, a AS ({_majority()}), b AS ({_majority(" WHERE pos % 2 = 0")})
+        "cross_check": f"""{c}, a AS ({_majority()}), c2 AS (SELECT * REPLACE (CASE WHEN pos % 5 = 0 THEN 'Timeout' END AS err) FROM c), b AS ({_majority("c2")})
 SELECT a.question_id, a.result, b.result AS other_result, coalesce(b.ok, false) AS executed,
  CASE WHEN b.ok THEN a.result IS NOT DISTINCT FROM b.result END AS agree,
  CASE WHEN b.ok IS NULL OR NOT b.ok THEN 'NOT CHECKED' WHEN a.result IS NOT DISTINCT FROM b.result THEN 'AGREE' ELSE 'DISAGREE' END AS outcome
@@ -206,8 +207,9 @@ _SELECTS = {
     f"count(DISTINCT EventId) FILTER (WHERE Pid > 75) AS u, count(EventId) AS n FROM {LOG} GROUP BY 1",
     "sel_or_precedence": f"SELECT count(*) AS c FROM {LOG} WHERE Content LIKE '%Failed%' "
     "OR Content LIKE '%Accepted%' AND Pid <= 50",
-    "sel_compare": f"SELECT EventTemplate AS t, count(*) AS c FROM {LOG} WHERE LineId >= 100 AND LineId < 5000 "
-    "AND Pid <> 7 AND EventTemplate > 'click' GROUP BY t",
+    "sel_compare": f"SELECT EventTemplate AS t, count(*) AS c, count(*) FILTER (WHERE Pid < 40) AS low, "
+    f"count(*) FILTER (WHERE Pid = 40) AS same FROM {LOG} "
+    "WHERE Pid <> 7 AND Pid >= 2 AND EventTemplate > 'click' AND EventTemplate <= 'view' GROUP BY t",
     "sel_like": f"SELECT count(*) AS c FROM {LOG} WHERE Content LIKE '%user=ro_t' AND Content NOT LIKE '%[%'",
     "sel_whole_match": rf"SELECT regexp_extract(Content, 'user=\w+') AS x, count(*) AS c FROM {LOG} GROUP BY 1",
     "sel_order_limit": f"SELECT EventId, {IP} AS ip, count(*) AS c FROM {LOG} GROUP BY 1, 2 "
@@ -219,6 +221,10 @@ ORACLE: dict[str, str] = {
     "flt_quoted_phrase": _count(f"Content LIKE '%{PHRASE}%'"),
     "flt_session_root": _count(ROOT),
     "flt_wrapper_only": _count("Content LIKE '%message repeated%'", wrappers=True),
+    "flt_phrase_implied": _count("Content LIKE '%Failed password%'"),
+    "flt_phrase_added": _count(f"Content LIKE '%Failed password%' AND Content LIKE '%{PHRASE}%'"),
+    "flt_like_underscore": f"SELECT count(*) AS c FROM pages WHERE contains(url, '{UNDERSCORE}') "
+    "AND NOT contains(url, 'message repeated')",
     "flt_phrase_refines": _count(f"Content LIKE '%{REFINED}%'"),
     "flt_like_characters": f"SELECT count(*) AS c FROM pages WHERE contains(html, {lit(SPECIAL)})",
     "distinct_source_ip": _distinct("source_ip"),

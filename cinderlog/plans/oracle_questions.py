@@ -208,6 +208,22 @@ done AS (SELECT *, CASE WHEN reason IS NOT NULL THEN NULL WHEN ag = 'count_rows'
 def question_oracles(mixed: str, scan: str, values: dict[str, str]) -> dict[str, str]:
     extract = " ".join(f"WHEN '{x}' THEN {sql}" for x, sql in values.items())
     valid = "reason IS NULL"
+    gate = (
+        f", scan AS (SELECT artifact_id, family, present, has_ipv6 FROM ({scan}) s), "
+        "gated AS (SELECT artifact_id, question_id, ef AS event_filter, ex AS extract_field, "
+        "CASE WHEN family IS NULL THEN 'no intent catalog for this artifact''s layout' "
+        "WHEN NOT list_contains(string_split(present, ','), ef) THEN 'the artifact contains no ''' || ef || ''' lines' "
+        "WHEN has_ipv6 AND ex IN ('source_ip', 'pam_rhost_ip') "
+        "THEN 'the artifact carries IPv6 addresses, which the catalog''s IPv4 extractors would miss' END AS artifact_reason "
+        "FROM done LEFT JOIN scan USING (artifact_id) WHERE reason IS NULL)"
+    )
+    why = "(SELECT artifact_reason FROM gated g WHERE g.question_id = a.question_id)"
+
+    def gated(answers: str) -> str:
+        """Answers without the numbers of questions that an artifact cannot answer."""
+        shown = f"CASE WHEN {why} IS NULL THEN"
+        return f"SELECT a.* REPLACE ({shown} c END AS c), {why} AS reason FROM ({answers}) a"
+
     return {
         "question_audit": f"{READ} SELECT question_id, array_to_string(phrases, '|') AS phrases, root_scope, how_many, "
         "array_to_string(kinds, ',') AS kinds, q AS unquoted, decline_code, decline_reason FROM declined",
@@ -216,20 +232,17 @@ def question_oracles(mixed: str, scan: str, values: dict[str, str]) -> dict[str,
         f"CASE WHEN {valid} THEN ex END AS extract_field, "
         f"CASE WHEN {valid} THEN CASE WHEN root_scope THEN 'root' ELSE 'any_user' END END AS account_scope, "
         "words, skip_wrappers, explanation FROM done",
-        "plan_restrict": f"{CHECK}, scan AS (SELECT artifact_id, family, present, has_ipv6 FROM ({scan}) s) SELECT artifact_id, question_id, ef AS event_filter, ex AS extract_field, "
-        "CASE WHEN family IS NULL THEN 'no intent catalog for this artifact''s layout' "
-        "WHEN NOT list_contains(string_split(present, ','), ef) THEN 'the artifact contains no ''' || ef || ''' lines' "
-        "WHEN has_ipv6 AND ex IN ('source_ip', 'pam_rhost_ip') "
-        "THEN 'the artifact carries IPv6 addresses, which the catalog''s IPv4 extractors would miss' END AS artifact_reason "
-        "FROM done LEFT JOIN scan USING (artifact_id) WHERE reason IS NULL",
-        "phrase_answers": f"{CHECK}, logs AS (SELECT artifact_id, Content FROM {mixed}), "
+        "plan_restrict": f"{CHECK}{gate} SELECT artifact_id, question_id, event_filter, extract_field, artifact_reason FROM gated",
+        "phrase_answers": f"{CHECK}{gate}, logs AS (SELECT artifact_id, Content FROM {mixed}), "
         "asked AS (SELECT DISTINCT artifact_id, words, skip_wrappers FROM done WHERE reason IS NULL AND ag = 'count_rows' AND NOT root_scope), "
         "counted AS (SELECT artifact_id, words, skip_wrappers, count(*) AS c FROM asked JOIN logs USING (artifact_id) "
         "WHERE (words = '' OR len(list_filter(string_split(words, '|'), lambda w: NOT contains(Content, w))) = 0) "
         "AND NOT (skip_wrappers AND contains(Content, 'message repeated')) GROUP BY 1, 2, 3) "
-        "SELECT artifact_id, question_id, coalesce(c, 0) AS c FROM done LEFT JOIN counted USING (artifact_id, words, skip_wrappers) "
-        "WHERE reason IS NULL AND ag = 'count_rows' AND NOT root_scope",
-        "question_answers": f"{CHECK}, logs AS (SELECT artifact_id, Content, EventId FROM {mixed}), "
+        + gated(
+            "SELECT artifact_id, question_id, coalesce(c, 0) AS c FROM done LEFT JOIN counted USING (artifact_id, words, skip_wrappers) "
+            "WHERE reason IS NULL AND ag = 'count_rows' AND NOT root_scope"
+        ),
+        "question_answers": f"{CHECK}{gate}, logs AS (SELECT artifact_id, Content, EventId FROM {mixed}), "
         "wanted AS (SELECT * FROM done WHERE reason IS NULL), "
         f"lines AS (SELECT question_id, w.ag, CASE ex {extract} END AS v, ex FROM wanted w JOIN logs USING (artifact_id) "
         "WHERE (words = '' OR len(list_filter(string_split(words, '|'), lambda t: NOT CASE WHEN root_scope AND t = 'session opened for user root' "
@@ -240,7 +253,9 @@ def question_oracles(mixed: str, scan: str, values: dict[str, str]) -> dict[str,
         "(PARTITION BY question_id ORDER BY count(*) DESC, v NULLS LAST) AS r FROM kept "
         "WHERE ag = 'most_frequent_value_and_count' GROUP BY 1, 2) q WHERE r = 1), "
         "counts AS (SELECT question_id, count(*) AS n, count(DISTINCT v) AS d FROM kept GROUP BY 1) "
-        "SELECT artifact_id, question_id, top.v AS v, CASE ag WHEN 'count_rows' THEN coalesce(counts.n, 0) "
-        "WHEN 'count_distinct_values' THEN coalesce(counts.d, 0) ELSE top.c END AS c FROM wanted LEFT JOIN counts USING (question_id) "
-        "LEFT JOIN top USING (question_id)",
+        + gated(
+            "SELECT artifact_id, question_id, top.v AS v, CASE ag WHEN 'count_rows' THEN coalesce(counts.n, 0) "
+            "WHEN 'count_distinct_values' THEN coalesce(counts.d, 0) ELSE top.c END AS c FROM wanted LEFT JOIN counts USING (question_id) "
+            "LEFT JOIN top USING (question_id)"
+        ).replace("REPLACE (", f"REPLACE (CASE WHEN {why} IS NULL THEN v END AS v, "),
     }

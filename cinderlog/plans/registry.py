@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 from ..functions import rules as R
-from ..functions.frames import cut
 from ..functions.predicates import extracted, like
 from ..functions.text import lines_of
 from ..operators import answers as A
@@ -25,6 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Quoted phrases used by the phrase queries.
 PHRASE = "port 22"
 REFINED = "check pass; user unknown"
+IMPLIED = "PASSWORD"
+UNDERSCORE = "utm_source=f"
 SPECIAL = "%%% "
 
 EXCERPT_BUDGET = 500
@@ -42,6 +43,8 @@ PLANS = {
     "flt_session_root": Plan("session_opened", root=True),
     "flt_wrapper_only": Plan("quoted_phrase", phrases=(C.WRAPPER,)),
     "flt_phrase_refines": Plan("pam_user_unknown", phrases=(REFINED,)),
+    "flt_phrase_implied": Plan("failed_password", phrases=(IMPLIED,)),
+    "flt_phrase_added": Plan("failed_password", phrases=(PHRASE,)),
     "distinct_source_ip": Plan("all_events", "source_ip", C.AGGREGATES[1]),
     "distinct_rhost_ip": Plan("all_events", "pam_rhost_ip", C.AGGREGATES[1]),
     "distinct_invalid_username": Plan(
@@ -68,6 +71,11 @@ def like_characters(spark: SparkSession, sf: str) -> DataFrame:
     return A.answer(pages, Plan("quoted_phrase", phrases=(SPECIAL,))).select("c")
 
 
+def like_underscore(spark: SparkSession, sf: str) -> DataFrame:
+    pages = V.table(spark, sf, "pages").withColumnRenamed("url", C.TEXT)
+    return A.answer(pages, Plan("quoted_phrase", phrases=(UNDERSCORE,))).select("c")
+
+
 def batch_plans(spark: SparkSession, sf: str) -> DataFrame:
     return A.answer_all(V.auth_logs(spark, sf), A.catalog_plans())
 
@@ -207,7 +215,7 @@ def excerpt(spark: SparkSession, sf: str) -> DataFrame:
 
 def big_excerpt(spark: SparkSession, sf: str) -> DataFrame:
     lines = V.big_tool_lines(spark, sf)
-    return piece_excerpts(lines, cut(triage.piece_findings(lines)), BIG_BUDGET)
+    return piece_excerpts(lines, triage.piece_findings(lines), BIG_BUDGET)
 
 
 def excerpt_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,10 +267,15 @@ def plan_restrict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def question_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """From questions and plans to answers, for every artifact."""
-    valid = checked_plans(spark, sf).where("reason IS NULL")
-    wanted = cut(valid.select("artifact_id", "question_id", *A.ASKED))
-    return A.answer_questions(V.mixed_logs(spark, sf), wanted)
+    """From questions and plans to answers or a reason, for every artifact."""
+    return _answered(spark, sf, checked_plans(spark, sf).where("reason IS NULL"))
+
+
+def _answered(spark: SparkSession, sf: str, valid: DataFrame) -> DataFrame:
+    logs = V.mixed_logs(spark, sf)
+    columns = list(dict.fromkeys(["artifact_id", "question_id", "event_filter", *A.ASKED]))
+    wanted = family.restrict_plans(valid.select(*columns), family.scan(logs))
+    return A.answer_questions(logs, wanted.withColumnRenamed("artifact_reason", "reason"))
 
 
 def phrase_answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,8 +283,7 @@ def phrase_answers(spark: SparkSession, sf: str) -> DataFrame:
     valid = checked_plans(spark, sf).where(
         "reason IS NULL AND aggregate = 'count_rows' AND account_scope = 'any_user'"
     )
-    wanted = cut(valid.select("artifact_id", "question_id", *A.ASKED))
-    return A.answer_questions(V.mixed_logs(spark, sf), wanted).drop("v")
+    return _answered(spark, sf, valid).drop("v")
 
 
 # ---------------------------------------------------------------- votes
@@ -293,7 +305,9 @@ def cross_check(spark: SparkSession, sf: str) -> DataFrame:
     first = votes.majority(V.candidates(spark, sf)).select(
         "question_id", "result", "ok"
     )
-    second = V.candidates(spark, sf).where("pos % 2 = 0")
+    """Against the votes of another run over the same candidates, which failed on other ones."""
+    again = F.when(F.col("pos") % 5 == 0, F.lit("Timeout"))
+    second = V.candidates(spark, sf).withColumn("err", again)
     other = votes.majority(second).select("question_id", "result", "ok")
     return votes.cross_check(first, other)
 
@@ -352,13 +366,17 @@ SELECTS: dict[str, Query] = {
     ),
     "sel_compare": _sel(
         lambda log: log.where(
-            (F.col("LineId") >= 100)
-            & (F.col("LineId") < 5000)
-            & (F.col("Pid") != 7)
+            (F.col("Pid") != 7)
+            & (F.col("Pid") >= 2)
             & (F.col("EventTemplate") > "click")
+            & (F.col("EventTemplate") <= "view")
         )
         .groupBy(F.col("EventTemplate").alias("t"))
-        .agg(F.count("*").alias("c"))
+        .agg(
+            F.count("*").alias("c"),
+            F.count_if(F.col("Pid") < 40).alias("low"),
+            F.count_if(F.col("Pid") == 40).alias("same"),
+        )
     ),
     "sel_like": _sel(
         lambda log: log.where(
@@ -387,6 +405,7 @@ SELECTS: dict[str, Query] = {
 QUERIES: dict[str, Query] = {
     **{name: _plan_query(plan) for name, plan in PLANS.items()},
     "flt_like_characters": like_characters,
+    "flt_like_underscore": like_underscore,
     "batch_plans": batch_plans,
     "family_scan": family_scan,
     "present_filters": present_filters,

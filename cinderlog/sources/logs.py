@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +55,82 @@ def read_log(
     )
 
 
+#: Different headers that one read may hold.
+MAX_HEADERS = 200
+
+
+def read_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Logs of any headers: ``artifact_id, has_header`` and the required columns.
+
+    Columns are found by name, so further ones and any order do. A file whose header lacks a required
+    column has ``has_header`` false and null columns, and an empty file is one such row, so that both
+    are answered with "no family". Records are lines; a file with line breaks inside records needs
+    `read_log` with ``multiline``.
+
+    The header of a file is the first line of its first split. Distinct headers, a few texts, are
+    fetched to build one parser each; files are matched to them by a join.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    for p in paths:
+        refuse_directory(spark, p)
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("artifact_id"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"),
+        F.col("value").alias("line"),
+    )
+    first = lines.where("start = 0").groupBy("artifact_id").agg(F.min("id").alias("first_id"))
+    heads = lines.join(first, "artifact_id").where("id = first_id")
+    headers = heads.select("artifact_id", "first_id", F.col("line").alias("header"))
+    known = [r.header for r in headers.select("header").distinct().take(MAX_HEADERS + 1)]
+    if len(known) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different headers")
+    types = {f.name: f.dataType for f in MINIMAL_SCHEMA.fields}
+
+    def record(header: str) -> Column:
+        names = next(csv.reader([header.lstrip("\ufeff")]), [])
+        if not set(types) <= set(names) or len(set(names)) < len(names):
+            return F.lit(None).cast(MINIMAL_SCHEMA)
+        schema = T.StructType()
+        for n in names:
+            schema.add(n, types.get(n, T.StringType()))
+        parsed = F.from_csv("line", schema.toDDL(), {"escape": '"'})
+        return F.struct(*(parsed[n].alias(n) for n in types))
+
+    parsed = F.lit(None).cast(MINIMAL_SCHEMA)
+    fits = F.lit(False)
+    for header in known:
+        found = F.col("header") == header
+        own = record(header)
+        parsed = F.when(found, own).otherwise(parsed)
+        names = next(csv.reader([header.lstrip("\ufeff")]), [])
+        fits = F.when(found, F.lit(set(types) <= set(names))).otherwise(fits)
+    rows = lines.join(headers, "artifact_id").where("id <> first_id and line <> ''")
+    rows = rows.select("artifact_id", fits.alias("has_header"), parsed.alias("r"))
+    # Files without a record still are artifacts.
+    files = headers.select("artifact_id").union(empty_files(spark, paths))
+    found = rows.groupBy("artifact_id").agg(F.count("*").alias("n"))
+    none = files.join(found, "artifact_id", "left_anti").select(
+        "artifact_id", F.lit(False).alias("has_header"), F.lit(None).cast(MINIMAL_SCHEMA).alias("r")
+    )
+    return rows.unionByName(none).select("artifact_id", "has_header", "r.*")
+
+
+def empty_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``artifact_id`` of the files without a byte, which Spark's readers pass over.
+
+    The driver lists the paths, as it does to read them, and keeps the empty ones only.
+    """
+    found = []
+    for p in [path] if isinstance(path, str) else path:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.globStatus(hadoop) or ():
+            if status.isFile() and status.getLen() == 0:
+                found.append((status.getPath().toUri().toString(),))
+    return spark.createDataFrame(found, "artifact_id string")
+
+
 def refuse_directory(spark: SparkSession, path: str) -> None:
     """A directory is no artifact; give a file or a glob."""
     jvm = spark.sparkContext._jvm
@@ -63,9 +141,13 @@ def refuse_directory(spark: SparkSession, path: str) -> None:
 
 
 def log_columns(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """Column names and types of a log from its header (types as text, no data pass)."""
-    header = spark.read.options(header="true", escape='"').csv(path)
-    return header.dtypes
+    """Column names and types of a log; whole numbers are BIGINT and clock times stay text.
+
+    One pass over the file finds the types.
+    """
+    read = spark.read.options(header="true", escape='"', inferSchema="true", prefersDate="false")
+    shown = {"int": "bigint", "timestamp": "string", "timestamp_ntz": "string", "date": "string"}
+    return [(n, shown.get(t, t)) for n, t in read.csv(path).dtypes]
 
 
 def parse_csv_lines(line: Column, schema: str) -> Column:

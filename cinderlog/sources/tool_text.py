@@ -5,23 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .logs import empty_files
+
 
 def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``artifact_id, text``, one row per file, line ends normalised."""
     whole = spark.read.text(path, wholetext=True)
-    return whole.select(
+    texts = whole.select(
         F.col("_metadata.file_path").alias("artifact_id"),
         F.regexp_replace("value", "\r\n?", "\n").alias("text"),
     )
+    return texts.union(empty_files(spark, path).select("artifact_id", F.lit("").alias("text")))
+
+
+def _splits(spark: SparkSession, path: str | list[str]) -> int:
+    """An upper bound of the file splits, from the files' lengths."""
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes").lower()
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits = size.rstrip("b").rstrip("kmg")
+    most = int(digits) * units.get(size.rstrip("b")[-1], 1)
+    # Small tables are cut finer, down to what opening a file is reckoned at.
+    files = spark.read.format("binaryFile").load(path)
+    cost = min(most, 4 << 20)
+    found = files.agg(F.sum(F.ceil(F.col("length") / cost) + 1)).first()[0]
+    return int(found or 0)
+
+
+#: File splits whose offsets may be broadcast, of about 200 bytes each.
+MAX_SPLITS = 500_000
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``artifact_id, line_no, line`` with gap-free line numbers from 0, from splittable files.
 
     Lines are numbered inside their file split as they are read. How many lines precede a split is
-    a running sum over the table of splits, which is tiny next to the text, so numbering shuffles
-    no text and sorts nothing.
+    a running sum over the table of splits, which is broadcast: its size follows from the files'
+    lengths and is checked, so no text is shuffled or sorted. An empty file is one empty line.
     """
+    if _splits(spark, path) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} file splits; raise spark.sql.files.maxPartitionBytes")
     read = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("artifact_id"),
         F.col("_metadata.file_block_start").alias("split_start"),
@@ -42,9 +64,11 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "first_id",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
     )
-    numbered = read.join(offsets, ["artifact_id", "split_start"])
-    return numbered.select(
+    numbered = read.join(F.broadcast(offsets), ["artifact_id", "split_start"])
+    lines = numbered.select(
         "artifact_id",
         (F.col("offset") + F.col("id") - F.col("first_id")).alias("line_no"),
         "line",
     )
+    empty = empty_files(spark, path)
+    return lines.union(empty.select("artifact_id", F.lit(0).cast("long"), F.lit("")))

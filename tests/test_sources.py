@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from cinderlog.operators import family
 from cinderlog.operators import triage as T
 from cinderlog.operators.answers import Plan, answer
 from cinderlog.sources import logs, sinks, tool_text
@@ -24,7 +25,8 @@ def test_log_keeps_its_types_and_quotes(spark, tmp_path):
     row = log.orderBy("LineId").first()
     assert (row.Content, row.Time, row.LineId) == ('say "hi", now', "06:55:46", 1)
     assert row.artifact_id.endswith("/a.csv")
-    assert dict(logs.log_columns(spark, str(tmp_path / "a.csv")))["Time"] == "string"
+    types = dict(logs.log_columns(spark, str(tmp_path / "a.csv")))
+    assert (types["Time"], types["LineId"], types["Pid"], types["Content"]) == ("string", "bigint", "bigint", "string")
 
 
 def test_glob_and_refusals(spark, tmp_path):
@@ -39,6 +41,51 @@ def test_glob_and_refusals(spark, tmp_path):
         logs.read_log(spark, str(tmp_path / "*.nothing"))
 
 
+def test_headers_of_all_kinds_in_one_glob(spark, tmp_path):
+    row = '7,"Failed password for ""x"", from 1.2.3.4",E1,t'
+    (tmp_path / "minimal.csv").write_text("LineId,Content,EventId,EventTemplate\n" + row + "\n")
+    (tmp_path / "extra.csv").write_text(
+        'Host,EventId,Content,LineId,EventTemplate\nh,E1,"sshd Failed password, twice",8,t\n'
+    )
+    write_log(tmp_path / "full.csv", ["sshd: Failed password", "x"])
+    (tmp_path / "other.csv").write_text("a,b\n1,sshd Failed password\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "bare.csv").write_text("LineId,Content,EventId,EventTemplate\n")
+    read = logs.read_logs(spark, str(tmp_path / "*.csv"))
+    got = {r.artifact_id.rsplit("/", 1)[1]: r for r in family.scan(read).collect()}
+    assert {n: r.family is not None for n, r in got.items()} == {
+        "minimal.csv": True, "extra.csv": True, "full.csv": True, "other.csv": False, "empty.csv": False, "bare.csv": False,
+    }
+    assert {n: r.n_failed_password for n, r in got.items() if r.family} == {"minimal.csv": 1, "extra.csv": 1, "full.csv": 1}
+    by_id = {r.LineId: r for r in read.collect()}
+    assert by_id[7].Content == 'Failed password for "x", from 1.2.3.4' and by_id[8].EventId == "E1"
+
+
+def test_empty_texts_stay_artifacts(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("psscan pslist False")
+    (tmp_path / "b.txt").write_text("")
+    path = str(tmp_path / "*.txt")
+    whole = T.priority(T.triage_texts(tool_text.read_texts(spark, path)))
+    cut = T.piece_verdicts(tool_text.read_lines(spark, path))
+    for verdicts in (whole, cut):
+        got = {r.artifact_id[-5:]: r.verdict for r in verdicts.collect()}
+        assert got == {"a.txt": "malicious", "b.txt": "undetermined"}
+
+
+def test_numbering_shuffles_no_text(spark, tmp_path):
+    with open(tmp_path / "big.txt", "w") as f:
+        for i in range(400_000):
+            f.write(f"line {i} " + "x" * 120 + "\n")
+    read = tool_text.read_lines(spark, str(tmp_path / "big.txt"))
+    read.count()
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    for line in plan.split("\n"):
+        if "Exchange" in line and "Broadcast" not in line:
+            assert "line" not in line
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert read.selectExpr("max(line_no) - min(line_no)", "count(distinct line_no)").first() == (399_999, 400_000)
+
+
 def test_records_over_several_lines(spark, tmp_path):
     (tmp_path / "m.csv").write_text('LineId,Content,EventId,EventTemplate\n1,"two\nlines",E1,t\n2,x,,t\n')
     log = logs.read_log(spark, str(tmp_path / "m.csv"), logs.MINIMAL_SCHEMA, multiline=True)

@@ -169,27 +169,39 @@ POOL = [
 ]
 
 
-def test_pieces_equal_whole_texts(spark):
-    rng = random.Random(7)
-    texts = ["\n".join(rng.choices(POOL, k=rng.randint(1, 60))) for _ in range(150)]
-    whole = T.findings_table(triaged(spark, texts)).collect()
-    want = {}
-    for r in sorted(whole, key=lambda r: (r.artifact_id, r.finding_no)):
-        want.setdefault(r.artifact_id, []).append((r.rule_id, r.severity, r.indicator, r.evidence))
+def _lines(spark, texts):
     rows = [(i, n, line) for i, t in enumerate(texts) for n, line in enumerate(t.split("\n"))]
     lines = spark.createDataFrame(rows, "artifact_id long, line_no long, line string")
-    lines = lines.repartition(4, "line_no")
-    for size, overlap in ((40, 40), (64, 64)):
-        found = T.piece_findings(lines, size, overlap).orderBy("artifact_id", *T.REPORT_ORDER)
-        got = {}
-        for r in found.collect():
-            got.setdefault(r.artifact_id, []).append((r.rule_id, r.severity, r.indicator, r.evidence))
-        assert got == want, (size, overlap)
-    verdicts = {r.artifact_id: r for r in T.piece_verdicts(lines, 40, 40).collect()}
+    return lines.repartition(4, "line_no")
+
+
+def _in_order(found):
+    got = {}
+    for r in found:
+        got.setdefault(r.artifact_id, []).append((r.rule_id, r.severity, r.indicator, r.evidence))
+    return got
+
+
+def _same_in_pieces(spark, texts, sizes):
+    whole = T.findings_table(triaged(spark, texts)).collect()
+    want = _in_order(sorted(whole, key=lambda r: (r.artifact_id, r.finding_no)))
+    lines = _lines(spark, texts)
+    for size in sizes:
+        found = T.piece_findings(lines, size, 64).orderBy("artifact_id", *T.REPORT_ORDER)
+        assert _in_order(found.collect()) == want, size
+    verdicts = {r.artifact_id: r for r in T.piece_verdicts(lines, sizes[0], 64).collect()}
     for r in T.priority(triaged(spark, texts)).collect():
         mine = verdicts[r.artifact_id]
         assert (mine.verdict, mine.n_findings, mine.priority_rule, mine.priority_evidence) == (
             r.verdict, r.n_findings, r.priority_rule, r.priority_evidence)
+    return want
+
+
+def test_pieces_equal_whole_texts(spark):
+    rng = random.Random(7)
+    texts = ["\n".join(rng.choices(POOL, k=rng.randint(1, 60))) for _ in range(150)]
+    _same_in_pieces(spark, texts, (3, 8, 40))
+    lines = _lines(spark, texts)
     steps = {}
     for r in T.piece_next_steps(T.piece_findings(lines, 40, 40)).orderBy("artifact_id", "step_no").collect():
         steps.setdefault(r.artifact_id, []).append(r.next)
@@ -197,13 +209,35 @@ def test_pieces_equal_whole_texts(spark):
         assert steps.get(r.artifact_id, []) == r.next_steps
 
 
+def test_pieces_equal_long_texts_with_blank_runs(spark):
+    rng = random.Random(11)
+
+    def long_text():
+        lines = []
+        while len(lines) < 2000:
+            lines += rng.choices(POOL, k=rng.randint(1, 12))
+            lines += rng.choice([[], ["noise"] * rng.randint(1, 600), [""] * rng.randint(1, 1100)])
+        return "\n".join(lines)
+
+    _same_in_pieces(spark, [long_text() for _ in range(12)], (512, 100, 8))
+
+
+def test_matches_at_the_edge_of_a_piece(spark):
+    far = "\n".join(["x"] * 511 + ["Image:", *[""] * 80, "C:\\inetpub\\cmd.exe", "ParentImage: w3wp.exe"])
+    cut = "\n".join(["EventID 4698 x", *["n"] * 574, "Task: ", "NightlyJob"])
+    gap = "\n".join(["push", *[""] * 30, "mov rbp, rsp VadS PAGE_EXECUTE_READWRITE", *[""] * 900, "push", *[""] * 50, "mov rbp, rsp"])
+    want = _same_in_pieces(spark, [far, cut, gap, "\n" * 1500, ""], (512, 7, 2, 1))
+    assert any(r[0] == "T03" for r in want[0])
+    assert [r[3] for r in want[1] if r[0] == "T20"] == ["NightlyJob"]
+
+
 def test_pieces_are_bounded(spark):
     lines = spark.range(5000).selectExpr("1L AS artifact_id", "id AS line_no", "concat('l', id) AS line")
     cut = T.pieces(lines, 100, 20)
     sizes = cut.select("piece_no", F.size(F.split("text", "\n")).alias("n"), F.size(F.split("own", "\n")).alias("m")).collect()
     assert len(sizes) == 50 and max(r.n for r in sizes) == 120 and all(r.m == 100 for r in sizes)
     with pytest.raises(ValueError):
-        T.pieces(lines, 10, 11)
+        T.pieces(lines, 0, 11)
 
 
 def test_triage_needs_no_shuffle(spark):
