@@ -14,7 +14,7 @@ looked up in a table filled on first use.
 
 The normaliser (NFC, white space to one blank, lower case) and the split pattern are the ones the
 tokenizer file states, so that the library only splits words; other files are refused. Defined results: null and empty
-texts give no tokens. Special tokens inside a text are cut out first, as the file's library does.
+texts give no tokens. A column that clashes with a result is replaced. Special tokens inside a text are cut out first, as the file's library does.
 """
 
 from __future__ import annotations
@@ -72,19 +72,24 @@ class Automaton:
         self.left: dict[int, tuple[int, int]] = {}  # token: its left part, when it was made
         self.right: dict[int, tuple[int, int]] = {}  # token: its right part, when it was made
         self.lost: dict[tuple[int, int], int] = {}  # state, arc: when the state lost the arc
+        symbols = {i for t, i in vocab.items() if len(t.removesuffix(end)) == 1}
+        self.drawn = set(symbols)  # labels that have an arc anywhere
         for at, (u, v) in enumerate(merges):
             self._gadget(at, vocab[u], vocab[v], vocab[u + v])
         self.table: dict[int, bool] = {}
+        # A token that no merge can give has no arc.
+        self.arcs = {t: i for t, i in vocab.items() if i in self.drawn}
         # The longest label that starts with the same letters.
         self.reach: dict[str, int] = {}
-        for label in vocab:
+        for label in self.arcs:
             label = label.removesuffix(end)
             key = label[:PREFIX]
             self.reach[key] = max(self.reach.get(key, 1), len(label))
 
     def _gadget(self, at: int, u: int, v: int, w: int) -> None:
         """Merge number `at`; without an arc v after u it has nothing to merge."""
-        if self._follows(u, v):
+        if u in self.drawn and v in self.drawn and self._follows(u, v):
+            self.drawn.add(w)
             self.lost[u, v] = at
             # A token that several merges give keeps the arcs of the first.
             self.left.setdefault(w, (u, at))
@@ -121,9 +126,9 @@ class Automaton:
         Reads the longest arc first. A place that no path leads on from is closed: as each
         prefix has one tokenization, it would be reached by the same token again.
         """
-        n, vocab, end, reach = len(word), self.vocab, self.end, self.reach
-        whole = vocab.get(word + end)
-        if whole is not None and (n == 1 or whole in self.left):
+        n, arcs, end, reach = len(word), self.arcs, self.end, self.reach
+        whole = arcs.get(word + end)
+        if whole is not None:
             return [whole]
         table, follows = self.table, self.follows
         path: list[int] = []
@@ -135,7 +140,7 @@ class Automaton:
             if stop > upto:
                 stop = upto
             while stop > at:
-                token = vocab.get(word[at:stop] if stop < n else word[at:] + end)
+                token = arcs.get(word[at:stop] if stop < n else word[at:] + end)
                 if token is not None and not (closed and stop in closed):
                     if state < 0:
                         break
@@ -259,7 +264,9 @@ def encode(
 ) -> DataFrame:
     """df with the wanted RESULTS. Whole texts, no shuffle; the other columns ride along."""
     at = df.columns.index(text)
-    kept = [i for i, c in enumerate(df.columns) if keep_text or c != text]
+    kept = [
+        i for i, c in enumerate(df.columns) if c not in results and (keep_text or c != text)
+    ]
     names = [*(df.columns[i] for i in kept), *results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ and names is caught, a text that merely has numbers in the same places is not.
 
 Defined results: null, empty and short texts have no windows and stay; items with fewer than
 `WINDOW` tokens match nothing. Repeated rows are all reported. An empty benchmark takes nothing.
-Extra columns pass through; working columns are prefixed ``b_``.
+Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.shared import held, stored
+from cinderlog.llm.shared import aside, held, stored
 
 WINDOW = 5
 STRIDE = 2
@@ -172,10 +172,7 @@ def clean(
     df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
     """The documents that hold no item, in the columns of df."""
-    bad = leaks(df, benchmark, text, doc_id).select("b_doc", "b_h").distinct()
-    return df.join(
-        bad,
-        F.col(f"`{doc_id}`").eqNullSafe(F.col("b_doc"))
-        & (F.xxhash64(F.col(f"`{text}`")) == F.col("b_h")),
-        "left_anti",
-    )
+    plain, (t, d) = aside(df, text, doc_id)
+    bad = leaks(plain, benchmark, t, d).select("b_doc", "b_h").distinct()
+    same = F.col(d).eqNullSafe(F.col("b_doc")) & (F.xxhash64(F.col(t)) == F.col("b_h"))
+    return plain.join(bad, same, "left_anti").toDF(*df.columns)

@@ -10,7 +10,7 @@ Defined results: null and empty texts have no lines to lose. Equal texts count a
 are treated alike, so copies of whole documents are still copies afterwards. Lines with fewer than
 `MIN_TOKENS` tokens or without a letter outside variable fields are never dropped. Null doc_ids
 come last; texts that tie for the smallest doc_id all keep their line. Extra columns pass through;
-working columns are prefixed ``l_``.
+one that has the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.shared import WHITE, held, stored
+from cinderlog.llm.shared import WHITE, aside, held, stored
 
 MIN_DOCS = 6
 MIN_TOKENS = 4
@@ -126,20 +126,24 @@ def drop_lines(
     df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS
 ) -> DataFrame:
     """df with its text rewritten, and l_n_lines and l_drop, the numbers of the lines dropped."""
-    drops = recurring(df, text, doc_id, min_docs).withColumnsRenamed(
+    plain, (text, doc_id) = aside(df, text, doc_id)
+    drops = recurring(plain, text, doc_id, min_docs).withColumnsRenamed(
         {"l_h": "l_h2", "l_size": "l_size2"}
     )
-    t = F.col(f"`{text}`")
-    out = df.join(
+    t = F.col(text)
+    out = plain.join(
         drops,
         (F.xxhash64(t) == F.col("l_h2")) & (F.octet_length(t) == F.col("l_size2")),
         "left",
     ).drop("l_h2", "l_size2")
     lines = F.split(t, "\n")
     left = F.filter(lines, lambda x, i: ~F.array_contains("l_drop", i))
-    return out.withColumn(
+    out = out.withColumn(
         "l_n_lines", F.when(t.isNull(), 0).otherwise(F.size(lines)).cast("long")
     ).withColumn(text, F.when(F.col("l_drop").isNull(), t).otherwise(F.array_join(left, "\n")))
+    made = ["l_n_lines", "l_drop"]
+    old = [(n, c) for n, c in zip(plain.columns, df.columns, strict=True) if c not in made]
+    return out.select(*(F.col(n).alias(c) for n, c in old), *made)
 
 
 def clean(
@@ -149,8 +153,10 @@ def clean(
 
     A document that loses every line with a word goes; one that had none before stays.
     """
-    out = drop_lines(df, text, doc_id)
-    out = out.where(F.col("l_drop").isNull() | F.col(f"`{text}`").rlike(r"[^ \t-\r]"))
+    plain, (t, d) = aside(df, text, doc_id)
+    out = drop_lines(plain, t, d)
+    out = out.where(F.col("l_drop").isNull() | F.col(t).rlike(r"[^ \t-\r]"))
     if n_chars in df.columns:
-        out = out.withColumn(n_chars, F.length(text).cast(df.schema[n_chars].dataType))
-    return out.select(*(f"`{c}`" for c in df.columns))
+        count = plain.columns[df.columns.index(n_chars)]
+        out = out.withColumn(count, F.length(t).cast(df.schema[n_chars].dataType))
+    return out.select(*plain.columns).toDF(*df.columns)

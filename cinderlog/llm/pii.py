@@ -14,7 +14,7 @@
 
 Texts without a digit, an @ or a title are passed by without any shuffle. Defined results: null
 texts stay null, empty ones empty. Repeated rows get equal results. Rows with a null doc_id are
-treated like others. Extra columns pass through; working columns are prefixed ``p_``.
+treated like others. Extra columns pass through; one that has the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.shared import stored
+from cinderlog.llm.shared import aside, stored
 
 #: From this attempt on surrogates get longer, so that a full format cannot hold up the draw.
 WIDEN = 6
@@ -216,7 +216,8 @@ def written(kind: str, raw: str, new: str) -> str:
             out.append(next(left, "") if c.isalnum() or c == "+" else c)
         return "".join(chain(out, left))
     if kind in ("email", "ip6", "given-f", "given-m", "given-n", "surname"):
-        if raw.isupper() and len(raw) > 1:
+        shape = raw.split("@")[0]  # a domain has no case of its own
+        if shape.isupper() and len(shape) > 1:
             return new.upper()
         if kind.startswith(("given", "surname")):
             return new[:1].upper() + new[1:]
@@ -315,6 +316,8 @@ def replace(
     df: DataFrame, key: bytes, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
     """df with its text rewritten, and p_entities, the number of mentions, and p_kinds."""
+    names = df.columns
+    df, (text, doc_id) = aside(df, text, doc_id)
     t = F.col(f"`{text}`")
     worth = F.coalesce(t.rlike(WORTH), F.lit(False))
     keyed = df.where(worth).withColumns(
@@ -343,4 +346,6 @@ def replace(
     rest = df.where(~worth).withColumns(
         {"p_entities": F.lit(0).cast("long"), "p_kinds": F.array().cast("array<string>")}
     )
-    return done.union(rest)
+    made = ["p_entities", "p_kinds"]
+    old = [(n, c) for n, c in zip(df.columns, names, strict=True) if c not in made]
+    return done.union(rest).select(*(F.col(n).alias(c) for n, c in old), *made)

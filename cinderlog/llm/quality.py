@@ -3,7 +3,7 @@
 Defined results: a null text counts as empty. A document without words has no lines to lose and
 fails the base rule (fewer than ``MIN_WORDS`` words). Blank lines are kept and never counted.
 Repeated rows are judged each on their own. Extra columns pass through; a clashing column is
-replaced only by ``text`` and ``n_chars`` of `clean`, all working columns carry a prefix.
+replaced only where it has the name of a result; `clean` rewrites ``text`` and ``n_chars`` alone.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.shared import held, words
+from cinderlog.llm.shared import aside, held, words
 
 MIN_WORDS = 50
 #: Per cent of the words that may stand in repeated windows of three.
@@ -67,10 +67,11 @@ def judge(df: DataFrame, text: str = "text") -> DataFrame:
     digests with their places, so the work is n log n also for a text that repeats one line.
     Windows are compared by 64-bit digests.
     """
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    plain, (text,) = aside(df, text)
+    t = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(t, "\n")
     low = F.split(F.lower(t), "\n")
-    out = held(df, q_words=words(t), q_lines=lines, q_low=low)
+    out = held(plain, q_words=words(t), q_lines=lines, q_low=low)
     w, n = F.col("q_words"), F.size("q_words")
     out = held(
         out,
@@ -135,14 +136,19 @@ def judge(df: DataFrame, text: str = "text") -> DataFrame:
         ~F.col("q_base_failed")
         & (F.col("q_lost_chars") * 100 <= F.col("q_word_chars") * MAX_LOST),
     )
-    return out.drop(
-        "q_words", "q_lines", "q_low", "q_windows", "q_full", "q_left", "q_sorted", "q_places"
-    )
+    made = [
+        "q_n_words", "q_word_chars", "q_n_symbols", "q_n_dup_lines", "q_n_repeat_words", "q_text",
+        "q_lost_chars", "q_base_failed", "q_kept",
+    ]
+    old = [(n, c) for n, c in zip(plain.columns, df.columns, strict=True) if c not in made]
+    return out.select(*(F.col(n).alias(c) for n, c in old), *made)
 
 
 def clean(df: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """The documents that stay, without their failing lines, in the columns of df."""
-    out = judge(df, text).where("q_kept").withColumn(text, F.col("q_text"))
+    plain, (t,) = aside(df, text)
+    out = judge(plain, t).where("q_kept").withColumn(t, F.col("q_text"))
     if n_chars in df.columns:
-        out = out.withColumn(n_chars, F.length(text).cast(df.schema[n_chars].dataType))
-    return out.select(*(f"`{c}`" for c in df.columns))
+        count = plain.columns[df.columns.index(n_chars)]
+        out = out.withColumn(count, F.length(t).cast(df.schema[n_chars].dataType))
+    return out.select(*plain.columns).toDF(*df.columns)

@@ -41,6 +41,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns under numbers, so that none clashes with a working column.
+
+    Also the new names of the given columns. ``toDF(*df.columns)`` gives the old names back.
+    """
+    new = [f"in_{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), [new[df.columns.index(n)] for n in names]
+
+
 def held(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that later expressions read, each evaluated once for a row.
 

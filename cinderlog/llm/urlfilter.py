@@ -9,7 +9,7 @@ wins. A URL that no rule fits is allowed.
 Defined results: null and URLs without ``://`` have empty host and path and no rule. Repeated URLs
 are judged once and share the verdict. No rules at all allow everything; null and repeated rules
 don't count. Extra columns pass through; ``host``, ``path``, ``rule`` and ``verdict`` are added
-(replaced where they clash), working columns are prefixed ``u_``.
+(replaced where they clash).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.shared import held
+from cinderlog.llm.shared import aside, held
 
 DEFAULT = "allow"
 #: Rules that may be broadcast, of about 200 bytes each; more are joined by a shuffle.
@@ -58,8 +58,9 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     shapes = rules.select("u_labels", "u_chars").distinct()
     # As many rows as there are shapes of rules: a few numbers, whatever the number of rules.
     shape = shapes.agg(F.collect_set("u_labels"), F.collect_set("u_chars")).first()
-    u = F.col(f"`{url}`")
-    out = df.withColumns({"host": host(u), "path": path(u)})
+    plain, (own,) = aside(df, url)
+    u = F.col(own)
+    out = plain.withColumns({"host": host(u), "path": path(u)})
     urls = out.select(F.col("host").alias("u_host"), F.col("path").alias("u_path")).distinct()
     urls = held(
         urls,
@@ -90,9 +91,13 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     out = out.join(
         best, (F.col("host") == F.col("u_host")) & (F.col("path") == F.col("u_path")), "left"
     )
-    return out.withColumns(
-        {
-            "rule": F.col("u_best.u_rule"),
-            "verdict": F.coalesce("u_best.u_verdict", F.lit(DEFAULT)),
-        }
-    ).drop("u_host", "u_path", "u_best")
+    made = {
+        "host": F.col("host"),
+        "path": F.col("path"),
+        "rule": F.col("u_best.u_rule"),
+        "verdict": F.coalesce("u_best.u_verdict", F.lit(DEFAULT)),
+    }
+    old = [(n, c) for n, c in zip(plain.columns, df.columns, strict=True) if c not in made]
+    return out.select(
+        *(F.col(n).alias(c) for n, c in old), *(c.alias(n) for n, c in made.items())
+    )
