@@ -6,9 +6,10 @@
 2. Classes that share a band key form a bucket. Each bucket proposes a star: its most popular
    member (by the sizes of its buckets) against the others, so a bucket of n gives n - 1 pairs.
 3. Pairs are confirmed on the full sets and joined into components.
-4. A centre has now met all members of its bucket and leaves it. Buckets whose rest still spans two
-   components get further stars, `GROWTH` times as many centres each round, until none does. So a link is
-   lost only if a pair shares no band, never because a centre was a bad choice.
+4. Leaves of one centre can be linked with each other without being linked with it. Such pairs are
+   found exactly: leaves that share one of the rarest shingles by which they differ from the centre
+   (see `_leaf_pairs`), and are confirmed too. So a link is lost only if a pair shares no band,
+   never because of the choice of a centre, and no bucket is expanded into all its pairs.
 
 Defined results: null and empty texts and those without words have empty sets and are linked with
 nothing. Rows sharing a doc_id are one document. Rows with a null doc_id are not compared, have a
@@ -20,16 +21,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlog.llm import sketch
-from cinderlog.llm.shared import stored
+from cinderlog.llm.shared import aside, stored
 
 #: Doc_ids that may be broadcast (8 bytes each) to fetch the texts of candidates.
 MAX_BROADCAST = 2_000_000
-#: Each round of stars has so many times the centres of the one before.
-GROWTH = 8
 #: Bytes of text that a task works on at once, unless one text is longer.
 SLICE = 2 << 20
 
@@ -73,15 +72,57 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _centres(members: DataFrame, slots: int) -> DataFrame:
-    """The most popular member of each bucket, of each of so many parts of it."""
-    part = F.pmod(F.xxhash64("m_node", F.lit(slots)), F.lit(slots))
-    return members.groupBy("m_key", part.alias("m_part")).agg(
-        # By popularity; a digest settles ties.
-        F.max_by(
-            "m_node", F.col("m_fame") * 65536 + F.pmod(F.xxhash64("m_node"), F.lit(65536))
-        ).alias("m_centre")
+def _centres(members: DataFrame) -> DataFrame:
+    """The most popular member of each bucket; a digest settles ties."""
+    rank = F.col("m_fame") * 65536 + F.pmod(F.xxhash64("m_node"), F.lit(65536))
+    return members.groupBy("m_key").agg(F.max_by("m_node", rank).alias("m_centre"))
+
+
+def _sizes(a: str, b: str, percent: int) -> Column:
+    """Sets of too different sizes cannot be similar enough."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def _sorted(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.greatest(a, b).alias("m_a"), F.least(a, b).alias("m_b")).distinct()
+
+
+def _leaf_pairs(leaves: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of leaves of one centre that may be similar enough and aren't joined yet.
+
+    A leaf x differs from its centre by a set dx of shingles, and two leaves from each other by
+    those that only one of dx and dy holds. Similar enough means that these are at most
+    (1 - t) / (1 + t) of both sizes, hence at most D = |x| (1 - t) / t. So dx and dy share all but D
+    of dx, unless both are so close to the centre that it is linked with them, and with elements
+    ordered from rare to frequent they share one of the first D + 1, with enough of both sets still
+    to come. What a change alone brought about comes first in that order, so leaves that merely
+    stem from one text hardly meet.
+    """
+    centre = sets.withColumnsRenamed({"m_doc": "m_centre", "m_set": "m_cs"})
+    both = leaves.join(sets.withColumnRenamed("m_doc", "m_node"), "m_node").join(centre, "m_centre")
+    apart = F.array_union(F.array_except("m_set", "m_cs"), F.array_except("m_cs", "m_set"))
+    deltas = stored(
+        both.select("m_centre", "m_node", "m_n", "m_label", F.explode(apart).alias("m_e")), "deltas"
     )
+    often = deltas.groupBy("m_centre", "m_e").agg(F.count("*").alias("m_df"))
+    whole = Window.partitionBy("m_centre", "m_node")
+    ranked = deltas.join(often, ["m_centre", "m_e"]).withColumns(
+        {
+            "m_r": F.row_number().over(whole.orderBy("m_df", "m_e")),
+            "m_d": F.count("*").over(whole),
+        }
+    )
+    least = F.floor(F.col("m_n") * (100 - percent) / percent) + 1
+    first = ranked.where((F.col("m_r") <= least) & (F.col("m_df") > 1))
+    own = ["m_node", "m_n", "m_label", "m_r", "m_d"]
+    first = stored(first.select("m_centre", "m_e", *own), "prefixes")
+    other = first.withColumnsRenamed({c: f"{c}y" for c in own})
+    met = first.join(other, ["m_centre", "m_e"]).where("m_node < m_nodey and m_label <> m_labely")
+    # From their first common element on, both must hold as many as the pair has to share.
+    left = F.least(F.col("m_d") - F.col("m_r"), F.col("m_dy") - F.col("m_ry")) + 1
+    apart = (F.col("m_n") + F.col("m_ny")) * (100 - percent)
+    enough = (F.col("m_d") + F.col("m_dy") - left * 2) * (100 + percent) <= apart
+    return _sorted(met.where(enough & _sizes("m_n", "m_ny", percent)), "m_node", "m_nodey")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -158,65 +199,37 @@ def classes(
     fame = members.groupBy("m_node").agg(F.sum("m_many").alias("m_fame"))
     members = stored(members.join(fame, "m_node").drop("m_many"), "buckets")
 
-    texts = docs
-    sets = None
-    wanted = members.select("m_node").distinct()
-    links, slots = None, 1
-    labels = None
-    while not members.isEmpty():
-        centres = stored(_centres(members, slots), "centres")
-        other = members.select(
-            F.col("m_node").alias("m_centre"), F.col("m_n").alias("m_cn"), "m_key", *(
-                [F.col("m_label").alias("m_cl")] if labels is not None else []
-            )
-        )
-        stars = centres.drop("m_part").join(other, ["m_key", "m_centre"]).join(members, "m_key")
-        stars = stars.where("m_node <> m_centre")
-        if labels is not None:
-            stars = stars.where("m_label <> m_cl")
-        # Sets of too different sizes cannot be similar enough.
-        stars = stars.where(
-            F.least("m_n", "m_cn") * 100 >= F.greatest("m_n", "m_cn") * percent
-        )
-        pairs = stored(
-            stars.select(
-                F.greatest("m_node", "m_centre").alias("m_a"),
-                F.least("m_node", "m_centre").alias("m_b"),
-            ).distinct(),
-            "pairs",
-        )
-        if sets is None:
-            wanted = stored(
-                members.select(F.col("m_node").alias("m_doc")).distinct(), "candidates"
-            )
-            few = wanted.count() <= MAX_BROADCAST
-            texts = docs.join(F.broadcast(wanted) if few else wanted, "m_doc", "left_semi")
-            sets = stored(texts.mapInArrow(_sets, "m_doc long, m_set array<long>"), "sets")
-        found = stored(_confirmed(pairs, sets, percent), "confirmed")
-        if links is None:
-            links, labels = found, components(found)
-        elif not found.isEmpty():
-            links = stored(links.union(found), "all-links")
-            labels = components(links)
-        rest = members.join(
-            centres.select("m_key", F.col("m_centre").alias("m_node")), ["m_key", "m_node"], "left_anti"
-        )
-        rest = rest.drop("m_label").join(labels, "m_node", "left")
-        rest = rest.withColumn("m_label", F.coalesce("m_label", "m_node"))
-        open_keys = (
-            rest.groupBy("m_key")
-            .agg(F.min("m_label").alias("m_lo"), F.max("m_label").alias("m_hi"))
-            .where("m_lo <> m_hi")
-            .select("m_key")
-        )
-        members = stored(rest.join(open_keys, "m_key", "left_semi"), "buckets")
-        slots *= GROWTH
+    # Stars.
+    centres = stored(_centres(members), "centres")
+    own = members.select(
+        F.col("m_node").alias("m_centre"), F.col("m_n").alias("m_cn"), "m_key"
+    )
+    stars = centres.join(own, ["m_key", "m_centre"]).join(members, "m_key")
+    pairs = stars.where("m_node <> m_centre").where(_sizes("m_n", "m_cn", percent))
+    pairs = stored(_sorted(pairs, "m_node", "m_centre"), "pairs")
+
+    wanted = stored(members.select(F.col("m_node").alias("m_doc")).distinct(), "candidates")
+    few = wanted.count() <= MAX_BROADCAST
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "m_doc", "left_semi")
+    sets = stored(texts.mapInArrow(_sets, "m_doc long, m_set array<long>"), "sets")
+    links = stored(_confirmed(pairs, sets, percent), "confirmed")
+    labels = components(links)
+
+    # What a star could not see: links between two of its leaves.
+    rest = members.join(centres, "m_key").where("m_node <> m_centre")
+    rest = rest.join(labels, "m_node", "left")
+    rest = rest.withColumn("m_label", F.coalesce("m_label", "m_node"))
+    split = rest.groupBy("m_key").agg(F.min("m_label").alias("m_lo"), F.max("m_label").alias("m_hi"))
+    split = split.where("m_lo <> m_hi").select("m_key")
+    leaves = rest.join(split, "m_key", "left_semi")
+    leaves = stored(leaves.select("m_centre", "m_node", "m_n", "m_label").distinct(), "leaves")
+    pairs = stored(_leaf_pairs(leaves, sets, percent), "leaf-pairs")
+    found = stored(_confirmed(pairs, sets, percent), "confirmed")
+    if not found.isEmpty():
+        labels = components(links.union(found))
+
     out = rows.select("m_doc", *same).join(nodes, same, "left")
-    if labels is not None:
-        out = out.join(labels, "m_node", "left")
-    else:
-        out = out.withColumn("m_label", F.lit(None).cast("long"))
-    return out.select(
+    return out.join(labels, "m_node", "left").select(
         F.col("m_doc").alias("doc_id"),
         F.col("m_n").alias("n_shingles"),
         F.coalesce("m_node", "m_doc").alias("class_id"),
@@ -228,11 +241,11 @@ def keep(
     df: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 80
 ) -> DataFrame:
     """One document of each group, that with the smallest doc_id, in the columns of df."""
-    gone = classes(df, text, doc_id, percent).where("doc_id <> component_id")
+    plain, (t, d) = aside(df, text, doc_id)
+    gone = classes(plain, t, d, percent).where("doc_id <> component_id")
     gone = stored(gone.select(F.col("doc_id").alias("m_gone")).distinct(), "gone")
     few = gone.count() <= MAX_BROADCAST
-    return df.join(
-        F.broadcast(gone) if few else gone,
-        F.col(f"`{doc_id}`") == F.col("m_gone"),
-        "left_anti",
+    kept = plain.join(
+        F.broadcast(gone) if few else gone, F.col(d) == F.col("m_gone"), "left_anti"
     )
+    return kept.toDF(*df.columns)
