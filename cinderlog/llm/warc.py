@@ -116,7 +116,11 @@ class _Roll:
     def close(self) -> Iterator[dict]:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.temporary, f"{self.root}/{self.name}")
+            whole = f"{self.root}/{self.name}"
+            if self.fs.get_file_info(whole).type == pyarrow.fs.FileType.NotFound:
+                self.fs.move(self.temporary, whole)
+            else:  # another attempt was first, with the same bytes
+                self.fs.delete_file(self.temporary)
             yield {
                 "name": self.name, "shard": self.shard, "records": self.records,
                 "bytes": self.size, "sha256": self.sha.hexdigest(),
