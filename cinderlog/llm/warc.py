@@ -32,6 +32,8 @@ import io
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame
@@ -43,10 +45,11 @@ REVISIT_BYTES = 1000
 #: Compressed bytes at which a file is closed.
 ROLL = 64 << 20
 #: Bytes of payload that a shard should have.
-SHARD = 256 << 20
-#: Ids that may be gathered to place the shards' bounds.
-SAMPLE = 20_000
-MAX_SHARDS = 2_000
+SHARD = 64 << 20
+#: Ids that may be gathered to place the shards' bounds (8 bytes each). Beyond MAX_SHARDS of
+#: SHARD bytes shards grow, as there are ten sampled ids to each.
+SAMPLE = 200_000
+MAX_SHARDS = SAMPLE // 10
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -174,8 +177,16 @@ def _bounds(ids: DataFrame, shards: int) -> list[int]:
 
 
 def _shard(page: Column, bounds: list[int]) -> Column:
-    known = F.array(*map(F.lit, bounds)).cast("array<long>")
-    return F.when(page.isNull(), -1).otherwise(F.size(F.filter(known, lambda b: b <= page)))
+    """How many bounds an id has reached; -1 for none."""
+    known = np.array(bounds, np.int64)
+
+    @F.pandas_udf("long")
+    def reached(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(known, ids.to_numpy(np.int64), side="right"))
+
+    return F.when(page.isNull(), F.lit(-1).cast("long")).otherwise(
+        reached(F.coalesce(page, F.lit(0).cast("long")))
+    )
 
 
 def write(
