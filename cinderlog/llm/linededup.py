@@ -3,8 +3,9 @@
 A line descends the tree by its token count, then by its leading tokens (a token with a digit is a
 variable field, written ``<*>``), and ends in a leaf. In a leaf, templates are compared as a whole
 and, for longer lines, with one of four stretches of tokens generalised to a variable field. A
-template found in `min_docs` different texts recurs: its lines are dropped everywhere but in the
-text with the smallest doc_id, where the first of them stays.
+template found in `min_docs` different texts recurs, one with at least `STRONG` literal tokens from
+`STRONG_DOCS` on: its lines are dropped everywhere but in the text with the smallest doc_id, where
+the first of them stays.
 
 Defined results: null and empty texts have no lines to lose. Equal texts count as one document and
 are treated alike, so copies of whole documents are still copies afterwards. Lines with fewer than
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from cinderlog.llm.shared import WHITE, aside, held, stored
 
 MIN_DOCS = 6
+#: Templates with so many tokens besides variable fields are no chance: two texts are enough.
+STRONG = 12
+STRONG_DOCS = 2
 MIN_TOKENS = 4
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
@@ -30,6 +34,17 @@ STRETCHES = 4
 LAST = 2**63 - 1
 
 
+def _marked(digest: Column, strong: Column) -> Column:
+    """The digest with its last bit telling whether it is of a strong template."""
+    return digest.bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(strong.cast("long"))
+
+
+def _enough(digest: str, min_docs: int) -> Column:
+    """The number of texts from which a template recurs, or a leaf may hold one that does."""
+    strong = F.col(digest).bitwiseAND(F.lit(1).cast("long")) == 1
+    return F.when(strong, min(min_docs, STRONG_DOCS)).otherwise(min_docs)
+
+
 def _parse(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     """One narrow row per line that can be dropped: text digest, doc_id, place, leaf and keys."""
     t = F.col(f"`{text}`")
@@ -63,18 +78,23 @@ def _parse(df: DataFrame, text: str, doc_id: str) -> DataFrame:
         (F.col("l_n") >= MIN_TOKENS) & (F.col("l_lead").rlike(r"\p{L}") | line.rlike(r"\p{L}"))
     )
 
+    def fields(part: Column) -> Column:
+        around = F.concat(F.lit(" "), F.replace(part, F.lit(" "), F.lit("  ")), F.lit(" "))
+        bare = F.replace(around, F.lit(" <*> "), F.lit(""))
+        return F.when(
+            F.contains(part, F.lit("<*>")), (F.length(around) - F.length(bare)) / 5
+        ).otherwise(0)
+
     def without(k: int) -> Column:
         """The line without stretch k of its later tokens."""
         start, end = (
             (F.lit(DEPTH) + F.floor((F.col("l_n") - DEPTH) * x / STRETCHES)).cast("int")
             for x in (k, k + 1)
         )
-        return F.xxhash64(
-            F.lit(k),
-            "l_n",
-            F.call_function("substring_index", "l_line", F.lit(" "), start),
-            F.call_function("substring_index", "l_line", F.lit(" "), end - F.col("l_n")),
-        )
+        before = F.call_function("substring_index", "l_line", F.lit(" "), start)
+        after = F.call_function("substring_index", "l_line", F.lit(" "), end - F.col("l_n"))
+        literal = F.col("l_n") - (end - start) - fields(before) - fields(after)
+        return _marked(F.xxhash64(F.lit(k), "l_n", before, after), literal >= STRONG)
 
     wild = F.when(F.col("l_n") >= LONG, F.array(*(without(k) for k in range(STRETCHES))))
     return lines.select(
@@ -82,9 +102,10 @@ def _parse(df: DataFrame, text: str, doc_id: str) -> DataFrame:
         "l_size",
         "l_doc",
         "l_no",
-        F.xxhash64("l_n", "l_lead").alias("l_leaf"),
+        _marked(F.xxhash64("l_n", "l_lead"), F.col("l_n") >= STRONG).alias("l_leaf"),
         F.concat(
-            F.array(F.xxhash64("l_line")), F.coalesce(wild, F.array().cast("array<bigint>"))
+            F.array(_marked(F.xxhash64("l_line"), F.col("l_n") - fields(line) >= STRONG)),
+            F.coalesce(wild, F.array().cast("array<bigint>")),
         ).alias("l_keys"),
     )
 
@@ -102,11 +123,12 @@ def recurring(
     lines = stored(_parse(df, text, doc_id), "lines")
     # A leaf with fewer lines than that holds no recurring template.
     leaves = lines.groupBy("l_leaf").agg(F.count("*").alias("l_rows"))
-    leaves = leaves.where(F.col("l_rows") >= min_docs).select("l_leaf")
+    leaves = leaves.where(F.col("l_rows") >= _enough("l_leaf", min_docs)).select("l_leaf")
     keyed = lines.join(leaves, "l_leaf", "left_semi").select(
         "l_h", "l_size", "l_doc", "l_no", F.explode("l_keys").alias("l_key")
     )
-    known = stored(_texts(keyed, "l_key").where(F.col("l_docs") >= min_docs), "templates")
+    texts = _texts(keyed, "l_key").where(F.col("l_docs") >= _enough("l_key", min_docs))
+    known = stored(texts, "templates")
     found = stored(keyed.join(known.select("l_key", "l_first"), "l_key"), "recurring")
     # In the text with the smallest doc_id the first line of the template stays.
     kept = (
