@@ -1,9 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Numbers, names and units become typed placeholders that keep their value aside. Windows of
-`WINDOW` template tokens of the benchmark are hash-joined with those of the documents (every
-`STRIDE`-th place there, every place in the benchmark, so that a shared run of
-``WINDOW + STRIDE - 1`` tokens is always met). Where windows hold placeholders, the values of the
+`WINDOW` template tokens of the benchmark are hash-joined with those of the documents, at every
+place of both, so that what is met doesn't depend on where a passage stands. Where windows hold placeholders, the values of the
 item must map one to one to those of the document over all windows of one alignment; windows of an
 alignment that fails this count only if they hold no placeholder. So a question with other numbers
 and names is caught, a text that merely has numbers in the same places is not.
@@ -21,7 +20,6 @@ from pyspark.sql import functions as F
 from cinderlog.llm.shared import aside, held, stored
 
 WINDOW = 5
-STRIDE = 2
 #: Tokens of a window that must not be placeholders.
 LITERALS = 3
 #: An item is met if so many tokens of it are, or half of them if that is less.
@@ -65,7 +63,7 @@ def _tokens(df: DataFrame, text: str) -> DataFrame:
     ).drop("b_marked")
 
 
-def _windows(df: DataFrame, step: int) -> DataFrame:
+def _windows(df: DataFrame) -> DataFrame:
     """df with b_tokens replaced by a row for each window: b_i, b_key and the values b_slots."""
     raw = F.col("b_tokens")
     # A text without placeholders is its own template.
@@ -88,9 +86,7 @@ def _windows(df: DataFrame, step: int) -> DataFrame:
             F.when(F.col("b_has"), slots).alias("b_slots"),
         )
 
-    starts = F.when(
-        F.size(raw) >= WINDOW, F.sequence(F.lit(0), F.size(raw) - WINDOW, F.lit(step))
-    )
+    starts = F.when(F.size(raw) >= WINDOW, F.sequence(F.lit(0), F.size(raw) - WINDOW))
     kept = [c for c in df.columns if c not in ("b_tokens", "b_plain", "b_has")]
     out = df.select(*(f"`{c}`" for c in kept), F.inline(F.transform(starts, window)))
     return out.where(
@@ -117,10 +113,10 @@ def leaks(
     items = _tokens(items, "b_text")
     items = items.withColumn("b_n", F.size("b_tokens"))
     wanted = stored(
-        _windows(items, 1).withColumnsRenamed({"b_i": "b_j", "b_slots": "b_values"}), "items"
+        _windows(items).withColumnsRenamed({"b_i": "b_j", "b_slots": "b_values"}), "items"
     )
     docs = df.select(F.col(f"`{doc_id}`").alias("b_doc"), F.xxhash64(t).alias("b_h"), t.alias("b_t"))
-    seen = _windows(_tokens(docs, "b_t"), STRIDE)
+    seen = _windows(_tokens(docs, "b_t"))
     bounded = wanted.count() <= MAX_BROADCAST
     hits = seen.join(F.broadcast(wanted) if bounded else wanted, "b_key")
     align = ["b_doc", "b_h", "b_item", "b_ih", "b_off"]
