@@ -32,12 +32,16 @@ MARK = "\x01"
 POINT = "\x02"
 #: A capitalised word that doesn't start a sentence.
 NAME = r"(\p{Lu}(?<=[\p{Ll}\p{N}][,;]?[ \n]\p{Lu})\p{Ll}+)"
-NUMBER = r"(\p{N}(?<![\p{L}\p{N}]\p{N})[\p{N}.,:/]*(?<=\p{N}))(?!\p{L})"
+NUMBER = r"(\p{N}(?<![\p{L}\p{N}]\p{N})[\p{N}.,:/]*(?<=\p{N}))"
+#: A number with what stands between it and its unit, and the unit.
 UNIT = (
-    "(?<=" + MARK + r"n[\p{N}.,:/]{1,24} ?)(%|°[CF]|[€$£]|(?:[kcm]?m|km/h|mph|[km]?g|m?l|kW|"
-    r"dollars?|euros?|cents?|pounds?|miles?|inch(?:es)?|feet|met(?:er|re)s?|lit(?:er|re)s?|"
+    "(" + MARK + r"n[\p{N}.,:/]+[ \x{A0}\n-]{1,3})(?:" + MARK + r"p)?(%|°[CF]|[€$£]|(?i:km/h|mph|[kcm]?m|[km]?g|m?l|kW|"
+    r"dollars?|euros?|cents?|pounds?|miles?|inch(?:es)?|feet|foot|yards?|"
+    r"(?:kilo|centi|milli)?met(?:er|re)s?|(?:milli)?lit(?:er|re)s?|(?:kilo|milli)?grams?|"
     r"seconds?|minutes?|hours?|days?|weeks?|months?|years?|percent)(?!\p{L}))"
 )
+#: A sign of money before a number.
+MONEY = r"([€$£])(?= {0,3}" + MARK + "n)"
 
 
 def _marked(text: Column) -> Column:
@@ -47,7 +51,8 @@ def _marked(text: Column) -> Column:
     )
     named = F.regexp_replace(text, NAME, f" {MARK}p$1 ")
     numbered = F.regexp_replace(named, NUMBER, f" {MARK}n$1 ")
-    numbered = F.regexp_replace(numbered, UNIT, f" {MARK}u$1 ")
+    numbered = F.regexp_replace(numbered, UNIT, f"$1{MARK}u$2 ")
+    numbered = F.regexp_replace(numbered, MONEY, f" {MARK}u$1 ")
     numbered = F.regexp_replace(numbered, r"(?<=\p{N})[.,:/](?=\p{N})", POINT)
     return F.lower(F.when(text.rlike(r"[\p{N}]"), numbered).otherwise(named))
 

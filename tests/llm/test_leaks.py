@@ -30,3 +30,15 @@ def test_the_place_of_a_passage_does_not_matter(found):
     got = found(texts)
     assert got == {(i, 1): 13 for i in range(len(texts))}
     assert set(found([f"{b}which metal melts under moonlight?" for b in before])) == {(0, 2), (1, 2), (2, 2)}
+
+
+TRIP = "A hiker walks 12 km in 3 hours with 5 kg on the back, pays $40 and sees 7% of the 9x map."
+
+
+def test_units_are_slots(found):
+    same = TRIP.replace("km", "miles").replace("hours", "days").replace("kg", "pounds")
+    same = same.replace("$", "€").replace("7%", "8 percent").replace("9x", "4x")
+    glued = TRIP.replace("12 km", "12km").replace("5 kg", "5kg").replace("7%", "7 %")
+    upper = TRIP.replace("km", "KM").replace("hours", "Hours")
+    whole = found([TRIP], [(1, TRIP)])[0, 1]
+    assert found([same, glued, upper], [(1, TRIP)]) == {(i, 1): whole for i in range(3)}
