@@ -5,7 +5,9 @@ Numbers, names and units become typed placeholders that keep their value aside.
 place of both, so that what is met doesn't depend on where a passage stands. Where windows hold placeholders, the values of the
 item must map one to one to those of the document over all windows of one alignment; windows of an
 alignment that fails this count only if they hold no placeholder. So a question with other numbers
-and names is caught, a text that merely has numbers in the same places is not.
+and names is caught, a text that merely has numbers in the same places is not. A window with fewer
+than `LITERALS` other tokens counts where its values agree literally, or widened to either side
+until it holds so many.
 
 Defined results: null, empty and short texts have no windows and stay; items with fewer than
 `WINDOW` tokens match nothing. Repeated rows are all reported. An empty benchmark takes nothing.
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 from cinderlog.llm.shared import aside, held, stored
 
 WINDOW = 5
-#: Tokens of a window that must not be placeholders.
+#: Tokens of a window that must not be placeholders for its template to count.
 LITERALS = 3
+#: A window with fewer is widened to so many tokens at most.
+WIDEST = 13
 #: An item is met if so many tokens of it are, or half of them if that is less.
 ENOUGH = 13
 #: Benchmark windows that may be broadcast, of about 100 bytes each; more are joined by a shuffle.
@@ -69,7 +73,10 @@ def _tokens(df: DataFrame, text: str) -> DataFrame:
 
 
 def _windows(df: DataFrame) -> DataFrame:
-    """df with b_tokens replaced by a row for each window: b_i, b_key and the values b_slots."""
+    """df with b_tokens replaced by a row for each window: b_i, b_len, b_key and b_slots.
+
+    b_slots has the values, null where there are none or where the key holds them.
+    """
     raw = F.col("b_tokens")
     # A text without placeholders is its own template.
     df = held(
@@ -80,23 +87,53 @@ def _windows(df: DataFrame) -> DataFrame:
                 raw, lambda x: F.when(x.startswith(MARK), F.substring(x, 1, 2)).otherwise(x)
             ),
         ).otherwise(raw),
+        b_marks=F.when(
+            F.col("b_has"), F.transform(raw, lambda x: x.startswith(MARK).cast("int"))
+        ),
     )
+    none = F.lit(None).cast("array<string>")
 
-    def window(i: Column) -> Column:
-        key = F.xxhash64(*(F.get("b_plain", i + k) for k in range(WINDOW)))
-        slots = F.filter(F.slice(raw, i + 1, WINDOW), lambda x: x.startswith(MARK))
+    def row(i: Column, n: Column, key: Column, slots: Column) -> Column:
         return F.struct(
             i.cast("int").alias("b_i"),
+            n.cast("int").alias("b_len"),
             key.alias("b_key"),
-            F.when(F.col("b_has"), slots).alias("b_slots"),
+            slots.alias("b_slots"),
         )
 
+    def slots(i: Column, n: Column) -> Column:
+        return F.filter(F.slice(raw, i + 1, n), lambda x: x.startswith(MARK))
+
+    def wide(i: Column, n: Column) -> Column:
+        return row(i, n, F.xxhash64(F.slice("b_plain", i + 1, n)), slots(i, n))
+
+    def literals(i: Column, n: Column) -> Column:
+        marks = F.slice("b_marks", i + 1, n)
+        return n - F.aggregate(marks, F.lit(0), lambda x, y: x + y)
+
+    def window(i: Column) -> Column:
+        key = F.xxhash64(*(F.get("b_plain", i + k) for k in range(WINDOW)))
+        n = F.lit(WINDOW)
+        usual = F.array(row(i, n, key, F.when(F.col("b_has"), slots(i, n))))
+        lengths = F.sequence(F.lit(WINDOW + 1), F.lit(WIDEST))
+        after = F.filter(
+            lengths, lambda m: (i + m <= F.size(raw)) & (literals(i, m) >= LITERALS)
+        )
+        before = F.filter(
+            lengths, lambda m: (i + WINDOW >= m) & (literals(i + WINDOW - m, m) >= LITERALS)
+        )
+        # Nothing but the same values, or the nearest literals on either side.
+        dense = F.concat(
+            F.array(row(i, n, F.xxhash64(F.slice(raw, i + 1, n)), none)),
+            F.transform(F.slice(after, 1, 1), lambda m: wide(i, m)),
+            F.transform(F.slice(before, 1, 1), lambda m: wide(i + WINDOW - m, m)),
+        )
+        return F.when(F.col("b_has") & (literals(i, n) < LITERALS), dense).otherwise(usual)
+
     starts = F.when(F.size(raw) >= WINDOW, F.sequence(F.lit(0), F.size(raw) - WINDOW))
-    kept = [c for c in df.columns if c not in ("b_tokens", "b_plain", "b_has")]
-    out = df.select(*(f"`{c}`" for c in kept), F.inline(F.transform(starts, window)))
-    return out.where(
-        F.col("b_slots").isNull() | (F.size("b_slots") <= WINDOW - LITERALS)
-    )
+    made = ("b_tokens", "b_plain", "b_marks", "b_has")
+    kept = [c for c in df.columns if c not in made]
+    return df.select(*(f"`{c}`" for c in kept), F.inline(F.flatten(F.transform(starts, window))))
 
 
 def leaks(
@@ -118,7 +155,8 @@ def leaks(
     items = _tokens(items, "b_text")
     items = items.withColumn("b_n", F.size("b_tokens"))
     wanted = stored(
-        _windows(items).withColumnsRenamed({"b_i": "b_j", "b_slots": "b_values"}), "items"
+        _windows(items).drop("b_len").withColumnsRenamed({"b_i": "b_j", "b_slots": "b_values"}),
+        "items",
     )
     docs = df.select(F.col(f"`{doc_id}`").alias("b_doc"), F.xxhash64(t).alias("b_h"), t.alias("b_t"))
     seen = _windows(_tokens(docs, "b_t"))
@@ -127,7 +165,7 @@ def leaks(
     align = ["b_doc", "b_h", "b_item", "b_ih", "b_off"]
     hits = stored(
         hits.select(
-            "b_doc", "b_h", "b_item", "b_ih", "b_n", "b_j", "b_slots", "b_values",
+            "b_doc", "b_h", "b_item", "b_ih", "b_n", "b_j", "b_len", "b_slots", "b_values",
             (F.col("b_i") - F.col("b_j")).alias("b_off"),
         ),
         "hits",
@@ -156,7 +194,7 @@ def leaks(
     )
     places = good.select(
         "b_doc", "b_h", "b_item", "b_ih", "b_n",
-        F.explode(F.sequence("b_j", F.col("b_j") + WINDOW - 1)).alias("b_place"),
+        F.explode(F.sequence("b_j", F.col("b_j") + F.col("b_len") - 1)).alias("b_place"),
     )
     met = (
         places.groupBy("b_doc", "b_h", "b_item", "b_ih", "b_n", "b_place")

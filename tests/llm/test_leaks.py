@@ -42,3 +42,17 @@ def test_units_are_slots(found):
     upper = TRIP.replace("km", "KM").replace("hours", "Hours")
     whole = found([TRIP], [(1, TRIP)])[0, 1]
     assert found([same, glued, upper], [(1, TRIP)]) == {(i, 1): whole for i in range(3)}
+
+
+SUM = "What is 12 + 15 + 7 - 3 * 4 + 20 / 5?"
+TRIPLES = " and ".join(f"{i} {i + 40} {i + 77}" for i in (3, 19, 28, 31, 57, 64)) + " are"
+
+
+def test_items_dense_in_numbers(found):
+    items = [(1, SUM), (2, TRIPLES)]
+    other = " and ".join(f"{i + 200} {i + 500} {i + 900}" for i in range(6)) + " are"
+    texts = [f"Xa. {SUM} Then more.", f"xa xb {TRIPLES} three", f"xa {other} here", "What is 2 + 3 + 9 + 8 + 1 + 6?"]
+    got = found(texts, items)
+    assert got[0, 1] == 9 and got[1, 2] == len(TRIPLES.split()) == 24
+    # The same template with other values is met by its words.
+    assert got[2, 2] == 24 and not {(2, 1), (3, 1)} & set(got)
