@@ -2,12 +2,11 @@
 
 Numbers, names and units become typed placeholders that keep their value aside. Windows of
 `WINDOW` template tokens of the benchmark are hash-joined with those of the documents, at every
-place of both, so that what is met doesn't depend on where a passage stands. Where windows hold placeholders, the values of the
-item must map one to one to those of the document over all windows of one alignment; windows of an
-alignment that fails this count only if they hold no placeholder. So a question with other numbers
-and names is caught, a text that merely has numbers in the same places is not. A window with fewer
-than `LITERALS` other tokens counts where its values agree literally, or widened to either side
-until it holds so many.
+place of both, so that what is met doesn't depend on where a passage stands. Where windows hold
+placeholders, a value of the item stands for one value of the document, the one at most places of
+the alignment; windows that show another don't count. So a question with other numbers and names is
+caught, also where two values became the same. A window with fewer than `LITERALS` other tokens
+counts where its values agree literally, or widened to either side until it holds so many.
 
 Defined results: null, empty and short texts have no windows and stay; items with fewer than
 `WINDOW` tokens match nothing. Repeated rows are all reported. An empty benchmark takes nothing.
@@ -72,10 +71,11 @@ def _tokens(df: DataFrame, text: str) -> DataFrame:
     ).drop("b_marked")
 
 
-def _windows(df: DataFrame) -> DataFrame:
+def _windows(df: DataFrame, places: bool = False) -> DataFrame:
     """df with b_tokens replaced by a row for each window: b_i, b_len, b_key and b_slots.
 
-    b_slots has the values, null where there are none or where the key holds them.
+    b_slots has the values, null where there are none or where the key holds them; b_at, if asked
+    for, their places.
     """
     raw = F.col("b_tokens")
     # A text without placeholders is its own template.
@@ -94,11 +94,13 @@ def _windows(df: DataFrame) -> DataFrame:
     none = F.lit(None).cast("array<string>")
 
     def row(i: Column, n: Column, key: Column, slots: Column) -> Column:
+        at = F.filter(F.sequence(i, i + n - 1), lambda k: F.get(raw, k).startswith(MARK))
         return F.struct(
             i.cast("int").alias("b_i"),
             n.cast("int").alias("b_len"),
             key.alias("b_key"),
             slots.alias("b_slots"),
+            *((F.when(slots.isNotNull(), at).alias("b_at"),) if places else ()),
         )
 
     def slots(i: Column, n: Column) -> Column:
@@ -155,7 +157,7 @@ def leaks(
     items = _tokens(items, "b_text")
     items = items.withColumn("b_n", F.size("b_tokens"))
     wanted = stored(
-        _windows(items).drop("b_len").withColumnsRenamed({"b_i": "b_j", "b_slots": "b_values"}),
+        _windows(items, places=True).drop("b_len").withColumnsRenamed({"b_i": "b_j", "b_slots": "b_values"}),
         "items",
     )
     docs = df.select(F.col(f"`{doc_id}`").alias("b_doc"), F.xxhash64(t).alias("b_h"), t.alias("b_t"))
@@ -165,32 +167,34 @@ def leaks(
     align = ["b_doc", "b_h", "b_item", "b_ih", "b_off"]
     hits = stored(
         hits.select(
-            "b_doc", "b_h", "b_item", "b_ih", "b_n", "b_j", "b_len", "b_slots", "b_values",
+            "b_doc", "b_h", "b_item", "b_ih", "b_n", "b_j", "b_len", "b_slots", "b_values", "b_at",
             (F.col("b_i") - F.col("b_j")).alias("b_off"),
         ),
         "hits",
     )
-    # One to one: as many item values as document values as pairs of them.
+    # What most places of an alignment say of an item's value, where they differ.
     pairs = hits.where(F.size("b_slots") > 0).select(
-        *align, F.explode(F.arrays_zip("b_values", "b_slots")).alias("b_pair")
+        *align, F.inline(F.arrays_zip("b_values", "b_slots", "b_at"))
     )
-    pairs = pairs.select(*align, "b_pair.b_values", "b_pair.b_slots").distinct()
-    odd = (
-        pairs.groupBy(*align)
-        .agg(
-            F.count("*").alias("b_a"),
-            F.count_distinct("b_values").alias("b_b"),
-            F.count_distinct("b_slots").alias("b_c"),
-        )
-        .where((F.col("b_a") != F.col("b_b")) | (F.col("b_a") != F.col("b_c")))
-        .select(*align, F.lit(True).alias("b_odd"))
+    votes = pairs.groupBy(*align, "b_values", "b_slots").agg(F.count_distinct("b_at").alias("b_times"))
+    most = F.struct("b_times", F.col("b_values") == F.col("b_slots"), "b_slots")
+    maps = (
+        votes.groupBy(*align, "b_values")
+        .agg(F.max(most).getField("b_slots").alias("b_slots"), F.count("*").alias("b_kinds"))
+        .where("b_kinds > 1")
+        .groupBy(*align)
+        .agg(F.map_from_entries(F.collect_list(F.struct("b_values", "b_slots"))).alias("b_map"))
     )
     same = F.lit(True)
-    odd = odd.withColumnsRenamed({c: f"{c}_" for c in align})
+    maps = maps.withColumnsRenamed({c: f"{c}_" for c in align})
     for c in align:
         same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
-    good = hits.join(odd, same, "left").where(
-        F.col("b_odd").isNull() | F.col("b_slots").isNull() | (F.size("b_slots") == 0)
+    fits = F.forall(
+        F.arrays_zip("b_values", "b_slots"),
+        lambda x: F.coalesce(F.element_at("b_map", x["b_values"]), x["b_slots"]) == x["b_slots"],
+    )
+    good = hits.join(maps, same, "left").where(
+        F.col("b_map").isNull() | F.col("b_slots").isNull() | fits
     )
     places = good.select(
         "b_doc", "b_h", "b_item", "b_ih", "b_n",
