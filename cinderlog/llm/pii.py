@@ -23,6 +23,7 @@ import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
+from ipaddress import IPv6Address
 from itertools import chain
 
 import pyarrow as pa
@@ -41,9 +42,14 @@ TITLES = {
 }
 GENDER = {t: g for g, names in TITLES.items() for t in names.split()}
 _TITLE = "|".join(sorted(map(re.escape, GENDER), key=len, reverse=True))
-#: What a text must hold to be looked at, in Java's spelling: a digit, an @, or a capitalised word
-#: with a title's first letter before another one.
-WORTH = r"[0-9@]|[DFHMPS]\p{L}{0,8}(?:\.ra)?\.? \p{Lu}"
+#: What a text must hold to be looked at, in Java's spelling: a digit, an @, a capitalised word with
+#: a title's first letter before another one, a word for a secret and what assigns it, or two hexadecimal
+#: groups. Whatever `detect` finds holds one of them.
+WORTH = (
+    r"[\p{N}@]|[DFHMPS]\p{L}{0,8}(?:\.ra)?\.? \p{Lu}"
+    r"|(?iu:key|token|secret|password|passwd)[\s\x1c-\x1f\x{85}\p{Z}]*[=:]"
+    r"|[0-9a-fA-F]:{1,2}[0-9a-fA-F]{1,4}:|[0-9a-fA-F]{4}::|::[0-9a-fA-F]{3}"
+)
 
 _WORD = r"[^\W\d_][\w'’-]*"
 _NAME = re.compile(rf"\b({_TITLE})\.? ({_WORD}(?: {_WORD}){{0,2}})")
@@ -55,7 +61,8 @@ _SECRET = re.compile(
 _NUMBERS = re.compile(
     r"(?<![\w.])(?:"
     r"(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w.]*\d)"
-    r"|(?P<ip6>[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){7})(?![\w:])"
+    r"|(?P<ip6>(?<!:)(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){7}"
+    r"|(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6})?::(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6})?))(?![\w:])"
     r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?P<card>\d(?:[ -]?\d){12,18})(?![\w-])"
@@ -71,11 +78,25 @@ def _canonical(kind: str, raw: str) -> str:
         return "".join(c for c in raw if c.isdigit() or c == "+")
     if kind == "iban":
         return raw.replace(" ", "")
+    if kind == "ip6":
+        return str(IPv6Address(raw))
     if kind == "secret":
         return raw
     return raw.casefold()
 
 
+def _is_address(raw: str) -> bool:
+    """Whether it is an IPv6 address; a compressed one only if no slice or scope looks like it."""
+    if "::" in raw and not any(
+        len(g) == 4 or len(g) == 3 and any(c.isdigit() for c in raw) for g in raw.split(":")
+    ):
+        return False
+    try:
+        return bool(IPv6Address(raw))
+    except ValueError:
+        return False
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Begin, end, type and canonical value of each entity, in order, none overlapping."""
     found = []
@@ -88,6 +109,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         kind = m.lastgroup.rstrip("2")
         if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
             continue
+        if kind == "ip6" and not _is_address(m[0]):
+            continue
         found.append((*m.span(), {"hex": "secret", "ip6": "ip6"}.get(kind, kind)))
     names: dict[str, str] = {}
     for m in _NAME.finditer(text):
@@ -180,7 +203,9 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         kept = 2 if value.startswith("192.168.") else int(private)
         return ".".join(p if i < kept else str(1 + draw.below(254)) for i, p in enumerate(parts))
     if kind == "ip6":
-        return "".join("0123456789abcdef"[draw.below(16)] if c != ":" else c for c in value)
+        shape = value if not more else "0000:" * 7 + "0000"
+        new = "".join("0123456789abcdef"[draw.below(16)] if c != ":" else c for c in shape)
+        return str(IPv6Address(new))
     if kind == "iban":
         rest = "".join(_like(c, draw) for c in value[4:] + "0" * more)
         number = "".join(str(int(c, 36)) for c in rest + value[:2] + "00")
@@ -215,6 +240,9 @@ def written(kind: str, raw: str, new: str) -> str:
         for c in raw:
             out.append(next(left, "") if c.isalnum() or c == "+" else c)
         return "".join(chain(out, left))
+    if kind == "ip6" and "::" not in raw:
+        groups = IPv6Address(new).exploded.split(":")
+        new = ":".join(groups if len(raw) == 39 else (f"{int(g, 16):x}" for g in groups))
     if kind in ("email", "ip6", "given-f", "given-m", "given-n", "surname"):
         shape = raw.split("@")[0]  # a domain has no case of its own
         if shape.isupper() and len(shape) > 1:
