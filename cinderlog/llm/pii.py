@@ -6,7 +6,8 @@
 2. Every distinct entity (type and canonical value, so "(1) 2" and "1-2" are one) draws a surrogate
    from an HMAC of a secret key, its type, its value and an attempt number.
 3. Collisions are checked over the whole table: of entities that drew the same surrogate one keeps
-   it, and none may draw a value that occurs as an original. The others draw again, until none is
+   it, and none may draw a value that occurs as an original; all kinds of names count as one type
+   here, and a word that is a name of several kinds is one entity. The others draw again, until none is
    left. So distinct entities stay distinct, and mentions of one entity get one surrogate in all
    documents.
 4. Surrogates are written into the mentions in their format: separators, case, country codes,
@@ -27,7 +28,7 @@ from ipaddress import IPv6Address
 from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.llm.shared import aside, stored
@@ -284,30 +285,45 @@ def _drawer(key: bytes):
     return run
 
 
+def _class() -> Column:
+    """The kind, or name for all kinds of names: values of a class are kept apart."""
+    kind = F.col("p_kind")
+    return F.when(kind.rlike("^(given-|surname)"), "name").otherwise(kind).alias("p_class")
+
+
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
-    """p_kind, p_value and p_new: a surrogate of its own for each distinct entity."""
+    """p_kind, p_value and p_new: a surrogate of its own for each distinct entity.
+
+    All kinds of names are one class: a word that is a name of several kinds is one entity, drawn
+    as the first of them, and no two words of the class get the same surrogate.
+    """
     draw = _drawer(key)
-    originals = entities.select("p_kind", F.col("p_value").alias("p_new"))
+    given = entities.select("p_kind", "p_value").distinct()
+    entities = given.groupBy(_class(), "p_value").agg(F.min("p_kind").alias("p_kind"))
+    originals = entities.select(_class(), F.col("p_value").alias("p_new"))
     first = entities.select("p_kind", "p_value", F.lit(0).alias("p_attempt"))
     drawn = stored(first.mapInArrow(draw, _ENTITY), "surrogates")
     while True:
         # The one with the smallest digest keeps a surrogate; an original keeps nobody's.
-        rank = F.xxhash64("p_kind", "p_value")
-        taken = drawn.groupBy("p_kind", "p_new").agg(
+        rank = F.xxhash64(_class(), "p_value")
+        taken = drawn.groupBy(_class(), "p_new").agg(
             F.min(rank).alias("p_rank"), F.count("*").alias("p_n")
         )
-        shared = taken.where("p_n > 1").select("p_kind", "p_new", "p_rank")
+        shared = taken.where("p_n > 1").select("p_class", "p_new", "p_rank")
         barred = (
-            taken.join(originals, ["p_kind", "p_new"], "left_semi")
-            .select("p_kind", "p_new", F.lit(None).cast("long").alias("p_rank"))
+            taken.join(originals, ["p_class", "p_new"], "left_semi")
+            .select("p_class", "p_new", F.lit(None).cast("long").alias("p_rank"))
         )
         clash = stored(
-            barred.union(shared.join(barred, ["p_kind", "p_new"], "left_anti")), "clashes"
+            barred.union(shared.join(barred, ["p_class", "p_new"], "left_anti")), "clashes"
         )
         if clash.isEmpty():
-            return drawn.select("p_kind", "p_value", "p_new")
+            known = drawn.select(_class(), "p_value", "p_new")
+            return given.withColumn("p_class", _class()).join(known, ["p_class", "p_value"]).drop("p_class")
         lost = F.col("p_clash").isNotNull() & ~rank.eqNullSafe(F.col("p_rank"))
-        marked = drawn.join(clash.withColumn("p_clash", F.lit(True)), ["p_kind", "p_new"], "left")
+        marked = drawn.withColumn("p_class", _class()).join(
+            clash.withColumn("p_clash", F.lit(True)), ["p_class", "p_new"], "left"
+        )
         again = marked.where(lost).select(
             "p_kind", "p_value", (F.col("p_attempt") + 1).cast("int").alias("p_attempt")
         )

@@ -39,3 +39,19 @@ def test_compressed_addresses(docs):
 @pytest.mark.parametrize("text", ["::", "12::30", "a::b", "1:2:3::4:5:6:7:8:9"])
 def test_no_addresses(text):
     assert not [x for x in pii.detect(text) if x[2] == "ip6"]
+
+
+def test_names_are_apart_across_kinds(spark, docs):
+    kinds = ("surname", "given-n", "given-f", "given-m")
+    letters = "abcdefghijklmnopqrst"
+    rows = [(kinds[i % 4], a + b + c) for i, (a, b, c) in enumerate((a, b, c) for a in letters[:4] for b in letters for c in "aeiou")]
+    # Originals that others would draw, of another kind.
+    rows += [("surname", pii.surrogate(KEY, k, v, 0)) for k, v in rows[1:40:4]]
+    got = pii.assign(spark.createDataFrame(rows, "p_kind string, p_value string").distinct(), KEY).collect()
+    values = {r.p_value for r in got}
+    assert {(r.p_kind, r.p_value) for r in got} == set(rows)
+    assert len({r.p_new for r in got}) == len(values) and not {r.p_new for r in got} & values
+    text = rewritten(docs(["Dr Anna Holm met Mrs Anna Holm. Anna left."]))[0].text
+    assert len(set(re.findall(r"(?:Dr|Mrs) (\w+)|(\w+) left", text)) - {""}) <= 2
+    first, second, third = re.search(r"Dr (\w+) .* Mrs (\w+) .* (\w+) left", text).groups()
+    assert first == second == third
