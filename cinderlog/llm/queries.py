@@ -16,6 +16,7 @@ from cinderlog.llm import (
     bpe,
     chat,
     decontam,
+    interaction,
     linededup,
     neardup,
     pii,
@@ -127,6 +128,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"p_entities": "n_entities", "p_kinds": "kinds"})
 
 
+def op11_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -137,7 +142,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_neardup, op2_decontam, op3_linededup, op4_bpe, op5_urlfilter, op6_quality, op7_chat,
-        op8_warc, op9_tokencount, op10_pii, pipeline,
+        op8_warc, op9_tokencount, op10_pii, op11_interaction, pipeline,
     )
 }
 
@@ -222,4 +227,46 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM v
 """
 
-ORACLE = {"op5_urlfilter": _URL, "op6_quality": _QUALITY, "op7_chat": _CHAT, "op8_warc": _WARC}
+# Every order is run here, row by row, where the operator works on 32 numbers of each part.
+_INTERACTION = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                  [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+') IF x <> ''] AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT doc_id, part, length(text) AS n, len(w) AS n_words, len(list_distinct(w)) AS n_distinct,
+             length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, regexp_matches(text, '[#$%&*|]') AS symbol,
+             coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS copy FROM d),
+f AS (SELECT c.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             CASE WHEN n_words < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * n_distinct < 50 * n_words THEN 'B' ELSE '' END
+             || CASE WHEN 100 * n_upper > 2 * n THEN 'C' ELSE '' END || CASE WHEN symbol THEN 'D' ELSE '' END
+             || CASE WHEN copy THEN 'E' ELSE '' END AS fails FROM c LEFT JOIN l ON c.doc_id = l.doc_id),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, CAST(step AS INTEGER), 1) AS own FROM o, range(1, 6) r(step)),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+      FROM f GROUP BY part, fails),
+t AS (SELECT part, filter_order, step, own, n, good, toxic, fails, contains(fails, own) AS hit,
+             coalesce(list_min([instr(filter_order, y) FOR y IN string_split(fails, '') IF y <> '']), 6) AS gone
+      FROM g, s),
+r AS (SELECT part, filter_order, step, own,
+             coalesce(sum(n) FILTER (gone > step), 0) AS kept,
+             coalesce(sum(n) FILTER (gone = step), 0) AS removed,
+             coalesce(sum(n) FILTER (hit AND gone < step), 0) AS redundant,
+             coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (gone = step), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER (gone = step), 0) AS toxic_lost
+      FROM t GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+ORACLE = {
+    "op5_urlfilter": _URL,
+    "op6_quality": _QUALITY,
+    "op7_chat": _CHAT,
+    "op8_warc": _WARC,
+    "op11_interaction": _INTERACTION,
+}

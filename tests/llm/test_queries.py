@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from cinderlog.llm import decontam, linededup, quality, queries
 
-TABLES = "documents pages benchmark conversations".split()
+TABLES = "documents embeddings labels pages benchmark conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def duck():
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {q.split("_")[0] for q in queries.QUERIES}
     assert queries.QUERIES.items() <= entry.queries().items()
     assert queries.ORACLE.items() <= entry.oracle_sql().items()
 
