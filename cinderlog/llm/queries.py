@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cinderlog.llm import (
     bpe,
     chat,
+    codes,
     decontam,
     interaction,
     linededup,
@@ -132,6 +133,12 @@ def op11_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(_read(spark, sf_dir, "embeddings"))
+    out = codes.label_errors(coded).drop("label")
+    return out.withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -142,7 +149,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_neardup, op2_decontam, op3_linededup, op4_bpe, op5_urlfilter, op6_quality, op7_chat,
-        op8_warc, op9_tokencount, op10_pii, op11_interaction, pipeline,
+        op8_warc, op9_tokencount, op10_pii, op11_interaction, op12_codes, pipeline,
     )
 }
 
@@ -263,10 +270,54 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 FROM r
 """
 
+def _assigned(books: str) -> str:
+    """Entry and distance of each part by comparing it with all entries of its position."""
+    return f"""
+SELECT vec_id, p, v, e, dist FROM (
+  SELECT q.vec_id, q.p, q.v, b.e, d.dist,
+         row_number() OVER (PARTITION BY q.vec_id, q.p ORDER BY d.dist, b.e) AS best
+  FROM parts q JOIN {books} b ON b.p = q.p,
+       LATERAL (SELECT CAST(list_sum([(q.v[i] - b.v[i]) * (q.v[i] - b.v[i]) FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS dist) d)
+WHERE best = 1"""
+
+
+def _replaced(books: str, assigned: str) -> str:
+    """Each entry replaced by the floored means of its parts; unused entries stay."""
+    return f"""
+SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM {books} b LEFT JOIN (
+  SELECT p, e, list(mean ORDER BY i) AS v FROM (
+    SELECT p, e, i, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS mean
+    FROM (SELECT p, e, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM {assigned}) GROUP BY p, e, i)
+  GROUP BY p, e) m ON m.p = b.p AND m.e = b.e"""
+
+
+_CODES = f"""
+WITH whole AS (
+  SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS n FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, p, n[p * len(n) // {codes.PARTS} + 1:(p + 1) * len(n) // {codes.PARTS}] AS v
+  FROM whole, range({codes.PARTS}) r(p)),
+b0 AS MATERIALIZED (
+  SELECT p, e, v FROM parts JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM whole ORDER BY vec_id LIMIT {codes.ENTRIES}) USING (vec_id)),
+a0 AS MATERIALIZED ({_assigned("b0")}),
+b1 AS MATERIALIZED ({_replaced("b0", "a0")}),
+a1 AS MATERIALIZED ({_assigned("b1")}),
+b2 AS MATERIALIZED ({_replaced("b1", "a1")}),
+a2 AS MATERIALIZED ({_assigned("b2")}),
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2),
+coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error
+          FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN whole USING (vec_id), digest
+"""
+
 ORACLE = {
     "op5_urlfilter": _URL,
     "op6_quality": _QUALITY,
     "op7_chat": _CHAT,
     "op8_warc": _WARC,
     "op11_interaction": _INTERACTION,
+    "op12_codes": _CODES,
 }
