@@ -18,6 +18,7 @@ from cinderlog.llm import (
     codes,
     decontam,
     interaction,
+    langid,
     linededup,
     neardup,
     pii,
@@ -139,6 +140,10 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("codebooks_sha256", F.lit(codes.digest(books)))
 
 
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -149,7 +154,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_neardup, op2_decontam, op3_linededup, op4_bpe, op5_urlfilter, op6_quality, op7_chat,
-        op8_warc, op9_tokencount, op10_pii, op11_interaction, op12_codes, pipeline,
+        op8_warc, op9_tokencount, op10_pii, op11_interaction, op12_codes, op13_langid, pipeline,
     )
 }
 
