@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.sql import quote
 from ..functions.text import lines_of
 from .findings import FINDING_TYPE
+from .gram_index import contained
 from .triage import REPORT_ORDER, block_text
 
 # Default budget, room kept for the frame, and the texts of the frame.
@@ -144,7 +145,6 @@ def _assemble(df: DataFrame, budget: int, keys: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- large artifacts
-TOKENS_PER_ROW = 256
 # No entry of the findings block is shorter than this.
 SHORTEST_ENTRY = 40
 
@@ -163,6 +163,9 @@ def piece_excerpts(
       before the shuffle (window group limit) and leaves some ten thousand short lines at most;
     * of the findings, only as many as fit the block by their shortest form.
 
+    Lines find their evidence words by an index of q-grams, so an artifact with many lines and many
+    words costs its matches.
+
     ``found`` is read three times; Spark reuses the exchanges below it.
     """
     lines = lines.select(
@@ -170,26 +173,16 @@ def piece_excerpts(
     )
     counted = lines.groupBy("artifact_id").agg(F.count("*").alias("n_lines"))
 
-    # Evidence words, packed; a line is compared with a pack at a time.
     words = found.selectExpr(
-        "artifact_id", f"explode({_tokens_of('evidence')}) AS token"
-    ).distinct()
-    order = Window.partitionBy("artifact_id").orderBy("token")
-    packs = (
-        words.withColumn(
-            "pack", F.floor((F.row_number().over(order) - 1) / TOKENS_PER_ROW)
-        )
-        .groupBy("artifact_id", "pack")
-        .agg(F.collect_list("token").alias("tokens"))
+        "artifact_id", f"explode({_tokens_of('evidence')}) AS word"
     )
     fitting = lines.withColumn("cost", F.length("line") + 1).where(
         F.col("cost") <= budget
     )
-    hits = (
-        fitting.join(packs, "artifact_id")
-        .where("exists(tokens, t -> contains(lower(line), t))")
-        .select("artifact_id", "line_no", "line", "cost")
-        .dropDuplicates(["artifact_id", "line_no"])
+    lowered = fitting.withColumn("lowered", F.lower("line"))
+    held = contained(lowered, words, ["line_no"], line="lowered")
+    hits = held.select("artifact_id", "line_no", "line", "cost").dropDuplicates(
+        ["artifact_id", "line_no"]
     )
     ranked = Window.partitionBy("artifact_id", "cost").orderBy("line_no")
 
