@@ -44,3 +44,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def meet(df: DataFrame, table: DataFrame, on: list[str], most: int) -> DataFrame:
+    """An inner join with a written table, which is broadcast if it has at most ``most`` rows.
+
+    Beyond that Spark joins as it sees fit. The caller states what a row takes.
+    """
+    return df.join(F.broadcast(table) if table.count() <= most else table, on)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import meet, written
+
 # The auth-log family's file layout.
 AUTH_LOG_SCHEMA = T.StructType(
     [
@@ -55,20 +55,42 @@ def read_log(
     )
 
 
-#: Different headers that one read may hold.
-MAX_HEADERS = 200
+#: Files whose header positions are broadcast, of about 200 bytes each.
+MAX_FILES = 1_000_000
+#: A field of a CSV header behind its comma.
+HEADER_FIELD = r',("(?:[^"]++|"")*+"(?=,|$)|[^,]*+)'
+
+
+def header_names(header: Column) -> Column:
+    """The column names of a CSV header line, in order."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), header), F.lit(HEADER_FIELD), F.lit(1))
+
+    def plain(x: Column) -> Column:
+        inner = F.substr(x, F.lit(2), F.length(x) - 2)
+        return F.when(x.rlike('^".*"$'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(x)
+
+    return F.transform(fields, plain)
+
+
+def _whole(value: Column) -> Column:
+    """A whole number; NULL for anything else."""
+    return F.when(value.rlike(r"^[+-]?[0-9]+$"), value.try_cast("bigint"))
 
 
-def read_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_logs(
+    spark: SparkSession, path: str | list[str], max_files: int = MAX_FILES
+) -> DataFrame:
     """Logs of any headers: ``artifact_id, has_header`` and the required columns.
 
     Columns are found by name, so further ones and any order do. A file whose header lacks a required
-    column has ``has_header`` false and null columns, and an empty file is one such row, so that both
-    are answered with "no family". Records are lines; a file with line breaks inside records needs
-    `read_log` with ``multiline``.
-
-    The header of a file is the first line of its first split. Distinct headers, a few texts, are
-    fetched to build one parser each; files are matched to them by a join.
+    column, or names one twice, has ``has_header`` false or null columns, and an empty file is one
+    such row, so that all are answered with "no family". Records are lines; a file with line breaks
+    inside records needs `read_log` with ``multiline``.
+
+    A record is split into its positions once, by one parser for all files, as wide as the last
+    required column of any header. A table of distinct headers tells at which position each
+    required column stands; a file's row of it is met by file, broadcast up to ``max_files`` files.
+    The number of different headers is not limited, and none is fetched to the driver.
     """
     paths = [path] if isinstance(path, str) else list(path)
     for p in paths:
@@ -79,41 +101,54 @@ def read_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("id"),
         F.col("value").alias("line"),
     )
-    first = lines.where("start = 0").groupBy("artifact_id").agg(F.min("id").alias("first_id"))
-    heads = lines.join(first, "artifact_id").where("id = first_id")
-    headers = heads.select("artifact_id", "first_id", F.col("line").alias("header"))
-    known = [r.header for r in headers.select("header").distinct().take(MAX_HEADERS + 1)]
-    if len(known) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers")
-    types = {f.name: f.dataType for f in MINIMAL_SCHEMA.fields}
-
-    def record(header: str) -> Column:
-        names = next(csv.reader([header.lstrip("\ufeff")]), [])
-        if not set(types) <= set(names) or len(set(names)) < len(names):
-            return F.lit(None).cast(MINIMAL_SCHEMA)
-        schema = T.StructType()
-        for n in names:
-            schema.add(n, types.get(n, T.StringType()))
-        parsed = F.from_csv("line", schema.toDDL(), {"escape": '"'})
-        return F.struct(*(parsed[n].alias(n) for n in types))
-
-    parsed = F.lit(None).cast(MINIMAL_SCHEMA)
-    fits = F.lit(False)
-    for header in known:
-        found = F.col("header") == header
-        own = record(header)
-        parsed = F.when(found, own).otherwise(parsed)
-        names = next(csv.reader([header.lstrip("\ufeff")]), [])
-        fits = F.when(found, F.lit(set(types) <= set(names))).otherwise(fits)
-    rows = lines.join(headers, "artifact_id").where("id <> first_id and line <> ''")
-    rows = rows.select("artifact_id", fits.alias("has_header"), parsed.alias("r"))
+    filled = F.col("line") != ""
+    files = lines.groupBy("artifact_id").agg(
+        F.min(F.when(F.col("start") == 0, F.col("id"))).alias("first_id"),
+        F.count_if(filled).alias("n_filled"),
+    )
+    files = written(files, "files")
+    heads = meet(lines.select("artifact_id", "id", "line"), files, ["artifact_id"], max_files)
+    heads = heads.where("id = first_id").select(
+        "artifact_id",
+        "first_id",
+        (F.col("n_filled") - F.when(filled, 1).otherwise(0)).alias("n_records"),
+        F.regexp_replace("line", "^\ufeff", "").alias("header"),
+    )
+    heads = written(heads, "heads")
+    required = MINIMAL_SCHEMA.fieldNames()
+    names = F.col("names")
+    layouts = heads.select("header").distinct().select(
+        "header", F.inline(F.array(F.struct(header_names(F.col("header")).alias("names"))))
+    )
+    at = F.array(*(F.array_position(names, n).cast("int") - 1 for n in required))
+    layouts = layouts.select(
+        "header", at.alias("at"), (F.size(F.array_distinct(names)) == F.size(names)).alias("single")
+    )
+    layouts = layouts.withColumn("has_header", F.array_min("at") >= 0)
+    layouts = written(layouts.withColumn("readable", F.col("has_header") & F.col("single")), "layouts")
+    known = heads.join(layouts, "header").select(
+        "artifact_id", "first_id", "n_records", "has_header", F.when(F.col("readable"), F.col("at")).alias("at")
+    )
+    known = written(known, "known")
+    last = layouts.where("readable").agg(F.max(F.array_max("at"))).first()[0]
+    wide = ", ".join(f"c{i} string" for i in range((last or 0) + 1))
+    rows = meet(lines, known, ["artifact_id"], max_files)
+    rows = rows.where((F.col("id") != F.col("first_id")) & filled)
+    split = F.from_csv("line", wide, {"escape": '"'})
+    cells = rows.select("artifact_id", "has_header", "at", F.inline(F.array(split)))
+    record = F.array(*(F.col(f"c{i}") for i in range((last or 0) + 1)))
+    found = {f.name: F.get(record, F.get("at", F.lit(i))) for i, f in enumerate(MINIMAL_SCHEMA.fields)}
+    typed = [
+        (_whole(found[f.name]) if f.dataType == T.LongType() else found[f.name]).alias(f.name)
+        for f in MINIMAL_SCHEMA.fields
+    ]
     # Files without a record still are artifacts.
-    files = headers.select("artifact_id").union(empty_files(spark, paths))
-    found = rows.groupBy("artifact_id").agg(F.count("*").alias("n"))
-    none = files.join(found, "artifact_id", "left_anti").select(
-        "artifact_id", F.lit(False).alias("has_header"), F.lit(None).cast(MINIMAL_SCHEMA).alias("r")
+    bare = known.where("n_records = 0").select("artifact_id")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in MINIMAL_SCHEMA.fields]
+    none = bare.union(empty_files(spark, paths)).select(
+        "artifact_id", F.lit(False).alias("has_header"), *nothing
     )
-    return rows.unionByName(none).select("artifact_id", "has_header", "r.*")
+    return cells.select("artifact_id", "has_header", *typed).unionByName(none)
 
 
 def empty_files(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import written
 from .logs import empty_files
 
 
@@ -18,57 +19,68 @@ def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return texts.union(empty_files(spark, path).select("artifact_id", F.lit("").alias("text")))
 
 
-def _splits(spark: SparkSession, path: str | list[str]) -> int:
-    """An upper bound of the file splits, from the files' lengths."""
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes").lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    digits = size.rstrip("b").rstrip("kmg")
-    most = int(digits) * units.get(size.rstrip("b")[-1], 1)
-    # Small tables are cut finer, down to what opening a file is reckoned at.
-    files = spark.read.format("binaryFile").load(path)
-    cost = min(most, 4 << 20)
-    found = files.agg(F.sum(F.ceil(F.col("length") / cost) + 1)).first()[0]
-    return int(found or 0)
+#: File splits whose offsets are broadcast, of about 100 bytes each: at 128 MB to a split 320 TB.
+MAX_SPLITS = 2_500_000
+#: A file under 128 bits of digest of its name: two numbers, cheap to take for every line.
+FILE = ["file_a", "file_b"]
+#: Bytes of a file whose splits are summed in one window.
+BLOCK_BYTES = 1 << 40
 
 
-#: File splits whose offsets may be broadcast, of about 200 bytes each.
-MAX_SPLITS = 500_000
+def _offsets(splits: DataFrame, block_bytes: int) -> DataFrame:
+    """``FILE, split_start, first_id, n`` -> the lines before each split as ``offset``, for ``n``.
 
+    A prefix sum in two levels: inside a block of a file, and over the totals of its blocks.
+    """
+    block = F.expr(f"split_start DIV {int(block_bytes)}L")
+    placed = splits.withColumn("block", block)
+    rows = Window.unboundedPreceding, -1
+    inside = Window.partitionBy(*FILE, "block").orderBy("split_start").rowsBetween(*rows)
+    over = Window.partitionBy(*FILE).orderBy("block").rowsBetween(*rows)
+    none = F.lit(0).cast("long")
+    blocks = placed.groupBy(*FILE, "block").agg(F.sum("n").alias("n"))
+    before = blocks.select(*FILE, "block", F.coalesce(F.sum("n").over(over), none).alias("before"))
+    summed = placed.withColumn("inside", F.coalesce(F.sum("n").over(inside), none))
+    return summed.join(before, [*FILE, "block"]).select(
+        *FILE, "split_start", "first_id", (F.col("before") + F.col("inside")).alias("offset")
+    )
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+
+def read_lines(
+    spark: SparkSession,
+    path: str | list[str],
+    max_splits: int = MAX_SPLITS,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """``artifact_id, line_no, line`` with gap-free line numbers from 0, from splittable files.
 
     Lines are numbered inside their file split as they are read. How many lines precede a split is
-    a running sum over the table of splits, which is broadcast: its size follows from the files'
-    lengths and is checked, so no text is shuffled or sorted. An empty file is one empty line.
+    a prefix sum over the table of splits, which is written once and then met by digest of the file
+    name and split: broadcast up to ``max_splits`` rows, so that no text is shuffled or sorted, and
+    joined by shuffling beyond. An empty file is one empty line.
+
+    Both reads of the files must cut them alike: keep ``spark.sql.files.maxPartitionBytes`` until the
+    lines are used. A line whose split isn't in the table raises an error.
     """
-    if _splits(spark, path) > MAX_SPLITS:
-        raise ValueError(f"more than {MAX_SPLITS} file splits; raise spark.sql.files.maxPartitionBytes")
+    file = F.col("_metadata.file_path")
     read = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("artifact_id"),
+        file.alias("artifact_id"),
+        F.xxhash64(file).alias(FILE[0]),
+        F.xxhash64(file, F.lit(1)).alias(FILE[1]),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.col("value").alias("line"),
         F.monotonically_increasing_id().alias("id"),
     )
-    splits = read.groupBy("artifact_id", "split_start").agg(
+    splits = read.groupBy(*FILE, "split_start").agg(
         F.min("id").alias("first_id"), F.count("*").alias("n")
     )
-    before = (
-        Window.partitionBy("artifact_id")
-        .orderBy("split_start")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = splits.select(
-        "artifact_id",
-        "split_start",
-        "first_id",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
-    )
-    numbered = read.join(F.broadcast(offsets), ["artifact_id", "split_start"])
+    offsets = written(_offsets(written(splits, "splits"), block_bytes), "offsets")
+    if offsets.count() <= max_splits:
+        offsets = F.broadcast(offsets)
+    numbered = read.join(offsets, [*FILE, "split_start"], "left")
+    at = F.coalesce("offset", F.raise_error(F.lit("the files were cut differently when counted")).cast("long"))
     lines = numbered.select(
-        "artifact_id",
-        (F.col("offset") + F.col("id") - F.col("first_id")).alias("line_no"),
-        "line",
+        "artifact_id", (at + F.col("id") - F.col("first_id")).alias("line_no"), "line"
     )
     empty = empty_files(spark, path)
     return lines.union(empty.select("artifact_id", F.lit(0).cast("long"), F.lit("")))

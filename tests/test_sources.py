@@ -72,6 +72,53 @@ def test_empty_texts_stay_artifacts(spark, tmp_path):
         assert got == {"a.txt": "malicious", "b.txt": "undetermined"}
 
 
+def test_any_number_of_headers(spark, tmp_path):
+    """Every file has a header of its own."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    want, no_family = {}, set()
+    for i in range(5000):
+        names = [f"x{i}", "Content", 'odd "name", ' + str(i), "LineId", "EventId", "EventTemplate"]
+        names = names[i % 6 :] + names[: i % 6]
+        if i % 100 == 7:
+            names.remove("EventId")
+            no_family.add(f"{i}.csv")
+        if i % 100 == 8:
+            names.append("Content")
+        cells = [f'"{n}, ""{i}"""' if n == "Content" else str(i) for n in names]
+        quoted = ['"' + n.replace('"', '""') + '"' if '"' in n else n for n in names]
+        bom = "\ufeff" if i % 50 == 0 else ""
+        (folder / f"{i}.csv").write_text(bom + ",".join(quoted) + "\n" + ",".join(cells) + "\n")
+        want[i] = f'Content, "{i}"'
+    rows = logs.read_logs(spark, str(folder / "*.csv")).collect()
+    assert len(rows) == 5000
+    read = {r.LineId: r for r in rows if r.LineId is not None}
+    assert len(read) == 4900 and all(r.Content == want[i] and r.EventId == str(i) for i, r in read.items())
+    assert {r.artifact_id.rsplit("/", 1)[1] for r in rows if not r.has_header} == no_family
+
+
+def test_files_met_by_shuffling_give_the_same(spark, tmp_path):
+    row = '7,"Failed password for ""x"", from 1.2.3.4",E1,t'
+    (tmp_path / "a.csv").write_text("LineId,Content,EventId,EventTemplate\n" + row + "\n+8,,\"\",t,more\nx,y\n")
+    (tmp_path / "b.csv").write_text('EventId,Content,LineId,"EventTemplate"\n\nE1,"open quote,7\n')
+    (tmp_path / "c.csv").write_text("")
+    path = str(tmp_path / "*.csv")
+    few = sorted(logs.read_logs(spark, path, max_files=0).collect(), key=repr)
+    assert few == sorted(logs.read_logs(spark, path).collect(), key=repr)
+    a = [tuple(r)[2:] for r in few if r.artifact_id.endswith("a.csv")]
+    assert sorted(a, key=repr) == sorted(
+        [(7, 'Failed password for "x", from 1.2.3.4', "E1", "t"), (8, None, None, "t"), (None, "y", None, None)], key=repr
+    )
+    assert {r.has_header for r in few if r.artifact_id.endswith("c.csv")} == {False}
+
+
+def test_header_names(spark):
+    headers = ["a,b", ",a,,", '"a,""b""",c', '"x"y,z', "", 'a,"']
+    df = spark.createDataFrame([(h,) for h in headers], "h string")
+    got = [r.n for r in df.select(logs.header_names(F.col("h")).alias("n")).collect()]
+    assert got == [["a", "b"], ["", "a", "", ""], ['a,"b"', "c"], ['"x"y', "z"], [""], ["a", '"']]
+
+
 def test_numbering_shuffles_no_text(spark, tmp_path):
     with open(tmp_path / "big.txt", "w") as f:
         for i in range(400_000):
@@ -112,11 +159,23 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
     (tmp_path / "small.txt").write_text("one\n\nthree")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
     try:
-        read = tool_text.read_lines(spark, str(tmp_path / "*.txt"))
         assert spark.read.text(str(tmp_path / "big.txt")).rdd.getNumPartitions() > 4
-        rows = read.collect()
+        ways = [{}, {"block_bytes": 1 << 14}, {"block_bytes": 50_000}, {"max_splits": 0, "block_bytes": 1}]
+        reads = [tool_text.read_lines(spark, str(tmp_path / "*.txt"), **w) for w in ways]
+        rows, *others = [r.collect() for r in reads]
+        assert all(sorted(o) == sorted(rows) for o in others)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(Exception, match="cut differently"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        try:
+            reads[0].collect()
+            tool_text.read_lines(spark, str(tmp_path / "*.txt")).count()
+            late = tool_text.read_lines(spark, str(tmp_path / "*.txt"))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+            late.selectExpr("max(line_no)").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
     big = sorted((r.line_no, r.line) for r in rows if r.artifact_id.endswith("big.txt"))
     assert big == list(enumerate(lines))
     small = sorted((r.line_no, r.line) for r in rows if r.artifact_id.endswith("small.txt"))
