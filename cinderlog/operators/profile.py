@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EXAMPLES = 4
 CUT = 90
-HEAD_ROWS = 4096
+#: Bytes of values a task holds before it cuts them down to the smallest ones again.
+HELD_BYTES = 16 << 20
 
 
 def profile(
@@ -19,26 +26,18 @@ def profile(
     than 90 characters are cut and marked with ``...`` after the choice. With ``keys`` the profile
     is per artifact.
 
-    A wide, high-cardinality table would shuffle nearly all its values to find four of them.
-    Instead the head of the table gives, per column, a value that at least ``k`` distinct values
-    do not exceed. Larger values cannot be examples and are dropped in the scan; the rest is exact
-    distinct plus a window whose row limit applies before the shuffle.
+    A task sends on at most ``k`` values per column (and key it holds), whatever the number of rows
+    or of distinct values: see `_smallest`. Choosing among those is exact.
     """
     keys = keys or []
     columns = [c for c in df.columns if c not in keys]
-    bounds = {} if keys else _upper_bounds(df, columns, k)
-
-    def entry(position: int, column: str):
-        value = F.col(column).cast("string")
-        wanted = value.isNotNull()
-        if position in bounds:
-            wanted = wanted & (value <= F.lit(bounds[position]))
-        return F.when(
-            wanted, F.struct(F.lit(position).alias("position"), value.alias("value"))
-        )
-
-    entries = F.array(*[entry(i, c) for i, c in enumerate(columns, 1)])
-    values = df.select(*keys, F.inline(F.array_compact(entries)))
+    plain = [f"k{i}" for i in range(len(keys))]
+    texts = [F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns, 1)]
+    rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keys, plain, strict=True)), *texts)
+    form = T.StructType([T.StructField(n, df.schema[c].dataType) for c, n in zip(keys, plain, strict=True)])
+    form = form.add("position", T.IntegerType()).add("value", T.StringType())
+    values = rows.mapInArrow(_smallest(k, len(keys)), form)
+    values = values.withColumnsRenamed(dict(zip(plain, keys, strict=True)))
     distinct = values.dropDuplicates([*keys, "position", "value"])
     order = Window.partitionBy(*keys, "position").orderBy("value")
     smallest = distinct.withColumn("n", F.row_number().over(order)).where(
@@ -69,25 +68,76 @@ def profile(
     else:
         frame = df.sparkSession.range(1).select(listed)
     none = F.array().cast("array<string>")
-    return frame.join(examples, [*keys, "position"], "left").select(
+    theirs = examples.toDF(*(f"_{c}" for c in [*keys, "position"]), "e")
+    same = F.lit(True)
+    for c in [*keys, "position"]:  # a null key is a key
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"`_{c}`"))
+    return frame.join(theirs, same, "left").select(
         *keys, "column_name", "column_type", F.coalesce("e.s", none).alias("examples")
     )
 
 
-def _upper_bounds(df: DataFrame, columns: list[str], k: int) -> dict[int, str]:
-    """Per column the k-th smallest distinct value of the head, if the head holds that many.
+def _smallest(k: int, n_keys: int):
+    """Key columns and text columns -> keys, position and value: the ``k`` smallest of a task.
 
-    The answer is one row of at most one value per column.
+    Spark's aggregates keep no bounded set of texts: a distinct before the shuffle passes on every
+    value of a column of unique ones, and a rank limit every row of a column of equal ones. Arrow
+    finds the distinct values of a batch and drops those above the k-th smallest found so far.
     """
-    head = df.limit(HEAD_ROWS).agg(
-        *[
-            F.get(
-                F.array_sort(F.collect_set(F.col(c).cast("string"))), F.lit(k - 1)
-            ).alias(f"b{i}")
-            for i, c in enumerate(columns, 1)
-        ]
-    )
-    row = head.first()
-    return {
-        i: row[f"b{i}"] for i in range(1, len(columns) + 1) if row[f"b{i}"] is not None
-    }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bounds = None, {}
+        for batch in batches:
+            found = [entries(batch, p, bounds) for p in range(n_keys, batch.num_columns)]
+            held = pa.concat_tables([t for t in (held, *found) if t is not None])
+            if held.nbytes > HELD_BYTES or not n_keys:
+                held = cut(held)
+                if not n_keys:
+                    bounds.update(highest(held))
+                elif held.nbytes > HELD_BYTES // 2:  # very many keys
+                    yield from held.to_batches()
+                    held = None
+        if held is not None:
+            yield from cut(held).to_batches()
+
+    def entries(batch: pa.RecordBatch, at: int, bounds: dict) -> pa.Table:
+        position, values = at - n_keys + 1, batch.column(at)
+        if not n_keys:
+            values = values.unique()
+            if position in bounds:
+                values = values.filter(pc.less_equal(values, bounds[position]))
+        names = [f"k{i}" for i in range(n_keys)]
+        columns = [batch.column(i) for i in range(n_keys)]
+        where = pa.array(np.full(len(values), position, np.int32))
+        table = pa.table([*columns, where, values], names=[*names, "position", "value"])
+        table = table.filter(pc.is_valid(table["value"]))
+        return table.group_by(table.column_names).aggregate([])
+
+    def cut(table: pa.Table) -> pa.Table:
+        """The k smallest distinct values of each position and key."""
+        names = table.column_names
+        if not len(table):
+            return table
+        rows = table.group_by(names).aggregate([]).select(names)
+        rows = rows.sort_by([(n, "ascending") for n in names]).combine_chunks()
+        first = np.zeros(len(rows), bool)
+        first[0] = True
+        for n in names[:-1]:
+            code = rows[n].combine_chunks().dictionary_encode(null_encoding="encode")
+            code = code.chunk(0) if isinstance(code, pa.ChunkedArray) else code
+            code = code.indices.to_numpy()
+            first[1:] |= code[1:] != code[:-1]
+        place = np.arange(len(rows))
+        rank = place - np.maximum.accumulate(np.where(first, place, 0))
+        return rows.filter(pa.array(rank < k))
+
+    def highest(table: pa.Table) -> dict:
+        """The k-th smallest value of each position that has as many."""
+        found = table.group_by("position").aggregate([("value", "max"), ("value", "count")])
+        return {
+            p: m
+            for p, m, n in zip(*(found[c].to_pylist() for c in ("position", "value_max", "value_count")), strict=True)
+            if n >= k
+        }
+
+    return run

@@ -33,10 +33,13 @@ def row_key(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+def _answers(key: Column) -> Column:
+    return F.col("err").isNull() & key.isNotNull() & ~key.isin("null", "[[]]")
+
+
 def usable() -> Column:
     """No error, and a result: 0, [] and '' are answers, null and [[]] are not."""
-    key = result_key(F.col("result_json"))
-    return F.col("err").isNull() & key.isNotNull() & ~key.isin("null", "[[]]")
+    return _answers(result_key(F.col("result_json")))
 
 
 def majority(candidates: DataFrame) -> DataFrame:
@@ -44,41 +47,71 @@ def majority(candidates: DataFrame) -> DataFrame:
 
     The most frequent result wins, ties go to the one seen first; ``sql`` is the earliest query
     with that result. A question whose candidates all failed keeps a row with the first error.
+
+    Candidates are counted by result, then by count, then by question, with numbers only in the
+    buffers, so every step is a hash aggregation with map-side combine. That settles the position of
+    the winner, or of the first error; its texts come from a join on question and position, which
+    spreads the candidates of one question. Of candidates at one position the one with the smallest
+    texts counts.
     """
-    keyed = candidates.select(
+    ok = F.col("key").isNotNull()
+    # The generator keeps the parsed result from being spelled out, and parsed, at every use.
+    parsed = candidates.select(
         "question_id",
         "pos",
-        "sql",
         "err",
-        F.when(usable(), result_key(F.col("result_json"))).alias("key"),
+        F.inline(F.array(F.struct(result_key(F.col("result_json")).alias("parsed")))),
+    )
+    keyed = parsed.select(
+        "question_id",
+        "pos",
+        F.when(_answers(F.col("parsed")), F.col("parsed")).alias("key"),
+        F.col("err").isNotNull().alias("failed"),
     )
-    ok = F.col("key").isNotNull()
     per_key = keyed.groupBy("question_id", "key").agg(
         F.count("*").alias("n"),
         F.min("pos").alias("pos"),
-        F.min_by("sql", "pos").alias("sql"),
-        F.min_by("err", F.when(F.col("err").isNotNull(), F.col("pos"))).alias("err"),
-    )
-    # Most votes first, then the earliest; failures (NULL key) never win.
-    rank = F.when(ok, F.struct((-F.col("n")).alias("n"), "pos"))
-    best = per_key.groupBy("question_id").agg(
-        F.min_by("key", rank).alias("result"),
-        F.min_by("sql", rank).alias("sql"),
-        F.coalesce(F.max(F.when(ok, F.col("n"))), F.lit(0)).alias("votes"),
+        F.min(F.when(F.col("failed"), F.col("pos"))).alias("err_pos"),
+    )
+    # Of results with one count the earliest stands for them; failures (NULL key) never win.
+    per_count = per_key.groupBy("question_id", F.when(ok, F.col("n")).alias("votes")).agg(
+        F.sum("n").alias("n"), F.min("pos").alias("pos"), F.min("err_pos").alias("err_pos")
+    )
+    per_question = per_count.groupBy("question_id").agg(
+        F.max("votes").alias("votes"),
+        F.max_by("pos", "votes").alias("won_pos"),
         F.sum("n").alias("n_candidates"),
-        F.min_by("err", F.when(~ok, F.lit(0))).alias("err"),
+        F.min(F.when(F.col("votes").isNull(), F.col("err_pos"))).alias("err_pos"),
+    )
+    won = F.col("votes").isNotNull()
+    chosen = per_question.select(
+        F.col("question_id").alias("_question"),
+        F.when(won, F.col("won_pos")).otherwise(F.col("err_pos")).alias("_pos"),
+        won.alias("ok"),
+        F.coalesce("votes", F.lit(0)).alias("votes"),
+        "n_candidates",
+    )
+    texts = candidates.select("question_id", "pos", "sql", "result_json", "err")
+    same = F.col("question_id").eqNullSafe(F.col("_question")) & F.col("pos").eqNullSafe(F.col("_pos"))
+    # A position of the winner may hold failures beside it, and the other way round. The results are
+    # read again for the chosen rows only.
+    key = F.when(usable(), result_key(F.col("result_json")))
+    fits = F.when(F.col("ok"), key.isNotNull()).otherwise(F.col("err").isNotNull())
+    found = (
+        chosen.join(texts, same, "left")
+        .groupBy("_question", "ok", "votes", "n_candidates")
+        .agg(F.min(F.when(fits, F.struct(key.alias("key"), "sql", "err"))).alias("text"))
     )
-    won = F.col("result").isNotNull()
     label = F.concat(
         F.col("votes").cast("string"), F.lit("/"), F.col("n_candidates").cast("string")
     )
-    return best.select(
-        "question_id",
-        "result",
-        "sql",
+    return found.select(
+        F.col("_question").alias("question_id"),
+        F.when(F.col("ok"), F.col("text.key")).alias("result"),
+        F.when(F.col("ok"), F.col("text.sql")).alias("sql"),
         label.alias("votes"),
-        won.alias("ok"),
-        F.when(~won, F.coalesce("err", F.lit(NOTHING_RAN))).alias("error"),
+        "ok",
+        F.when(~F.col("ok"), F.coalesce("text.err", F.lit(NOTHING_RAN))).alias("error"),
     )
 
 
@@ -86,20 +119,27 @@ def unanimous(votes: DataFrame) -> DataFrame:
     """Agreed plan per question from ``question_id, pos, plan, reason``.
 
     ``plan`` is the normalised plan as text, ``reason`` why a vote is invalid (NULL if valid).
-    At least two votes must be valid and equal. Equality is min = max, so no DISTINCT is needed.
+    At least two votes must be valid and equal. Votes are first counted by plan and reason, with
+    numbers in the buffers, so a question's votes are one row per distinct text before any text is
+    compared. The reason given is that of the first invalid vote.
     """
-    bad = F.col("reason").isNotNull() | F.col("plan").isNull()
-    counted = votes.groupBy("question_id").agg(
-        F.count("*").alias("n"),
+    told = F.when(
+        F.col("reason").isNotNull() | F.col("plan").isNull(), F.coalesce("reason", F.lit("no plan"))
+    )
+    per_text = votes.groupBy("question_id", "plan", told.alias("why")).agg(
+        F.count("*").alias("n"), F.min("pos").alias("pos")
+    )
+    bad = F.col("why").isNotNull()
+    counted = per_text.groupBy("question_id").agg(
+        F.sum("n").alias("n"),
         F.min("plan").alias("low"),
         F.max("plan").alias("high"),
         F.bool_or(bad).alias("any_bad"),
-        F.min_by(
-            F.coalesce("reason", F.lit("no plan")), F.when(bad, F.col("pos"))
-        ).alias("why"),
+        F.min(F.when(bad, F.struct("pos", "why"))).alias("first"),
     )
+    why = F.col("first.why")
     reason = (
-        F.when(F.col("any_bad"), F.concat(F.lit("invalid plan: "), F.col("why")))
+        F.when(F.col("any_bad"), F.concat(F.lit("invalid plan: "), why))
         .when(F.col("n") < MIN_VOTES, F.lit(f"fewer than {MIN_VOTES} votes"))
         .when(F.col("low") != F.col("high"), F.lit(DISAGREED))
     )

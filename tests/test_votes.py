@@ -78,3 +78,34 @@ def test_cross_check(spark):
         2: ("NOT CHECKED", None, False),
         3: ("NOT CHECKED", None, False),
     }
+
+
+def test_repeated_positions_nulls_and_large_positions(spark):
+    rows = [
+        (1, 10**12, "b", "2", None), (1, 10**12, "a", "2", None), (1, 5, "z", "1", "failed"),
+        (1, 6, "y", "1", None), (1, 7, "x", "3", None), (1, 7, "w", None, "bad"),
+        (None, 0, "a", "1", None), (None, None, "b", "1", None),
+        (2, None, "a", "9", None), (2, None, "b", None, "boom"),
+        (3, None, "a", None, "first"), (3, None, "b", None, "also"),
+    ]
+    got = {r.question_id: r for r in V.majority(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == 4
+    assert (got[1].result, got[1].sql, got[1].votes) == ("2", "a", "2/6")
+    assert (got[None].result, got[None].sql, got[None].votes) == ("1", "a", "2/2")
+    assert (got[2].result, got[2].sql, got[2].votes) == ("9", "a", "1/2")
+    assert (got[3].ok, got[3].error) == (False, "first")
+
+
+def test_raw_rows_are_never_sorted_to_be_counted(spark):
+    """Below the first exchange of every aggregation over the votes there are hash aggregates only."""
+
+    def below_exchange(plan):
+        lines = [x.strip(" :+-*") for x in plan.split("\n")]
+        last = max(i for i, x in enumerate(lines) if x.startswith("Exchange hashpartitioning"))
+        return " ".join(lines[last:])
+
+    rows = [(i % 5, i, f"s{i}", str(i % 3), None) for i in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "result_json AS plan", "err AS reason")
+    for found in (V.majority(df), V.unanimous(df)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "partial_count" in below_exchange(plan) and "SortAggregate" not in below_exchange(plan)
