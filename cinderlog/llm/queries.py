@@ -213,10 +213,12 @@ _QUALITY = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, [x FOR x IN regexp_split_to_array(text, '[ \\t-\\r]+') IF x <> ''] AS w,
              string_split(text, chr(10)) AS lines FROM d),
-g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
-k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g),
+z AS (SELECT doc_id, unnest(w[1:len(w) - 2]) AS a, unnest(w[2:len(w) - 1]) AS b, unnest(w[3:len(w)]) AS c,
+             unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3),
+k AS (SELECT doc_id, list(i) AS places FROM z GROUP BY doc_id, a, b, c HAVING count(*) > 1),
+p AS (SELECT doc_id, unnest(places) AS i FROM k),
 r AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words
-      FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM k WHERE n > 1) GROUP BY doc_id),
+      FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM p) GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(lines) AS line FROM w),
 f AS (SELECT doc_id, line, lower(line) AS low FROM l WHERE regexp_matches(line, '[^ \\t-\\r]')),
 b AS (SELECT doc_id, line, NOT regexp_matches(line, {_quoted(quality.SENTENCE)})
