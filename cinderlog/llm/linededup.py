@@ -159,9 +159,12 @@ def drop_lines(
         "left",
     ).drop("l_h2", "l_size2")
     lines = F.split(t, "\n")
-    left = F.filter(lines, lambda x, i: ~F.array_contains("l_drop", i))
+    numbers = F.sequence(F.lit(0), F.size("l_lines") - 1)
+    left = F.transform(F.array_except(numbers, "l_drop"), lambda i: F.get("l_lines", i))
+    out = held(out, l_lines=F.when(F.col("l_drop").isNotNull(), lines))
     out = out.withColumn(
-        "l_n_lines", F.when(t.isNull(), 0).otherwise(F.size(lines)).cast("long")
+        "l_n_lines",
+        F.when(t.isNull(), 0).otherwise(F.coalesce(F.nullif(F.size("l_lines"), F.lit(-1)), F.size(lines))).cast("long"),
     ).withColumn(text, F.when(F.col("l_drop").isNull(), t).otherwise(F.array_join(left, "\n")))
     made = ["l_n_lines", "l_drop"]
     old = [(n, c) for n, c in zip(plain.columns, df.columns, strict=True) if c not in made]

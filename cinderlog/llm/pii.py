@@ -2,7 +2,8 @@
 
 1. Entities are detected: e-mail addresses, phone, card and social security numbers, IP addresses,
    IBANs, secrets (long hexadecimal strings, values assigned to key, token, secret, password), and
-   names after a title in five languages, with later mentions of the same words in that document.
+   names after a title in five languages, of any number of words and with particles between them, with
+   later mentions of the same words in that document.
 2. Every distinct entity (type and canonical value, so "(1) 2" and "1-2" are one) draws a surrogate
    from an HMAC of a secret key, its type, its value and an attempt number.
 3. Collisions are checked over the whole table: of entities that drew the same surrogate one keeps
@@ -13,7 +14,7 @@
 4. Surrogates are written into the mentions in their format: separators, case, country codes,
    validity of card and IBAN check digits, script and, for given names, gender (from the title).
 
-Texts without a digit, an @ or a title are passed by without any shuffle. Defined results: null
+Texts that can hold no entity (see ``WORTH``) are passed by without any shuffle. Defined results: null
 texts stay null, empty ones empty. Repeated rows get equal results. Rows with a null doc_id are
 treated like others. Extra columns pass through; one that has the name of a result is replaced.
 """
@@ -43,19 +44,25 @@ TITLES = {
 }
 GENDER = {t: g for g, names in TITLES.items() for t in names.split()}
 _TITLE = "|".join(sorted(map(re.escape, GENDER), key=len, reverse=True))
-#: What a text must hold to be looked at, in Java's spelling: a digit, an @, a capitalised word with
-#: a title's first letter before another one, a word for a secret and what assigns it, or two hexadecimal
-#: groups. Whatever `detect` finds holds one of them.
+#: Small words inside names, which stay as they are.
+PARTICLES = frozenset(
+    "af al av bin da dal de del della den der des di do dos du e el i ibn la las le los op ten ter "
+    "'t thoe und v van vom von y zu zum zur".split()
+)
+#: What a text must hold to be looked at, in Java's spelling: a digit, an @, a title before another
+#: word, a word for a secret and what assigns it, or two hexadecimal groups. Whatever `detect` finds
+#: holds one of them.
 WORTH = (
-    r"[\p{N}@]|[DFHMPS]\p{L}{0,8}(?:\.ra)?\.? \p{Lu}"
+    rf"[\p{{N}}@]|(?:{_TITLE.replace(chr(92) + '.', '[.]')})\.?[\s\x1c-\x1f\x{{85}}\p{{Z}}]+['\p{{L}}]"
     r"|(?iu:key|token|secret|password|passwd)[\s\x1c-\x1f\x{85}\p{Z}]*[=:]"
     r"|[0-9a-fA-F]:{1,2}[0-9a-fA-F]{1,4}:|[0-9a-fA-F]{4}::|::[0-9a-fA-F]{3}"
 )
 
-_WORD = r"[^\W\d_][\w'’-]*"
-_NAME = re.compile(rf"\b({_TITLE})\.? ({_WORD}(?: {_WORD}){{0,2}})")
+#: A word behind a title or another word of a name, on the same line.
+_TITLED = re.compile(rf"\b({_TITLE})\.?(?=\s)")
+_NEXT = re.compile(r"[^\S\r\n]+('?[^\W\d_][\w'’-]*)")
 _DOMAIN = re.compile(r"@[\w-]+(?:\.[\w-]+)+")
-_LOCAL = re.compile(r"[\w.%+-]+$")
+_LOCAL = re.compile(r"[\w.%+-]")
 _SECRET = re.compile(
     r"(?i)\b(?:api[_-]?key|access[_-]?key|key|token|secret|password|passwd)\s*[=:]\s*[\"']?([^\s\"']{8,})"
 )
@@ -98,13 +105,37 @@ def _is_address(raw: str) -> bool:
         return False
 
 
+def _words_of_name(text: str, at: int, gender: str) -> list[tuple[int, int, str]]:
+    """Begin, end and kind of the capitalised words of the name that starts at a place.
+
+    A name runs over capitalised words, of any number, and particles between or before them. The last
+    word and all behind a particle are surnames, the others given names.
+    """
+    words, particle, pending = [], False, False
+    while m := _NEXT.match(text, at):
+        word, at = m[1], m.end()
+        if word[0].isupper():
+            particle, pending = particle or pending, False
+            words.append((*m.span(1), particle))
+        elif word in PARTICLES:
+            pending = True
+        else:
+            break
+    return [
+        (a, b, "surname" if behind or i == len(words) - 1 else f"given-{gender}")
+        for i, (a, b, behind) in enumerate(words)
+    ]
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Begin, end, type and canonical value of each entity, in order, none overlapping."""
     found = []
     for m in _DOMAIN.finditer(text):
-        local = _LOCAL.search(text, max(0, m.start() - 64), m.start())
-        if local:
-            found.append((local.start(), m.end(), "email"))
+        start = m.start()
+        while start and _LOCAL.match(text, start - 1):
+            start -= 1
+        if start < m.start():
+            found.append((start, m.end(), "email"))
     found += [(*m.span(1), "secret") for m in _SECRET.finditer(text)]
     for m in _NUMBERS.finditer(text):
         kind = m.lastgroup.rstrip("2")
@@ -114,18 +145,10 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             continue
         found.append((*m.span(), {"hex": "secret", "ip6": "ip6"}.get(kind, kind)))
     names: dict[str, str] = {}
-    for m in _NAME.finditer(text):
-        words, at = m[2].split(" "), m.start(2)
-        kept = []
-        for w in words:
-            if not w[0].isupper():
-                break
-            kept.append((at, at + len(w), w))
-            at += len(w) + 1
-        for i, (a, b, w) in enumerate(kept):
-            kind = "surname" if i == len(kept) - 1 else "given-" + GENDER[m[1]]
+    for m in _TITLED.finditer(text):
+        for a, b, kind in _words_of_name(text, m.end(), GENDER[m[1]]):
             found.append((a, b, kind))
-            names.setdefault(w, kind)
+            names.setdefault(text[a:b], kind)
     for m in re.finditer(r"\w[\w'’-]*", text) if names else ():
         if m[0] in names:
             found.append((*m.span(), names[m[0]]))

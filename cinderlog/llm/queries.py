@@ -110,8 +110,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = shared.folder(spark, "warc")
-    root = root if "://" in root else f"file://{root}"
+    root = shared.qualified(spark, shared.folder(spark, "warc"))
     manifest = warc.write(_read(spark, sf_dir, "pages"), root)
     return warc.read(manifest, root, payloads=False).drop("url")
 

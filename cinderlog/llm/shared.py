@@ -26,6 +26,15 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as a URI of the file system that Spark takes it to be on."""
+    jvm = spark.sparkContext._jvm
+    whole = jvm.org.apache.hadoop.fs.Path(path)
+    fs = whole.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = fs.makeQualified(whole).toUri()
+    return f"file://{uri.getPath()}" if uri.getScheme() == "file" else uri.toString()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, computed once and read back from the shared folder.
 

@@ -41,10 +41,13 @@ def version(path: str) -> str:
 
 def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(path)
+        model, seen = _model(path), set()
         for batch in batches:
             keys, texts, size = [], [], 0
             for k, t in zip(batch[0].to_pylist(), batch[1], strict=True):
+                if k in seen:  # rows that share text and doc_id are in one task
+                    continue
+                seen.add(k)
                 keys.append(k)
                 texts.append(t.as_py())
                 size += len(texts[-1])

@@ -227,7 +227,9 @@ def write(
         "w_refers",
     )
     rows = pages.withColumn("w_refers", F.lit(None).cast("long")).union(marks)
-    rows = rows.withColumn("w_shard", shard.cast("long")).repartition(int(shards) + 1, "w_shard")
+    # A shard is a partition; rows without an id have the number -1 and the first one.
+    rows = rows.withColumn("w_shard", shard.cast("long"))
+    rows = rows.repartitionById(int(shards) + 1, (F.col("w_shard") + 1).cast("int"))
     rows = rows.sortWithinPartitions("w_shard", "w_page", "w_digest", "w_page_row", "w_url")
     manifest = rows.mapInArrow(_writer(root, roll), MANIFEST)
     fs, folder = pyarrow.fs.FileSystem.from_uri(root)

@@ -73,3 +73,27 @@ def test_values_that_coincide_or_differ_in_one_place(found):
     assert got[0, 1] == whole and got[1, 1] >= whole - 1
     # Only the place that differs is lost.
     assert got[2, 1] == whole - 1
+
+
+def test_scattered_phrases_are_no_leak(found):
+    words = SOURCE.split()
+    fill = [f"x{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    pieces = [" ".join(words[i : i + 5]) for i in (26, 14, 2)]
+    far = " ".join(x for i, p in enumerate(pieces) for x in (p, *fill[90 * i : 90 * i + 90]))
+    ordered = " ".join(x for i, p in enumerate(pieces[::-1]) for x in (p, *fill[90 * i : 90 * i + 90]))
+    # The same words with a few others between them are the item still.
+    close = " ".join(words[:10] + fill[:3] + words[10:20] + fill[3:4] + words[21:])
+    assert found([far, ordered, close, f"{' '.join(fill)} {close}"]) == {(k, 1): len(words) - 1 for k in (2, 3)}
+
+
+def test_items_of_a_few_tokens(found):
+    items = [(1, "Paris, France"), (2, "42"), (3, ""), (4, None), (5, "Who is it?")]
+    texts = ["paris france", "42", "43", "Who is it", "We saw Paris, France again.", "who is it then"]
+    assert found(texts, items) == {(0, 1): 2, (1, 2): 1, (3, 5): 3}
+
+
+def test_repeated_documents_all_go(spark, docs):
+    bench = spark.createDataFrame([(1, SOURCE)], "item_id long, text string")
+    twice = docs([SOURCE, "clean text of some other kind"]).union(docs([SOURCE]))
+    assert [r.doc_id for r in decontam.clean(twice, bench).collect()] == [1]
+    assert decontam.leaks(twice, bench).count() == 1

@@ -52,3 +52,22 @@ def test_long_lines_recur_from_two_texts_on(docs):
     texts = [f"Own {w} text\n{long}\n{short}\n{fields}" for w in ("red", "blue", "green")]
     texts.append("Other\n" + long.replace("lword", "other"))
     assert dropped(docs(texts)) == {0: [], 1: [1], 2: [1], 3: [1]}
+
+
+def test_work_is_linear_in_a_texts_lines(docs):
+    """Twice the lines take about twice as long, also if most of them go."""
+    import time
+
+    def run(n):
+        shared = "\n".join(f"this line number {'x' * (i % 50)}{'y' * (i // 50 % 50)}{'z' * (i // 2500)} stands in both texts" for i in range(n))
+        df = docs([f"{shared}\nfirst", f"{shared}\nsecond"])
+        start = time.perf_counter()
+        rows = {r.doc_id: r for r in linededup.drop_lines(df, min_docs=2).collect()}
+        took = time.perf_counter() - start
+        assert rows[0].l_n_lines == rows[1].l_n_lines == n + 1
+        assert len(rows[1].l_drop) == n and rows[1].text == "second" and rows[0].text.count("\n") == n
+        return took
+
+    run(1000)
+    small, large = run(16_000), run(64_000)
+    assert large < 4 * 2 * small + 2

@@ -55,3 +55,56 @@ def test_names_are_apart_across_kinds(spark, docs):
     assert len(set(re.findall(r"(?:Dr|Mrs) (\w+)|(\w+) left", text)) - {""}) <= 2
     first, second, third = re.search(r"Dr (\w+) .* Mrs (\w+) .* (\w+) left", text).groups()
     assert first == second == third
+
+
+@pytest.mark.parametrize(
+    "text,hidden",
+    [
+        ("Dr Anna Maria Luisa Holm left", "Anna Maria Luisa Holm"),
+        ("with Señor Juan de la Cruz today", "Juan Cruz"),
+        ("Mr van der Berg and Frau von Kleist", "Berg Kleist"),
+        ("Dr  Anna  Holm", "Anna Holm"),
+        ("Mme. Éa d'Arc, née", "Éa"),
+        ("Prof O'Neill-Smith", "O'Neill-Smith"),
+    ],
+)
+def test_whole_names_go(docs, text, hidden):
+    got = rewritten(docs([text]))[0]
+    assert not [w for w in hidden.split() if w in got.text]
+    assert got.p_entities == len(hidden.split())
+    assert re.sub(r"[^\W\d_][\w'’-]*", "w", got.text) == re.sub(r"[^\W\d_][\w'’-]*", "w", text)
+
+
+@pytest.mark.parametrize("text", ["the Dr\nThe next line", "Mr and Mrs", "Dr de la", "Miss you all", "Msc Anna"])
+def test_no_names(docs, text):
+    assert rewritten(docs([text]))[0].text == text
+
+
+def test_long_local_parts(docs):
+    local = "a.very-long+local_part" * 40
+    got = rewritten(docs([f"to <{local}@host.org> and b@{'c' * 300}.net"]))[0]
+    assert got.p_entities == 2 and "very-long" not in got.text and got.text.startswith("to <") and "b@" not in got.text
+
+
+def test_detection_equals_a_plain_reading_of_names():
+    """Titles and words read token by token."""
+    import random
+
+    rng = random.Random(2)
+    pool = ["Dr", "Mr.", "Frau", "Anna", "Holm", "de", "la", "walks", "42", ",", "\n", "van", "Élan", "x"]
+    for _ in range(400):
+        tokens = [rng.choice(pool) for _ in range(12)]
+        text = " ".join(tokens)
+        want, i = set(), 0
+        for i, t in enumerate(tokens):
+            if t.rstrip(".") not in pii.GENDER:
+                continue
+            for w in tokens[i + 1 :]:
+                if w[0].isupper():
+                    want.add(w.rstrip("."))
+                    if w.endswith("."):
+                        break
+                elif w not in pii.PARTICLES:
+                    break
+        found = {text[a:b] for a, b, k, _ in pii.detect(text) if k.startswith(("given", "surname"))}
+        assert found == want, text
