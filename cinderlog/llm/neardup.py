@@ -12,8 +12,8 @@
    never because of the choice of a centre, and no bucket is expanded into all its pairs.
 
 Defined results: null and empty texts and those without words have empty sets and are linked with
-nothing. Rows sharing a doc_id are one document. Rows with a null doc_id are not compared, have a
-null component and stay. Repeated rows get equal results. Extra columns pass through `keep`.
+nothing. Rows sharing a doc_id are one document. Rows with a null doc_id are not compared, have
+no class and stay. Repeated rows get equal results. Extra columns pass through `keep`.
 """
 
 from __future__ import annotations
@@ -116,8 +116,7 @@ def _leaf_pairs(leaves: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = ranked.where((F.col("m_r") <= least) & (F.col("m_df") > 1))
     own = ["m_node", "m_n", "m_label", "m_r", "m_d"]
     first = stored(first.select("m_centre", "m_e", *own), "prefixes")
-    other = first.withColumnsRenamed({c: f"{c}y" for c in own})
-    met = first.join(other, ["m_centre", "m_e"]).where("m_node < m_nodey and m_label <> m_labely")
+    met = _met(first, own)
     # From their first common element on, both must hold as many as the pair has to share.
     left = F.least(F.col("m_d") - F.col("m_r"), F.col("m_dy") - F.col("m_ry")) + 1
     apart = (F.col("m_n") + F.col("m_ny")) * (100 - percent)
@@ -125,6 +124,26 @@ def _leaf_pairs(leaves: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _sorted(met.where(enough & _sizes("m_n", "m_ny", percent)), "m_node", "m_nodey")
 
 
+def _met(first: DataFrame, own: list[str]) -> DataFrame:
+    """Pairs of leaves with an element in common and different labels, once per element.
+
+    Leaves of one label are linked already. An element whose leaves have one label is left out; of
+    others the leaves outside the most frequent label meet all, so near copies by the thousand that
+    share their label cost as many pairs as there are strays among them, not their square.
+    """
+    on = ["m_centre", "m_e"]
+    labels = first.groupBy(*on, "m_label").agg(F.count("*").alias("m_many"))
+    most = labels.groupBy(*on).agg(
+        F.max_by("m_label", "m_many").alias("m_top"), F.count("*").alias("m_labels")
+    )
+    mixed = first.join(most.where("m_labels > 1").drop("m_labels"), on)
+    other = mixed.where("m_label <> m_top").drop("m_top")
+    other = other.withColumnsRenamed({c: f"{c}y" for c in own})
+    return mixed.join(other, on).where(
+        "m_label <> m_labely and (m_label = m_top or m_node < m_nodey)"
+    )
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs whose sets are similar enough."""
     a = sets.withColumnsRenamed({"m_doc": "m_a", "m_set": "m_sa"})
@@ -178,7 +197,7 @@ def classes(
 ) -> DataFrame:
     """doc_id, n_shingles, class_id and component_id of each row of df with a doc_id.
 
-    Links two documents where 100 * intersection >= percent * union of their shingle sets.
+    Rows without a doc_id have no row here; `keep` keeps them. Links two documents where 100 * intersection >= percent * union of their shingle sets.
     """
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("m_doc"), F.col(f"`{text}`").alias("m_t"))
     docs = docs.where(F.col("m_doc").isNotNull())

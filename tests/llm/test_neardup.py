@@ -108,5 +108,27 @@ def test_a_hot_group(docs):
     assert {r.component_id for r in result(docs(texts), 80).values()} == {0}
 
 
+def test_strays_among_copies_cost_no_square(spark):
+    """Leaves of one label and a few others that share elements: pairs of different labels, once."""
+    rows = [(0, e, n, 500, 1, e, 60) for n in range(1000) for e in range(20)]
+    rows += [(0, e, n, 500, n, e, 60) for n in (2000, 2001, 2002) for e in range(15)]
+    rows += [(0, 99, n, 500, 1, 9, 60) for n in range(1000)]
+    own = ["m_node", "m_n", "m_label", "m_r", "m_d"]
+    first = spark.createDataFrame(rows, "m_centre long, m_e long, " + ", ".join(f"{c} long" for c in own))
+    met = neardup._met(first, own)
+    want = {(a, b, e) for e in range(15) for b in (2000, 2001, 2002) for a in [*range(1000), *range(2000, b)]}
+    got = [(min(r.m_node, r.m_nodey), max(r.m_node, r.m_nodey), r.m_e) for r in met.collect()]
+    assert len(got) == len(set(got)) == len(want) and set(got) == want
+
+
+def test_strays_find_their_leaf(docs):
+    """Near copies, and texts outside their label that share bands with them."""
+    base = prose(11, 300)
+    texts = [" ".join(changed(base, s, 0.004)) for s in range(60)] + [" ".join(base)]
+    texts += [" ".join(changed(base, 500 + s, 0.035)) for s in range(8)]
+    want, _ = components(dict(enumerate(texts)), 85)
+    assert {d: r.component_id for d, r in result(docs(texts), 85).items()} == want
+
+
 def test_words_of_the_contract():
     assert words("a\x0bb\x0cc\u00a0d\x1ce") == ["a", "b", "c\u00a0d\x1ce"]
