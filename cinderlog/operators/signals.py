@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.frames import settle
 from ..functions.sql import NO_STRINGS, every, first, has, matches, quote, when
 from ..functions.text import CI, CS, fold
 
@@ -275,15 +276,18 @@ def capability_bits() -> dict[str, str]:
     }
 
 
-def scalars(whole: bool) -> dict[str, str]:
-    """All scalar signals behind their leads; ``whole`` if a piece is a whole text."""
+def scalars(whole: bool, alone: bool = False) -> dict[str, str]:
+    """All scalar signals behind their leads.
+
+    ``whole`` if a piece is a whole text, ``alone`` if it is all its own, as a line is.
+    """
     empty = {
         **dict.fromkeys(flags(), "false"),
         **dict.fromkeys(firsts(), "''"),
         **dict.fromkeys(counts(), "0L"),
         **dict.fromkeys(capability_bits(), "0"),
     }
-    exprs = {**flags(), **firsts(whole), **counts(), **capability_bits()}
+    exprs = {**flags(), **firsts(whole or alone), **counts(), **capability_bits()}
     return {n: _guarded(n, f"({e})", whole, empty[n]) for n, e in exprs.items()}
 
 
@@ -340,32 +344,131 @@ def signal_columns(exprs: dict[str, str], prefix: str) -> list[str]:
     return [f"{e} AS {prefix}{name}" for name, e in exprs.items()]
 
 
-def merge(pieces: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Combine the scalar signals of an artifact's pieces.
-
-    Each aggregate has a map-side part, so an artifact with most of the pieces costs one small
-    row per task. 'Logon, later Type 3' is true inside one piece or across two of them.
+# ---------------------------------------------------------------- line by line
+# Signals whose pattern can run over a line's end; a line shows all others.
+CROSSING = (
+    "child_image",
+    "parent_image",
+    "hidden_powershell",
+    "encoded_blob",
+    "network_sign",
+    "vad_process",
+    "prologue",
+    "pe_header",
+    "trampoline",
+    "type2",
+    "type3",
+    "remote_logon",
+    "task_name",
+)
+CROSSING_LISTS = ("T13", "T14")
+
+PLAIN_START, MEMORY_START = 1, 2
+
+
+def starters() -> dict[int, str]:
+    """What a line must end in for a match to start in it and run on, by kind.
+
+    Each is a beginning of a pattern that reaches the line's end. Those of the second kind matter
+    only in an artifact that shows a memory region.
     """
 
-    def merged(name: str) -> str:
-        c = f"s_{name}"
-        if name in counts():
-            return f"sum({c})"
-        if name == "capability_bits":
-            return f"bit_or({c})"
-        if name in FIRST_NAMES:
-            return f"coalesce(min_by({c}, {order}) FILTER (WHERE {c} <> ''), '')"
-        if name == "remote_logon":
-            return (
-                f"bool_or({c}) OR coalesce(min({order}) FILTER (WHERE s_e4624) "
-                f"< max({order}) FILTER (WHERE s_type3), false)"
-            )
-        return f"bool_or({c})"
-
-    names = [c[2:] for c in pieces.columns if c.startswith("s_")]
-    return pieces.groupBy(*keys).agg(
-        *[F.expr(merged(n)).alias(f"s_{n}") for n in names]
+    def ends(gate: str, pattern: str) -> str:
+        return f"({gate} AND {matches('_text', pattern + chr(92) + 's*' + chr(92) + 'z')})"
+
+    address = r"\d+\.\d+\.\d+\.\d+(\s+\d{1,5}(\s+ESTABLISHED(\s+\d+)?)?)?"
+    plain = [
+        ends(_low("image"), CI + r"Image[,:]"),
+        ends(_low("-w"), CI + r"-w"),
+        ends(_low("-e"), CI + r"-e(?:nc)?"),
+        ends(has("_text", ["."]), CS + address),
+        ends(has("_text", ["Type"]), CS + "Type"),
+        ends(has("_text", ["Task"]), CS + r"Task(?:Name)?[,:]"),
+    ]
+    pushed = r"push(\s+(rbp|ebp).{0,40}(mov|mov\s+(ebp|rbp),)?)?"
+    memory = [
+        ends(_low(".exe"), CI + r"\.exe(\s+0x[0-9a-f]+){0,2}"),
+        ends(_low("push"), CI + pushed),
+        ends(_low("4d"), CI + r"\b4d"),
+        ends(_low("e9"), CI + r"\be9\b(\s+[0-9a-f]{2}){0,5}"),
+    ]
+    return {PLAIN_START: " OR ".join(plain), MEMORY_START: " OR ".join(memory)}
+
+
+FLAG_NAMES = tuple(flags())
+FIRST_NAMES = tuple(firsts())
+if len(FLAG_NAMES) > 62:
+    raise AssertionError("flags must fit a long")
+
+
+def flag_bit(name: str) -> int:
+    return 1 << FLAG_NAMES.index(name)
+
+
+def packed(prepared: DataFrame, keys: list[str], order: str, crossing: bool) -> DataFrame:
+    """A row of plain numbers and short arrays per piece or line that shows anything at all.
+
+    ``keys..., at, mask, start, n4625, n4625_text, capability_bits, firsts, lists``. ``crossing``
+    keeps only what a line cannot show; ``order`` places the row in the artifact.
+    """
+    exprs = scalars(whole=False, alone=not crossing)
+    wanted = [n for n in FLAG_NAMES if not crossing or n in CROSSING]
+    mask = " | ".join(f"IF({exprs[n]}, {flag_bit(n)}L, 0L)" for n in wanted)
+    named = [n for n in FIRST_NAMES if not crossing or n in CROSSING]
+    values = ", ".join(f"struct('{n}' AS name, {exprs[n]} AS value)" for n in named)
+    chosen = {k: v for k, v in multis().items() if not crossing or k in CROSSING_LISTS}
+    listed = ", ".join(
+        f"transform({e}, (e, i) -> struct('{k}' AS slot, i AS match_no, e AS evidence))"
+        for k, e in chosen.items()
+    )
+    numbers = [*counts(), *capability_bits()]
+    start = " | ".join(f"IF({c}, {bit}, 0)" for bit, c in starters().items())
+    rows = prepared.selectExpr(
+        *keys,
+        f"{order} AS at",
+        f"{mask} AS mask",
+        f"{'0' if crossing else start} AS start",
+        *(f"{'0' if crossing else exprs[n]} AS {n}" for n in numbers),
+        f"filter(array({values}), f -> f.value <> '') AS firsts",
+        f"concat({listed}) AS lists",
     )
+    made = ["at", "mask", "start", *numbers, "firsts", "lists"]
+    rows = settle(rows, *made)
+    shows = " OR ".join(f"{n} <> 0" for n in ["mask", "start", *numbers])
+    return rows.where(f"{shows} OR size(firsts) > 0 OR size(lists) > 0")
 
 
-FIRST_NAMES = tuple(firsts())
+def merged(rows: DataFrame, key: str) -> DataFrame:
+    """The scalar signals of each artifact from its packed rows.
+
+    Flags, counts and places are numbers in a hash aggregation. 'Logon, later Type 3' is true inside
+    one row or across two of them.
+    """
+    logon, third = flag_bit("e4624"), flag_bit("type3")
+    summed = rows.groupBy(key).agg(
+        F.bit_or("mask").alias("mask"),
+        F.sum(F.col("n4625").cast("long")).alias("s_n4625"),
+        F.sum(F.col("n4625_text").cast("long")).alias("s_n4625_text"),
+        F.bit_or("capability_bits").alias("s_capability_bits"),
+        F.min(F.when(F.col("mask").bitwiseAND(logon) != 0, F.col("at"))).alias("logon_at"),
+        F.max(F.when(F.col("mask").bitwiseAND(third) != 0, F.col("at"))).alias("third_at"),
+    )
+    earliest = (
+        rows.selectExpr(key, "at", "inline(firsts)")
+        .groupBy(key, "name")
+        .agg(F.min(F.struct("at", "value")).getField("value").alias("value"))
+        .groupBy(key)
+        .agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("firsts"))
+    )
+    theirs = earliest.select(F.col(key).alias("_key"), "firsts")
+    joined = summed.join(theirs, F.col(key).eqNullSafe(F.col("_key")), "left")
+    flag = {n: f"mask & {flag_bit(n)}L <> 0" for n in FLAG_NAMES}
+    flag["remote_logon"] += " OR coalesce(logon_at < third_at, false)"
+    return joined.selectExpr(
+        key,
+        "s_n4625",
+        "s_n4625_text",
+        "s_capability_bits",
+        *(f"({e}) AS s_{n}" for n, e in flag.items()),
+        *(f"coalesce(firsts['{n}'], '') AS s_{n}" for n in FIRST_NAMES),
+    )

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import settle
+from ..functions.frames import meet, settle, written
 from . import signals as S
 from .findings import (
     MULTI_RULES,
@@ -164,8 +164,15 @@ PIECE_AHEAD = 64
 BLANK_RUN = "\n" * 64
 
 
+#: Pieces that are broadcast to fetch their lines, of about 50 bytes each.
+MAX_PIECES = 1_000_000
+
+
 def pieces(
-    lines: DataFrame, size: int = PIECE_LINES, ahead: int = PIECE_AHEAD
+    lines: DataFrame,
+    size: int = PIECE_LINES,
+    ahead: int = PIECE_AHEAD,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """``artifact_id, line_no, line`` -> ``artifact_id, piece_no, own, text``.
 
@@ -177,7 +184,9 @@ def pieces(
 
     Which pieces see the head of which others follows from the number of lines with text in each,
     a table with a row of three numbers per piece. Texts go through one shuffle, heads through
-    another; a group is bounded by ``size`` lines and ``ahead`` heads.
+    another; a group is bounded by ``size`` lines and ``ahead`` heads. With ``only``, a table
+    ``artifact_id, piece_no``, those pieces are made, and no other text travels than that of them
+    and of the pieces whose head they see.
     """
     if size < 1 or ahead < 1:
         raise ValueError("size and ahead must be positive")
@@ -190,54 +199,80 @@ def pieces(
         line.rlike(r"\S").alias("full"),
     )
     keys = ["artifact_id", "piece_no"]
-    grouped = (
-        placed.groupBy(*keys)
-        .agg(
-            F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)").alias("own"),
-            F.bool_or("full").alias("full"),
-        )
-        .where("full")
-        .drop("full")
-    )
 
     # A piece's head goes to those before it that have not seen enough lines with text yet.
     filled = placed.where("full").groupBy(*keys).agg(F.count("*").alias("n"))
     before = Window.partitionBy("artifact_id").orderBy("piece_no").rowsBetween(-ahead, -1)
     seen = F.collect_list(F.struct("piece_no", "n")).over(before)
     near = filled.select(*keys, "n", seen.alias("earlier")).selectExpr(
-        *keys,
+        "artifact_id",
+        "piece_no AS from_no",
         "n",
-        f"filter(earlier, (p, i) -> aggregate(slice(earlier, i + 2, {ahead}), 0L, "
-        f"(total, q) -> total + q.n) < {ahead}).piece_no AS readers",
         "get(earlier, size(earlier) - 1).piece_no AS last_no",
+        f"explode(filter(earlier, (p, i) -> aggregate(slice(earlier, i + 2, {ahead}), 0L, "
+        f"(total, q) -> total + q.n) < {ahead}).piece_no) AS piece_no",
+    )
+    if only is not None:
+        near = written(near.join(only, keys, "left_semi"), "heads")
+        wanted = near.select("artifact_id", F.col("from_no").alias("piece_no"))
+        wanted = written(wanted.union(only.select(*keys)).distinct(), "pieces")
+        placed = meet(placed, wanted, keys, MAX_PIECES)
+    grouped = (
+        placed.groupBy(*keys)
+        .agg(
+            F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)").alias("own"),
+            F.bool_or("full").alias("full"),
+        )
+        .where("full")
+        .drop("full")
     )
     first = F.regexp_extract("own", rf"^(?:\s*\S[^\n]*\n?){{1,{int(ahead)}}}", 0)
     head = F.when(F.col("n") < ahead, F.col("own")).otherwise(
         F.regexp_replace(first, r"\n\z", "")
     )
-    gap = F.when(F.col("last_no") < F.col("piece_no") - 1, F.lit(BLANK_RUN)).otherwise(F.lit(""))
+    gap = F.when(F.col("last_no") < F.col("from_no") - 1, F.lit(BLANK_RUN)).otherwise(F.lit(""))
     heads = (
-        grouped.join(near, keys)
-        .select(
-            "artifact_id",
-            F.col("piece_no").alias("from_no"),
-            F.concat(gap, head).alias("head"),
-            F.explode("readers").alias("piece_no"),
-        )
+        grouped.withColumnRenamed("piece_no", "from_no")
+        .join(near, ["artifact_id", "from_no"])
+        .select("artifact_id", "piece_no", "from_no", F.concat(gap, head).alias("head"))
         .groupBy(*keys)
         .agg(F.expr("listagg(head, '\n') WITHIN GROUP (ORDER BY from_no)").alias("rest"))
     )
     text = F.concat_ws("\n", "own", "rest")
-    return grouped.join(heads, keys, "left").select(*keys, text.alias("text"), "own")
+    chosen = grouped if only is None else grouped.join(only, keys, "left_semi")
+    return chosen.join(heads, keys, "left").select(*keys, text.alias("text"), "own")
 
 
-def piece_signals(cut: DataFrame) -> DataFrame:
-    """Merged scalar signals, one row per artifact."""
-    keys = ["artifact_id", "piece_no"]
-    rows = S.prepare(cut, keys, own="own").selectExpr(
-        *keys, *S.signal_columns(S.scalars(whole=False), "s_")
+def line_signals(
+    lines: DataFrame, size: int = PIECE_LINES, ahead: int = PIECE_AHEAD
+) -> DataFrame:
+    """What the lines of each artifact show, packed: see `signals.packed`.
+
+    Two phases. Every line is looked at on the scan, by itself; what it shows is a row of numbers and
+    matches, and a line that shows nothing, like most, is gone. Matches that run over a line's end
+    start in a line that ends in the beginning of one. Only the pieces that own such a line are put
+    together, and only for the patterns that can do so: the text that travels follows those lines,
+    not the input.
+    """
+    each = lines.select("artifact_id", "line_no", F.col("line").alias("text"))
+    shown = S.packed(S.prepare(each, ["artifact_id", "line_no"]), ["artifact_id", "line_no"], "2 * line_no + 1", False)
+    shown = written(shown, "leads")
+    memory = shown.groupBy("artifact_id").agg(F.bit_or("mask").alias("mask"))
+    memory = memory.where(F.col("mask").bitwiseAND(S.flag_bit("rwx")) != 0).select("artifact_id")
+    start = shown.where("start <> 0").select(
+        "artifact_id", F.expr(f"line_no DIV {int(size)}").alias("piece_no"), "start"
     )
-    return S.merge(rows, ["artifact_id"], "piece_no")
+    starting = start.groupBy("artifact_id", "piece_no").agg(F.bit_or("start").alias("start"))
+    plain = starting.where(F.col("start").bitwiseAND(S.PLAIN_START) != 0)
+    others = starting.where(F.col("start") == S.MEMORY_START).join(memory, "artifact_id", "left_semi")
+    only = written(plain.union(others).select("artifact_id", "piece_no"), "starting")
+    shown = shown.drop("line_no")
+    if only.isEmpty():
+        return shown
+    cut = pieces(lines, size, ahead, only)
+    keys = ["artifact_id", "piece_no"]
+    crossing = S.packed(S.prepare(cut, keys, own="own"), ["artifact_id"], f"{2 * int(size)} * piece_no", True)
+    return shown.unionByName(written(crossing, "crossing"))
 
 
 def piece_findings(
@@ -245,18 +280,19 @@ def piece_findings(
 ) -> DataFrame:
     """Findings of large artifacts, one row each.
 
-    ``severity_rank, slot, piece_no, match_no`` give the report order inside an artifact.
-    Both branches read the same pieces; each computes only its own signals, and Spark reuses
-    the exchange underneath.
+    ``severity_rank, slot, piece_no, match_no`` give the report order inside an artifact, where
+    ``piece_no`` is the place of the line or piece that shows the match.
     """
-    cut = pieces(lines, size, ahead)
+    if size < 1 or ahead < 1:
+        raise ValueError("size and ahead must be positive")
+    shown = line_signals(lines, size, ahead)
     found = ", ".join(
         f"named_struct('slot', '{s}', 'found', {slot_findings(s)})"
         for s in SLOTS
         if s not in MULTI_RULES
     )
     single = (
-        piece_signals(cut)
+        S.merged(shown, "artifact_id")
         .selectExpr("artifact_id", f"inline(array({found}))")
         .selectExpr(
             "artifact_id",
@@ -267,14 +303,7 @@ def piece_findings(
         .select("artifact_id", "slot", "piece_no", "match_no", "f.*")
     )
 
-    keys = ["artifact_id", "piece_no"]
-    listed = ", ".join(
-        f"transform({e}, (e, i) -> named_struct('slot', '{s}', 'match_no', i, 'evidence', e))"
-        for s, e in S.multis().items()
-    )
-    matches = S.prepare(cut, keys, own="own").selectExpr(
-        *keys, f"inline(concat({listed}))"
-    )
+    matches = shown.selectExpr("artifact_id", "at AS piece_no", "inline(lists)")
     # Repeats of one piece of evidence are folded before the shuffle.
     distinct = matches.groupBy("artifact_id", "slot", "evidence").agg(
         F.min(F.struct("piece_no", "match_no")).alias("at")
