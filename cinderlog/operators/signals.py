@@ -405,13 +405,26 @@ def flag_bit(name: str) -> int:
     return 1 << FLAG_NAMES.index(name)
 
 
-def packed(prepared: DataFrame, keys: list[str], order: str, crossing: bool) -> DataFrame:
+#: Whether a packed row shows anything.
+SHOWS = " OR ".join(
+    [
+        *(f"{n} <> 0" for n in ["mask", "start", *counts(), *capability_bits()]),
+        "size(firsts) > 0",
+        "size(lists) > 0",
+    ]
+)
+
+
+def packed(
+    prepared: DataFrame, keys: list[str], order: str, crossing: bool, alone: bool | None = None
+) -> DataFrame:
     """A row of plain numbers and short arrays per piece or line that shows anything at all.
 
     ``keys..., at, mask, start, n4625, n4625_text, capability_bits, firsts, lists``. ``crossing``
-    keeps only what a line cannot show; ``order`` places the row in the artifact.
+    keeps only what a line cannot show; ``order`` places the row in the artifact; ``alone`` says
+    that rows see nothing but their own, as lines do; if it is given, rows without a sign stay.
     """
-    exprs = scalars(whole=False, alone=not crossing)
+    exprs = scalars(whole=False, alone=not crossing if alone is None else alone)
     wanted = [n for n in FLAG_NAMES if not crossing or n in CROSSING]
     mask = " | ".join(f"IF({exprs[n]}, {flag_bit(n)}L, 0L)" for n in wanted)
     named = [n for n in FIRST_NAMES if not crossing or n in CROSSING]
@@ -434,8 +447,7 @@ def packed(prepared: DataFrame, keys: list[str], order: str, crossing: bool) ->
     )
     made = ["at", "mask", "start", *numbers, "firsts", "lists"]
     rows = settle(rows, *made)
-    shows = " OR ".join(f"{n} <> 0" for n in ["mask", "start", *numbers])
-    return rows.where(f"{shows} OR size(firsts) > 0 OR size(lists) > 0")
+    return rows.where(SHOWS) if alone is None else rows
 
 
 def merged(rows: DataFrame, key: str) -> DataFrame:
