@@ -14,7 +14,7 @@
 4. Surrogates are written into the mentions in their format: separators, case, country codes,
    validity of card and IBAN check digits, script and, for given names, gender (from the title).
 
-Texts that can hold no entity (see ``WORTH``) are passed by without any shuffle. Defined results: null
+Texts that can hold no entity (see `worth`) are passed by without any shuffle. Defined results: null
 texts stay null, empty ones empty. Repeated rows get equal results. Rows with a null doc_id are
 treated like others. Extra columns pass through; one that has the name of a result is replaced.
 """
@@ -49,14 +49,33 @@ PARTICLES = frozenset(
     "af al av bin da dal de del della den der des di do dos du e el i ibn la las le los op ten ter "
     "'t thoe und v van vom von y zu zum zur".split()
 )
-#: What a text must hold to be looked at, in Java's spelling: a digit, an @, a title before another
-#: word, a word for a secret and what assigns it, or two hexadecimal groups. Whatever `detect` finds
-#: holds one of them.
-WORTH = (
-    rf"[\p{{N}}@]|(?:{_TITLE.replace(chr(92) + '.', '[.]')})\.?[\s\x1c-\x1f\x{{85}}\p{{Z}}]+['\p{{L}}]"
-    r"|(?iu:key|token|secret|password|passwd)[\s\x1c-\x1f\x{85}\p{Z}]*[=:]"
+_GAP = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+#: Patterns in Java's spelling for what a text must hold to be looked at: a digit or an @, a title before
+#: another word, a word for a secret and what assigns it, or two hexadecimal groups. Whatever
+#: `detect` finds holds one of them. Literals that are quick to look for come before the patterns.
+_DIGIT = r"[\p{N}@]"
+_BEFORE = rf"(?:{_TITLE.replace(chr(92) + '.', '[.]')})\.?{_GAP}+['\p{{L}}]"
+_ASSIGNED = (
+    rf"(?iu:key|token|secret|password|passwd){_GAP}*[=:]"
     r"|[0-9a-fA-F]:{1,2}[0-9a-fA-F]{1,4}:|[0-9a-fA-F]{4}::|::[0-9a-fA-F]{3}"
 )
+#: Each title holds one of them.
+_STARTS = [t for t in GENDER if not any(o != t and o in t for o in GENDER)]
+
+
+def worth(text: Column) -> Column:
+    """Whether a text may hold an entity."""
+
+    def holds(words: list[str]) -> Column:
+        found = F.lit(False)
+        for w in words:
+            found = found | F.contains(text, F.lit(w))
+        return found
+
+    titled = holds(_STARTS) & text.rlike(_BEFORE)
+    assigned = holds([":", "="]) & text.rlike(_ASSIGNED)
+    return F.coalesce(text.rlike(_DIGIT) | titled | assigned, F.lit(False))
+
 
 #: A word behind a title or another word of a name, on the same line.
 _TITLED = re.compile(rf"\b({_TITLE})\.?(?=\s)")
@@ -277,21 +296,24 @@ def written(kind: str, raw: str, new: str) -> str:
 
 
 def _detected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document and entity; p_spans has the mentions' begins and ends in turn."""
     for whole in batches:
         for at in range(0, whole.num_rows, 64):
             b = whole.slice(at, 64)
-            rows = [
-                (doc, h, kind, value)
-                for doc, h, t in zip(b[0].to_pylist(), b[1].to_pylist(), b[2].to_pylist(), strict=True)
-                for kind, value in sorted({x[2:] for x in detect(t)})
-            ]
+            rows = []
+            for doc, h, t in zip(b[0].to_pylist(), b[1].to_pylist(), b[2].to_pylist(), strict=True):
+                spans: dict[tuple, list] = {}
+                for begin, end, *entity in detect(t):
+                    spans.setdefault(tuple(entity), []).extend((begin, end))
+                rows += [(doc, h, *entity, spans[entity]) for entity in sorted(spans)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate(_KEYS)],
-                names=["p_doc", "p_h", "p_kind", "p_value"],
+                names=["p_doc", "p_h", "p_kind", "p_value", "p_spans"],
             )
 
 
-_KEYS = (pa.int64(), pa.int64(), pa.string(), pa.string())
+_KEYS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
+_FOUND = "p_doc long, p_h long, p_kind string, p_value string, p_spans array<int>"
 _ENTITY = "p_kind string, p_value string, p_attempt int, p_new string"
 
 
@@ -361,10 +383,14 @@ def _replacer(names: list[str], at: int):
                 b = whole.slice(start, 64)
                 texts, numbers, kinds = [], [], []
                 for t, found in zip(b[at].to_pylist(), b[b.num_columns - 1].to_pylist(), strict=True):
-                    known = {(x["p_kind"], x["p_value"]): x["p_new"] for x in found or ()}
+                    mentions = sorted(
+                        (a, z, x["p_kind"], x["p_new"])
+                        for x in found or ()
+                        for a, z in zip(x["p_spans"][::2], x["p_spans"][1::2], strict=True)
+                    )
                     parts, end, seen = [], 0, []
-                    for a, z, kind, value in detect(t or ""):
-                        parts += [t[end:a], written(kind, t[a:z], known[kind, value])]
+                    for a, z, kind, new in mentions:
+                        parts += [t[end:a], written(kind, t[a:z], new)]
                         seen.append(kind)
                         end = z
                     texts.append(None if t is None else "".join([*parts, t[end:]]))
@@ -386,20 +412,19 @@ def replace(
     names = df.columns
     df, (text, doc_id) = aside(df, text, doc_id)
     t = F.col(f"`{text}`")
-    worth = F.coalesce(t.rlike(WORTH), F.lit(False))
-    keyed = df.where(worth).withColumns(
+    some = worth(t)
+    keyed = df.where(some).withColumns(
         {"p_doc": F.col(f"`{doc_id}`").cast("long"), "p_h": F.xxhash64(t)}
     )
-    found = keyed.select("p_doc", "p_h", t).mapInArrow(
-        _detected, "p_doc long, p_h long, p_kind string, p_value string"
-    )
+    # A text is read for entities once; where they stand travels with them.
+    found = keyed.select("p_doc", "p_h", t).mapInArrow(_detected, _FOUND)
     found = stored(found.distinct(), "entities")
     entities = stored(found.select("p_kind", "p_value").distinct(), "distinct-entities")
     known = assign(entities, key)
     own = (
         found.join(known, ["p_kind", "p_value"])
         .groupBy("p_doc", "p_h")
-        .agg(F.collect_list(F.struct("p_kind", "p_value", "p_new")).alias("p_found"))
+        .agg(F.collect_list(F.struct("p_kind", "p_new", "p_spans")).alias("p_found"))
         .withColumnsRenamed({"p_doc": "p_doc2", "p_h": "p_h2"})
     )
     with_found = keyed.join(
@@ -410,7 +435,7 @@ def replace(
         _replacer(df.columns, df.columns.index(text)),
         f"{kept}, p_entities long, p_kinds array<string>",
     )
-    rest = df.where(~worth).withColumns(
+    rest = df.where(~some).withColumns(
         {"p_entities": F.lit(0).cast("long"), "p_kinds": F.array().cast("array<string>")}
     )
     made = ["p_entities", "p_kinds"]
