@@ -238,6 +238,10 @@ ORACLE: dict[str, str] = {
     "top_event_id": _top("event_id"),
     "top_failed_source_ip": _top("source_ip", LIKES["failed_password"]),
     "batch_plans": _batch(),
+    "file_answers": _batch(),
+    "file_families": f"SELECT Pid AS artifact_id, bool_or({MARKED}) AND ("
+    + " OR ".join(f"bool_or(Content LIKE {lit('%' + C.FILTERS[n].contains[0] + '%')})" for n in C.VOCABULARY)
+    + f") AS known, count(*) AS n_lines FROM ({AUTH_LOG_SQL}) a GROUP BY 1",
     "family_scan": f"SELECT artifact_id, family, reason, has_ipv6, n_lines, n_marked, n_ipv6 FROM ({SCAN}) s",
     "present_filters": f"SELECT artifact_id, present FROM ({SCAN}) s",
     "marker_counts": "SELECT artifact_id, "

@@ -336,6 +336,8 @@ def triage_oracles(
         "triage_documents": f"{docs} {_PRIORITY} {_TOP}",
         "big_findings": f"{big} SELECT {_COLUMNS.replace(' finding_no,', '')} FROM final",
         "big_verdicts": f"{big} {_PRIORITY} {_TOP}",
+        "file_line_verdicts": f"{big} {_PRIORITY} {_TOP}",
+        "file_text_verdicts": f"{big} {_PRIORITY} {_TOP}",
         "big_next_steps": f"{big} SELECT artifact_id, finding_no AS step_no, next FROM final WHERE finding_no <= 3",
         **{
             f"rule_{rule}": f"{small} SELECT artifact_id, severity, indicator, evidence FROM final WHERE rule_id = '{rule}'"

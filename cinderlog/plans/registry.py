@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 from ..functions import rules as R
+from ..functions.frames import shared_folder
 from ..functions.predicates import extracted, like
 from ..functions.text import lines_of
 from ..operators import answers as A
@@ -16,7 +17,8 @@ from ..operators import family, questions, triage, votes
 from ..operators.answers import Plan
 from ..operators.excerpt import excerpts, piece_excerpts
 from ..operators.profile import profile
-from ..sources.logs import parse_csv_lines, to_csv_line
+from ..sources import tool_text
+from ..sources.logs import parse_csv_lines, read_logs, to_csv_line
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,6 +152,60 @@ def text_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- files
+def _artifact_of(path: str):
+    """The artifact that a file's folder names."""
+    return F.regexp_extract(path, "artifact=([0-9]+)", 1).cast("bigint")
+
+
+def _tool_files(spark: SparkSession, sf: str) -> str:
+    """The long artifacts as text files, one each."""
+    folder = shared_folder(spark, "tool-files")
+    lines = V.big_tool_lines(spark, sf).withColumn("artifact", F.col("artifact_id"))
+    placed = lines.repartition("artifact").sortWithinPartitions("artifact", "line_no")
+    placed.select("artifact", "line").write.partitionBy("artifact").text(folder)
+    return f"{folder}/*/*.txt"
+
+
+def file_line_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Text files read as numbered lines."""
+    lines = tool_text.read_lines(spark, _tool_files(spark, sf))
+    return triage.piece_verdicts(lines.withColumn("artifact_id", _artifact_of("artifact_id")))
+
+
+def file_text_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Text files read as whole texts."""
+    texts = tool_text.read_texts(spark, _tool_files(spark, sf))
+    found = triage.priority(triage.triage_texts(texts)).drop("next_steps")
+    return found.withColumn("artifact_id", _artifact_of("artifact_id"))
+
+
+def _log_files(spark: SparkSession, sf: str) -> str:
+    """The auth logs as CSV files; half of them with another order of columns and a further one."""
+    folder = shared_folder(spark, "log-files")
+    logs = V.auth_logs(spark, sf).withColumn("artifact", F.col("artifact_id")).repartition("artifact")
+    plain = ["LineId", "Content", "EventId", "EventTemplate"]
+    other = ["EventTemplate", "Component", "EventId", "LineId", "Content"]
+    for name, columns, chosen in (("a", plain, "artifact % 2 = 0"), ("b", other, "artifact % 2 <> 0")):
+        written = logs.where(chosen).select("artifact", *columns).write.partitionBy("artifact")
+        written.csv(f"{folder}/{name}", header=True, escape='"')
+    return f"{folder}/*/*/*.csv"
+
+
+def file_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV files of two layouts, read as one glob, and every plan for each."""
+    logs = read_logs(spark, _log_files(spark, sf))
+    logs = logs.withColumn("artifact_id", _artifact_of("artifact_id"))
+    return A.answer_all(logs, A.catalog_plans())
+
+
+def file_families(spark: SparkSession, sf: str) -> DataFrame:
+    """The family that each file's own header and lines give."""
+    logs = read_logs(spark, _log_files(spark, sf))
+    found = family.scan(logs.withColumn("artifact_id", _artifact_of("artifact_id")))
+    return found.select("artifact_id", F.col("family").isNotNull().alias("known"), "n_lines")
+
+
 # ---------------------------------------------------------------- triage
 def triaged(spark: SparkSession, sf: str) -> DataFrame:
     return triage.triage_texts(V.tool_output(spark, sf))
@@ -416,6 +472,10 @@ QUERIES: dict[str, Query] = {
     "profile_documents": profile_documents,
     "csv_lines": csv_lines,
     "text_lines": text_lines,
+    "file_line_verdicts": file_line_verdicts,
+    "file_text_verdicts": file_text_verdicts,
+    "file_answers": file_answers,
+    "file_families": file_families,
     "triage_findings": triage_findings,
     "triage_verdicts": triage_verdicts,
     "triage_report": triage_report,
