@@ -142,7 +142,7 @@ def _windows(df: DataFrame, places: bool = False) -> DataFrame:
 
     starts = F.when(F.size(raw) >= WINDOW, F.sequence(F.lit(0), F.size(raw) - WINDOW))
     bare = F.transform(raw, lambda x: F.when(x.startswith(MARK), F.substr(x, F.lit(3))).otherwise(x))
-    short = F.array(row(F.lit(0), F.size(raw), F.xxhash64(F.lit("short"), bare), none))
+    short = F.array(row(F.lit(0), F.size(raw), F.xxhash64(F.lit(" "), bare), none))
     every = F.when(F.size(raw).between(1, WINDOW - 1), short).otherwise(
         F.flatten(F.transform(starts, window))
     )

@@ -3,6 +3,10 @@
 import re
 from itertools import combinations
 
+import regex
+
+from cinderlog.llm import decontam
+
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -74,3 +78,81 @@ def dropped_lines(texts, min_docs=6):
             for d, numbers in docs.items():
                 out[d] |= set(numbers) - ({min(numbers)} if holds else set())
     return {d: sorted(n) for d, n in out.items()}
+
+
+def _marked(text):
+    """Tokens of a text; names, numbers and units start with a mark and their type."""
+    mark, point = "\x01", "\x02"
+    text = text.replace(mark, " ").replace(point, " ")
+    words = regex.sub(r"(\p{Lu}(?<=[\p{Ll}\p{N}][,;]?[ \n]\p{Lu})\p{Ll}+)", rf" {mark}p\1 ", text)
+    if regex.search(r"\p{N}", text):
+        words = regex.sub(r"(\p{N}(?<![\p{L}\p{N}]\p{N})[\p{N}.,:/]*(?<=\p{N}))", rf" {mark}n\1 ", words)
+        words = regex.sub(decontam.UNIT.replace(r"\x{A0}", "\xa0"), rf"\1{mark}u\2 ", words)
+        words = regex.sub(rf"([€$£])(?= {{0,3}}{mark}n)", rf" {mark}u\1 ", words)
+        words = regex.sub(r"(?<=\p{N})[.,:/](?=\p{N})", point, words)
+    return [t for t in regex.split(rf"[^\p{{L}}\p{{N}}{mark}{point}%°€$£]+", words.lower()) if t]
+
+
+def _windows(tokens):
+    """Place, length, key, values or None, and their places, of every window of a text."""
+    n, some = len(tokens), any(t[0] == "\x01" for t in tokens)
+    plain = [t[:2] if t[0] == "\x01" else t for t in tokens]
+    if 0 < n < 5:
+        return [(0, n, (" ", *(t[2:] if t[0] == "\x01" else t for t in tokens)), None, None)]
+    out = []
+
+    def literals(i, m):
+        return sum(t[0] != "\x01" for t in tokens[i : i + m])
+
+    def add(i, m):
+        at = [k for k in range(i, i + m) if tokens[k][0] == "\x01"]
+        out.append((i, m, tuple(plain[i : i + m]), [tokens[k] for k in at] if some else None, at))
+
+    for i in range(n - 4):
+        if literals(i, 5) >= 3:
+            add(i, 5)
+            continue
+        out.append((i, 5, tuple(tokens[i : i + 5]), None, None))
+        after = [m for m in range(6, 14) if i + m <= n and literals(i, m) >= 3]
+        before = [m for m in range(6, 14) if i + 5 >= m and literals(i + 5 - m, m) >= 3]
+        for m in after[:1]:
+            add(i, m)
+        for m in before[:1]:
+            add(i + 5 - m, m)
+    return out
+
+
+def leaks(docs, items):
+    """(doc_id, item_id) to the tokens met, over lists of (id, text), one alignment after the other."""
+    parsed = [(b, _marked(t)) for b, t in items if t is not None]
+    out = {}
+    for d, t in docs:
+        seen = {}
+        for i, m, key, slots, _ in _windows(_marked(t)) if t is not None else ():
+            seen.setdefault(key, []).append((i, m, slots))
+        for b, tokens in parsed:
+            by_off = {}
+            for j, m, key, values, at in _windows(tokens):
+                for i, _, slots in seen.get(key, ()):
+                    by_off.setdefault(i - j, []).append((j, m, slots, values, at))
+            met = {}
+            for off, hits in by_off.items():
+                votes = {}
+                for _, _, slots, values, at in hits:
+                    for v, s, k in zip(values or (), slots or (), at or ()):
+                        votes.setdefault(v, {}).setdefault(s, set()).add(k)
+                chosen = {
+                    v: max((len(k), v == s, s) for s, k in kinds.items())[2]
+                    for v, kinds in votes.items()
+                    if len(kinds) > 1
+                }
+                for j, m, slots, values, _ in hits:
+                    if slots is None or all(chosen.get(v, s) == s for v, s in zip(values or (), slots)):
+                        met.setdefault(off, set()).update(range(j, j + m))
+            best, chain, last = 0, set(), None
+            for off in sorted(met):
+                chain = chain | met[off] if last is not None and off - last <= 4 else set(met[off])
+                best, last = max(best, len(chain)), off
+            if best >= 13 or best and best * 2 >= len(tokens):
+                out[d, b] = max(best, out.get((d, b), 0))
+    return out

@@ -97,3 +97,28 @@ def test_repeated_documents_all_go(spark, docs):
     twice = docs([SOURCE, "clean text of some other kind"]).union(docs([SOURCE]))
     assert [r.doc_id for r in decontam.clean(twice, bench).collect()] == [1]
     assert decontam.leaks(twice, bench).count() == 1
+
+
+def test_equals_a_plain_version(spark, docs, sf):
+    """Templates, slots, alignments and coverage computed text by text, on tables and on altered items."""
+    import random
+
+    from brute import leaks
+
+    rng = random.Random(4)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    items += [(10**6 + i, t) for i, t in enumerate((SOURCE, TRIP, SUM, TRIPLES, "Paris, France", "", None))]
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    plain = [t for _, t in items if t]
+    for _ in range(150):
+        words = rng.choice(plain).split(" ")
+        for _ in range(rng.randrange(6)):
+            k = rng.randrange(len(words))
+            words[k : k + rng.randrange(2)] = rng.choice([["77"], ["Derby"], ["so", "it"], ["9", "km"], []])
+            words = words or ["x"]
+        cut = rng.randrange(len(words))
+        texts.append(" ".join(rng.choice([words, words[cut:] + words[:cut], ["xa"] + words[cut:], words * 2])))
+    want = leaks(list(enumerate(texts)), items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.b_doc, r.b_item): r.b_covered for r in decontam.leaks(docs(texts), bench).collect()}
+    assert got == want and len(want) > 50
