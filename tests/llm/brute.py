@@ -5,7 +5,7 @@ from itertools import combinations
 
 import regex
 
-from cinderlog.llm import decontam
+from cinderlog.llm import decontam, quality
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -156,3 +156,27 @@ def leaks(docs, items):
             if best >= 13 or best and best * 2 >= len(tokens):
                 out[d, b] = max(best, out.get((d, b), 0))
     return out
+
+
+def cleaned(text):
+    """What the quality rules leave of a text; None if the document goes."""
+    lines, w = (text or "").split("\n"), words(text)
+
+    def fails(line):
+        low = line.lower()
+        return bool(words(line)) and (
+            not re.search(quality.SENTENCE, line, re.ASCII)
+            or bool(re.search(quality.DENSE, line))
+            or bool(re.search(quality.NAVIGATION, low, re.ASCII))
+            or any(p in low for p in quality.BOILERPLATE)
+        )
+
+    grams = {}
+    for i in range(len(w) - 2):
+        grams.setdefault(tuple(w[i : i + 3]), []).append(i)
+    repeated = {i + k for at in grams.values() if len(at) > 1 for i in at for k in range(3)}
+    left = [x for x in lines if not fails(x)]
+    lost = sum(map(len, w)) - sum(len(x) for line in left for x in words(line))
+    if len(w) < 50 or 100 * len(repeated) > 50 * len(w) or 100 * lost > 30 * sum(map(len, w)):
+        return None
+    return text if len(left) == len(lines) else "\n".join(left)

@@ -1,12 +1,15 @@
 """The registered queries and the pipeline on the smallest tables."""
 
 import duckdb
+import public_tokenizers
 import pytest
-from brute import components
+import tokenizers
+from brute import cleaned, components, leaks, line_keys, words
+from test_lines import expected, needed
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from cinderlog.llm import decontam, linededup, quality, queries
+from cinderlog.llm import queries
 
 TABLES = "documents embeddings labels pages benchmark conversations".split()
 
@@ -44,23 +47,39 @@ def test_other_queries_run(spark, sf, name):
     assert rows == (3 if name == "op2_decontam" else 200)
 
 
+def texts_of(df):
+    return {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+
+
 def test_pipeline_stage_by_stage(spark, sf):
     """Each stage against a plain version of it, on its own input."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
-    first, lines, near, leaks, last = (f for _, f in corpus_pipeline.STAGES)
+    first, lines, near, contaminated, last = (f for _, f in corpus_pipeline.STAGES)
     a = first(spark, docs, sf).cache()
-    judged = quality.judge(docs).where("q_kept").select("doc_id").collect()
-    assert {r.doc_id for r in a.collect()} == {r.doc_id for r in judged}
+    left = {d: cleaned(t) for d, t in texts_of(docs).items()}
+    assert texts_of(a) == {d: t for d, t in left.items() if t is not None}
     b = lines(spark, a, sf).cache()
-    assert b.columns == docs.columns and linededup.clean(a).count() == b.count()
+    drop = expected(texts_of(a), line_keys, needed)
+    left = {
+        d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop[d]) for d, t in texts_of(a).items()
+    }
+    assert b.columns == docs.columns
+    assert texts_of(b) == {d: t for d, t in left.items() if not drop[d] or words(t)}
     c = near(spark, b, sf).cache()
-    want, _ = components({r.doc_id: r.text for r in b.collect()}, 80)
+    want, _ = components(texts_of(b), 80)
     assert {r.doc_id for r in c.collect()} == {d for d, k in want.items() if d == k}
-    d = leaks(spark, c, sf).cache()
-    bad = {r.b_doc for r in decontam.leaks(c, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    d = contaminated(spark, c, sf).cache()
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    bad = {i for i, _ in leaks(list(texts_of(c).items()), items)}
     assert {r.doc_id for r in d.collect()} == {r.doc_id for r in c.collect()} - bad
-    e = last(spark, d, sf)
-    assert set(docs.columns) <= set(e.columns) and e.count() == d.count()
-    assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == {r.doc_id for r in d.collect()}
+    e = last(spark, d, sf).collect()
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    for r in e:
+        ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids
+        assert (list(r.ids), r.n_tokens) == (ids, len(ids))
+    assert {r.doc_id for r in e} == {r.doc_id for r in d.collect()}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == {r.doc_id for r in e}
