@@ -97,6 +97,28 @@ def test_any_number_of_headers(spark, tmp_path):
     assert {r.artifact_id.rsplit("/", 1)[1] for r in rows if not r.has_header} == no_family
 
 
+def test_a_file_per_artifact(spark, tmp_path):
+    rows = [(i % 700, i, f'say "{i}", now' if i % 3 else None) for i in range(3500)] + [(None, -1, "none"), (-4, -2, "two\nlines")]
+    df = spark.createDataFrame(rows, "artifact long, LineId long, Content string")
+    df = df.withColumns({"EventId": F.lit("E1"), "EventTemplate": F.lit("t")})
+    names = ["Content", "EventId", "LineId", "EventTemplate"]
+    for _ in range(2):  # a repeated task changes nothing
+        assert logs.write_logs(df, str(tmp_path / "out"), "artifact", names) == 701
+    assert len(list((tmp_path / "out").glob("*/*"))) == 701 and not list((tmp_path / "out").glob("*/.*"))
+    (own,) = (tmp_path / "out").glob("*/artifact=-4.csv")
+    assert own.read_text() == 'Content,EventId,LineId,EventTemplate\n"two\nlines",E1,-2,t\n'
+    group = "files of logs"
+    spark.sparkContext.setJobGroup(group, group)
+    read = logs.read_logs(spark, str(tmp_path / "out" / "*" / "artifact=[0-9]*.csv"))
+    # The 700 files are looked up by few tasks; scans take 32 of them to a task.
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert 0 < max(s.numTasks for s in stages if s) < 100
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = {(int(r.artifact_id.rsplit("=", 1)[1][:-4]), r.LineId, r.Content) for r in read.collect()}
+    assert got == set(rows[:3500]) and spark.conf.get(logs.LISTING) == "10000"
+
+
 def test_files_met_by_shuffling_give_the_same(spark, tmp_path):
     row = '7,"Failed password for ""x"", from 1.2.3.4",E1,t'
     (tmp_path / "a.csv").write_text("LineId,Content,EventId,EventTemplate\n" + row + "\n+8,,\"\",t,more\nx,y\n")
