@@ -79,6 +79,23 @@ SOURCE_CUE = r"\bsource\b"
 RHOST_CUE = r"\brhost\b|\bremote[- ]hosts?\b"
 PLURAL_FIELD = r"\b(ips|addresses|hosts|usernames|users|accounts|templates|event ?ids)\b"
 
+# Plain tests that hold wherever the pattern of that name matches.
+ACCOUNT_LEAD = r"\b(?:for|by|as|of)\s|\bnamed\s"
+LITERAL_LEAD = r"[\d./\\]"
+ROOT_WORDS = ("root",)
+HOW_MANY_WORDS = ("many",)
+FROM_WORDS = ("from",)
+POSSESSIVE_WORDS = ("'s", "under")
+MOST_WORDS = ("most", "top", "commonest", "frequent", "often")
+CUE_WORDS = {
+    "ip": ("ip", "address", "host"),
+    "user": ("name",),
+    "eid": ("event", "template"),
+    "src": ("source",),
+    "rhost": ("host",),
+    "is_distinct": ("distinct", "different", "unique"),
+}
+
 # Words that name a kind of event, in catalog order.
 KIND_CUES = {
     "failed_password": (

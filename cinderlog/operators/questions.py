@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import catalog as C
 from ..functions import question_words as W
 from ..functions.frames import settle
-from ..functions.sql import every, first, has, matches, quote, strip, when
+from ..functions.sql import NO_STRINGS, every, first, has, matches, quote, strip, when
 from ..functions.text import CI, CS, fold
 
 
@@ -35,9 +35,25 @@ def _first_not_in(names: str, stop) -> str:
 
 
 def _some(pattern: str) -> str:
-    """First match in the question, NULL without one; most questions stop at the plain test."""
+    """First match in the question, NULL without one; most questions stop at the plain tests."""
     hit = first("_q", CI + pattern)
-    return when(matches("_low", CS + pattern), hit)
+    return when(f"_cued AND {matches('_low', CS + pattern)}", hit)
+
+
+def _said_anywhere(patterns) -> str:
+    """Any of the patterns ``\\b(a|b|...)\\b``, as one whose alternatives are told apart by their first letter.
+
+    A regex engine tries alternatives one after the other; here only those of one letter are left.
+    """
+    by_letter: dict[str, list[str]] = {}
+    for p in patterns:
+        inner = p.removeprefix(r"\b(").removesuffix(r")\b")
+        if len(inner) != len(p) - 6 or "(" in inner or "[" in inner.replace("[- ]", ""):
+            raise ValueError(f"not a plain list of words: {p}")
+        for word in inner.split("|"):
+            by_letter.setdefault(word[0], []).append(word[1:])
+    letters = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items())
+    return matches("_low", CS + rf"\b(?:{letters})\b")
 
 
 def _kinds(hit) -> str:
@@ -54,21 +70,25 @@ def _said(before: str, value: str, after: str) -> str:
 
 # Decline rules in order: code, the SQL that is NULL unless the rule applies, and the sentence.
 def _declines() -> list[tuple[str, str, str]]:
-    negated = matches("_low", CS + W.NEGATION) + " AND " + matches(
+    negated = "_cued AND " + matches("_low", CS + W.NEGATION) + " AND " + matches(
         f"regexp_replace(_low, {quote(CS + W.EXIST_IDIOM)}, ' ')", CS + W.NEGATION
     )
     account = _first_not_in(
         _groups("_q", CI + W.ACCOUNT, 4), [*dict.fromkeys(W.ACCOUNT_STOP), "root"]
     )
+    account = when(matches("_low", CS + W.ACCOUNT_LEAD), account)
     undotted = f"rtrim({quote('.')}, lower(x))"
     literal = (
         f"get(filter({every('_q', CI + W.LITERAL)}, "
         f"x -> NOT {_in(undotted, W.ABBREVIATIONS)}), 0)"
     )
+    literal = when(matches("_q", CS + W.LITERAL_LEAD), literal)
     origin = _first_not_in(every("_q", CI + W.FROM, 1), dict.fromkeys(W.FROM_STOP))
+    origin = when(has("_low", W.FROM_WORDS), origin)
     owner = _first_not_in(_groups("_q", CI + W.POSSESSIVE, 2), ["root"])
+    owner = when(has("_low", W.POSSESSIVE_WORDS), owner)
     plural = (
-        f"{matches('_low', CS + W.MOST_CUE)} AND {matches('_low', CS + W.PLURAL_FIELD)}"
+        f"{has('_low', W.MOST_WORDS)} AND {matches('_low', CS + W.MOST_CUE)} AND {matches('_low', CS + W.PLURAL_FIELD)}"
     )
     # The sentences.
     return [
@@ -189,27 +209,34 @@ def read_questions(questions: DataFrame) -> DataFrame:
         f"regexp_replace(regexp_replace(_norm, {quote(W.DOUBLE_QUOTED)}, ' '), "
         f"{quote(single)}, ' ')"
     )
+    phrases = f"array_distinct(filter(transform({spans}, p -> {strip('p')}), p -> p <> ''))"
+    marked = has("_norm", ['"', "'"])
     cut = plain.selectExpr(
         *columns,
         "_norm",
-        f"array_distinct(filter(transform({spans}, p -> {strip('p')}), p -> p <> '')) AS phrases",
-        f"{without} AS _q",
-    )
-    lowered = cut.select("*", fold(F.col("_q")).alias("_low"))
+        f"{when(f'_norm IS NULL OR {marked}', phrases, NO_STRINGS)} AS phrases",
+        f"{when(marked, without, '_norm')} AS _q",
+    )
+    # Plain tests on lower-cased copies come first. No letter outside ASCII folds into these words.
+    lowered = cut.select("*", fold(F.col("_q")).alias("_low"), F.lower("_norm").alias("_all"))
+    lowered = settle(lowered, "phrases", "_q", "_low", "_all")
+    asked = [W.NEGATION, W.LISTING, W.TIME, W.OTHER_AGGREGATE, W.OTHER_EVENT]
+    asked += [W.NETWORK_ZONE, W.AUTH_METHOD]
     cued = lowered.selectExpr(
         *columns,
         "phrases",
-        f"{matches('_norm', CI + W.ROOT)} AS root_scope",
-        f"{matches('question', CI + W.HOW_MANY)} AS how_many",
+        f"({has('_all', W.ROOT_WORDS)} AND {matches('_norm', CI + W.ROOT)}) AS root_scope",
+        f"({has('_all', W.HOW_MANY_WORDS)} AND {matches('question', CI + W.HOW_MANY)}) AS how_many",
         "_q",
         "_low",
+        f"{_said_anywhere(asked)} AS _cued",
         f"{_kinds(lambda k, cues: has('_low', cues))} AS kinds",
     )
     chain = " ".join(
         f"WHEN {hit} IS NOT NULL THEN named_struct('code', {quote(code)}, 'hit', {hit})"
         for code, hit, _ in _declines()
     )
-    cued = settle(cued, "phrases", "root_scope", "how_many", "_q", "_low", "kinds")
+    cued = settle(cued, "phrases", "root_scope", "how_many", "_q", "_low", "_cued", "kinds")
     found = settle(cued.selectExpr("*", f"CASE {chain} END AS _d"), "_d")
     sentences = " ".join(
         f"WHEN {quote(code)} THEN {sentence}"
@@ -244,11 +271,12 @@ FIELD_CUES = {
 def parse_plans(df: DataFrame) -> DataFrame:
     """Add the fields of the ``plan`` JSON and what is wrong with its structure."""
     message = quote("plan keys must be exactly ('event_filter', 'extract_field', 'aggregate')")
-    parsed = df.selectExpr(
-        "*",
-        "array_sort(array_distinct(json_object_keys(plan))) AS _keys",
-        "try_parse_json(plan) AS _json",
-    )
+    parsed = df.selectExpr("*", "try_parse_json(plan) AS _json")
+    usual = ", ".join(f"{n}: STRING" for n in sorted(MODEL_KEYS))
+    keys = "array_sort(array_distinct(json_object_keys(plan)))"
+    parsed = parsed.selectExpr("*", f"coalesce(schema_of_variant(_json) = 'OBJECT<{usual}>', false) AS _usual")
+    # Most plans are what they should be, which their schema tells; the others are taken to pieces.
+    parsed = parsed.selectExpr("*", f"{when('NOT _usual', keys)} AS _keys")
 
     def exact(names) -> str:
         return f"array({', '.join(quote(n) for n in sorted(names))})"
@@ -260,7 +288,7 @@ def parse_plans(df: DataFrame) -> DataFrame:
     texts = " AND ".join(f"coalesce({kind(n)}, '') = 'STRING'" for n in MODEL_KEYS)
     scope = f"coalesce({kind('account_scope')}, 'STRING') = 'STRING'"
     shape = (
-        "CASE WHEN _keys IS NULL THEN 'plan is not an object' "
+        "CASE WHEN _usual THEN NULL WHEN _keys IS NULL THEN 'plan is not an object' "
         f"WHEN _keys <> {exact(MODEL_KEYS)} AND _keys <> {exact(scoped)} THEN {message} "
         f"WHEN NOT ({texts} AND {scope}) THEN 'plan values must be strings' END"
     )
@@ -309,11 +337,18 @@ def check_plans(read: DataFrame) -> DataFrame:
         return f"exists(phrases, p -> {has('lower(p)', every_word)})"
 
     lowered = plans.select("*", fold(F.col("unquoted")).alias("_low"))
+
+    def cue(name: str, pattern: str) -> str:
+        return f"({has('_low', W.CUE_WORDS[name])} AND {matches('_low', CS + pattern)})"
+
+    # What only later reasons look at isn't looked for where an earlier one holds.
+    still = "plan_error IS NULL AND decline_reason IS NULL"
+    most = f"({has('_low', W.MOST_WORDS)} AND {matches('_low', CS + W.MOST_CUE)} AND NOT how_many)"
     cued = lowered.selectExpr(
         *plans.columns,
-        *[f"{matches('_low', CS + p)} AS _{name}" for name, p in cues.items()],
-        f"({matches('_low', CS + W.MOST_CUE)} AND NOT how_many) AS _most",
-        f"{_kinds(named_in_quotes)} AS _quoted_kinds",
+        *[f"{when(still, cue(name, p))} AS _{name}" for name, p in cues.items()],
+        f"{when(still, most)} AS _most",
+        f"{when(still, _kinds(named_in_quotes))} AS _quoted_kinds",
     )
     cued = settle(
         cued,
