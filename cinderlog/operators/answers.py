@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
+from ..functions.frames import written
 from ..functions.predicates import (
     drops_wrappers,
     extracted,
@@ -279,10 +280,10 @@ def answer_questions(logs: DataFrame, wanted: DataFrame) -> DataFrame:
     plans are packed, about 64 to a row, so a line meets them packed and emits only the plans that
     select it; these are counted per value before the shuffle. Packs are dealt by a digest, so no
     window runs over an artifact's plans. The join key is the artifact, where AQE can split the
-    lines of a hot one. Both uses of ``wanted`` read the same columns of one exchange, which Spark
-    reuses. Counts without a line are 0; a top value without a line is NULL in both columns.
+    lines of a hot one. ``wanted`` is written once and read twice, as checking plans costs more than
+    the rows do. Counts without a line are 0; a top value without a line is NULL in both columns.
     """
-    wanted = wanted.repartition("artifact_id")
+    wanted = written(wanted.select("artifact_id", "question_id", *ASKED, "reason"), "wanted")
     asked = (
         wanted.where("reason IS NULL")
         .groupBy("artifact_id", *ASKED)

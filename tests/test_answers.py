@@ -202,6 +202,31 @@ def test_questions_are_answered_together(spark, log_of):
     assert got[100] == (None, 1) and got[149] == (None, 0)
 
 
+def test_plans_are_checked_once(spark, log_of):
+    """What is wanted may be costly to find; both its uses read what was found."""
+    found = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def skips(question):
+        found.add(1)
+        return question % 2 == 0
+
+    log = log_of(["Failed password", "message repeated 2 times: [ Failed password]"])
+    log = log.withColumn("artifact_id", F.lit(1).cast("long"))
+    wanted = spark.range(40, numPartitions=2).select(
+        F.lit(1).cast("long").alias("artifact_id"),
+        F.col("id").alias("question_id"),
+        F.array(F.lit("Failed password")).alias("words"),
+        skips("id").alias("skip_wrappers"),
+        F.lit("any_user").alias("account_scope"),
+        F.lit("none").alias("extract_field"),
+        F.lit("count_rows").alias("aggregate"),
+        F.lit(None).cast("string").alias("reason"),
+    )
+    got = {r.question_id: r.c for r in A.answer_questions(log, wanted).collect()}
+    assert got == {i: 2 - (i % 2 == 0) for i in range(40)} and found.value == 40
+
+
 def test_like_has_no_escape_character(spark):
     df = spark.createDataFrame([("a\\b",), ("a_b",), ("axb",)], "s string")
     assert df.where(like(F.col("s"), "a\\b")).count() == 1
