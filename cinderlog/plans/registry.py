@@ -181,26 +181,26 @@ def file_text_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _log_files(spark: SparkSession, sf: str) -> str:
-    """The auth logs as CSV files; half of them with another order of columns and a further one."""
+    """Folders of the auth logs as CSV files; half of them with another order of columns and a further one."""
     folder = shared_folder(spark, "log-files")
     logs = V.auth_logs(spark, sf).withColumn("artifact", F.col("artifact_id"))
     plain = ["LineId", "Content", "EventId", "EventTemplate"]
     other = ["EventTemplate", "Component", "EventId", "LineId", "Content"]
     for name, columns, chosen in (("a", plain, "artifact % 2 = 0"), ("b", other, "artifact % 2 <> 0")):
         write_logs(logs.where(chosen), f"{folder}/{name}", "artifact", columns)
-    return f"{folder}/*/*/*.csv"
+    return f"{folder}/*/*"
 
 
 def file_answers(spark: SparkSession, sf: str) -> DataFrame:
     """CSV files of two layouts, read as one glob, and every plan for each."""
-    logs = read_logs(spark, _log_files(spark, sf))
+    logs = read_logs(spark, _log_files(spark, sf), named="*.csv")
     logs = logs.withColumn("artifact_id", _artifact_of("artifact_id"))
     return A.answer_all(logs, A.catalog_plans())
 
 
 def file_families(spark: SparkSession, sf: str) -> DataFrame:
     """The family that each file's own header and lines give."""
-    logs = read_logs(spark, _log_files(spark, sf))
+    logs = read_logs(spark, _log_files(spark, sf), named="*.csv")
     found = family.scan(logs.withColumn("artifact_id", _artifact_of("artifact_id")))
     return found.select("artifact_id", F.col("family").isNotNull().alias("known"), "n_lines")
 

@@ -1,5 +1,7 @@
 """Readers, sinks and the stream."""
 
+import gzip
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -134,6 +136,57 @@ def test_files_met_by_shuffling_give_the_same(spark, tmp_path):
     assert {r.has_header for r in few if r.artifact_id.endswith("c.csv")} == {False}
 
 
+def _odd_logs(folder):
+    head = "LineId,Content,EventId,EventTemplate"
+    texts = {
+        "a/plain.csv": f"{head}\n7,x,E1,t\n\n8,y,E2,t",
+        "a/ends.txt": f"{head}\r\n1,x,E1,t\r2,y,,t\r\n\r\n3,z,E3,t\n",
+        "a/mark.CSV": f"\ufeff{head}\n4,\ufeffx,E1,t\n",
+        "a/marks.csv": f"\ufeff\ufeff{head}\n5,x,E1,t\n",
+        "a/late.log": f"\n{head}\n6,x,E1,t\n",
+        "b/bare.csv": f"{head}\n\n",
+        "b/blank.csv": "\n",
+        "b/none.csv": "",
+        "b/other.csv": "a,b\n1,x\n",
+        "b/name": "EventId,Content,LineId,EventTemplate\nE9,x,9,t\n",
+        "b/_hidden.csv": f"{head}\n1,x,E1,t\n",
+    }
+    for name, text in texts.items():
+        (folder / name).parent.mkdir(exist_ok=True)
+        (folder / name).write_bytes(text.encode())
+    (folder / "b/bytes.csv").write_bytes(head.encode() + b"\n10,\xff\xe2\x82\n11,\xe2\x82,E1,t\n")
+    (folder / "b/packed.csv.gz").write_bytes(gzip.compress(f"{head}\n12,x,E1,t\n13,y,E1,t\n".encode()))
+
+
+def test_whole_and_split_files_give_the_same(spark, tmp_path):
+    _odd_logs(tmp_path)
+    path = str(tmp_path / "*" / "*")
+    split = sorted(logs.read_logs(spark, path, small=0).collect(), key=repr)
+    assert len({r.artifact_id for r in split}) == 12
+    assert {r.LineId for r in split} >= {*range(1, 6), *range(7, 14)}
+    for options in ({}, {"small": 60}, {"max_files": 0}):
+        assert sorted(logs.read_logs(spark, path, **options).collect(), key=repr) == split
+    folders = logs.read_logs(spark, [str(tmp_path / "a"), str(tmp_path / "b")], named="*.csv").collect()
+
+    def of_csv(rows):  # an empty file's name in a glob has other slashes
+        return sorted(repr((r.artifact_id.rsplit("/", 2)[1:], *r[1:])) for r in rows if r.artifact_id.endswith(".csv"))
+
+    assert of_csv(folders) == of_csv(split) and len(folders) == 9
+
+
+def test_small_files_are_opened_once(spark, tmp_path):
+    """What a file held is written when it is first read, and not asked for again."""
+    _odd_logs(tmp_path)
+    path = str(tmp_path / "*" / "*.csv")
+    usual = spark.conf.get(logs.OPEN_COST)
+    want = sorted(logs.read_logs(spark, path).collect(), key=repr)
+    read = logs.read_logs(spark, path)
+    for file in tmp_path.glob("*/*.csv"):
+        file.unlink()
+    assert sorted(read.collect(), key=repr) == want and len(want) == 9
+    assert spark.conf.get(logs.OPEN_COST) == usual
+
+
 def test_header_names(spark):
     headers = ["a,b", ",a,,", '"a,""b""",c', '"x"y,z', "", 'a,"']
     df = spark.createDataFrame([(h,) for h in headers], "h string")
